@@ -174,8 +174,27 @@ def wkt_ring(wkt) -> Column:
 
 
 def ring_to_xy(ring) -> Column:
-    """Project every vertex of a lng/lat ring to EPSG:2180 metres."""
-    return F.transform(_c(ring), lambda v: project_struct(v["lng"], v["lat"]))
+    """Project every vertex of a lng/lat ring to EPSG:2180 metres.
+
+    Lambdas of higher-order functions are evaluated without codegen, so the
+    projection is staged over three ``transform`` passes and each term is
+    computed once per vertex instead of once per reference.
+    """
+    def stage1(v):
+        sin_phi = F.sin(F.radians(v["lat"]))
+        t = F.sinh(F.atanh(sin_phi) - F.lit(_E) * F.atanh(F.lit(_E) * sin_phi))
+        return F.struct(F.radians(v["lng"] - F.lit(CS92_LON0_DEG)).alias("lam"), t.alias("t"))
+
+    def stage2(w):
+        xi = F.atan2(w["t"], F.cos(w["lam"]))
+        eta = F.atanh(F.sin(w["lam"]) / F.sqrt(F.lit(1.0) + w["t"] * w["t"]))
+        return F.struct(xi.alias("xi"), eta.alias("eta"))
+
+    def stage3(u):
+        x, y = _tm_xy(u["xi"], u["eta"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(F.transform(F.transform(_c(ring), stage1), stage2), stage3)
 
 
 def _edges(ring: Column) -> Column:

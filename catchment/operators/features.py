@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.fixtures import RESIDENTIAL_CATEGORIES, RETAIL_CATEGORY
+from ..session import checkpoint
 from . import spatial_join as sj
 
 RADIUS_M = 1500
+ALL_GROUP = "__all__"
 # Fixed value: the POI categories of the reference data, in order of first appearance.
 POI_CATEGORIES = ["restaurant", "bank", "school", "bus_stop", "park", "pharmacy", "hospital", "mall"]
 
@@ -82,12 +84,15 @@ def poi_features(sites, poi, r=RADIUS_M, categories: Sequence[str] | None = None
     counts = pairs.groupBy(site_id).pivot("category", categories).agg(F.count(F.lit(1))).withColumnsRenamed(
         {c: f"poi_{c}_count_{rr}m" for c in categories})
     total = pairs.groupBy(site_id).agg(F.count("*").alias(f"poi_count_{rr}m"))
-    near_all = nearest_distance(sites_xy, pts, point_id, "nearest_poi_m", site_id)
-    near_cat = sj.nearest_join(sites_xy, pts, site_id, point_id, ["category"], categories, dist_col="d")
-    near_cat = near_cat.groupBy(site_id).pivot("category", categories).agg(F.min("d")).withColumnsRenamed(
-        {c: f"nearest_poi_{c}_m" for c in categories})
-    out = (_ids(sites, site_id).join(total, site_id, "left").join(near_all, site_id, "left")
-           .join(counts, site_id, "left").join(near_cat, site_id, "left"))
+    # One ring search for the overall nearest and every category: each POI also
+    # joins an extra "all" group, so both come out of the same rounds.
+    objs = pts.select(point_id, "x", "y", "category").unionByName(
+        pts.select(point_id, "x", "y", F.lit(ALL_GROUP).alias("category")))
+    near = sj.nearest_join(sites_xy, objs, site_id, point_id, ["category"], categories + [ALL_GROUP], dist_col="d")
+    near = near.groupBy(site_id).pivot("category", categories + [ALL_GROUP]).agg(F.min("d")).withColumnsRenamed(
+        {**{c: f"nearest_poi_{c}_m" for c in categories}, ALL_GROUP: "nearest_poi_m"})
+    out = (_ids(sites, site_id).join(total, site_id, "left")
+           .join(counts, site_id, "left").join(near, site_id, "left"))
     out = fill0(out, [f"poi_count_{rr}m"] + [f"poi_{c}_count_{rr}m" for c in categories])
     order = [site_id, f"poi_count_{rr}m", "nearest_poi_m"]
     for c in categories:
@@ -95,10 +100,16 @@ def poi_features(sites, poi, r=RADIUS_M, categories: Sequence[str] | None = None
     return out.select(*order)
 
 
-def prepare_buildings(buildings: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Parse WKT once and project the ring to metres (B3 + B2 for polygons)."""
-    return buildings.withColumn("ring", geo.wkt_ring(F.col(geometry))).withColumn(
+def prepare_buildings(buildings: DataFrame, geometry: str = "geometry", land: bool = True) -> DataFrame:
+    """Parse WKT once and project the ring to metres (B3 + B2 for polygons).
+
+    With ``land`` the prepared layer is written once to the shared checkpoint
+    folder, so joins and ring-search rounds read stored rings instead of
+    re-running the (interpreted) per-vertex projection.
+    """
+    out = buildings.withColumn("ring", geo.wkt_ring(F.col(geometry))).withColumn(
         "ring_xy", geo.ring_to_xy(F.col("ring")))
+    return checkpoint(out)[0] if land else out
 
 
 def building_features(sites, buildings, r=RADIUS_M, site_id="location_id", shape="circle",

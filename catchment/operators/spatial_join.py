@@ -242,10 +242,11 @@ def ring_search(
             | (F.col("__best.d") <= c - F.lit(slack_val))
             | (c >= F.col("__far"))
         )
-        res = checkpoint(rem.join(best, keys, "left").withColumn("__ok", F.coalesce(resolved, F.lit(False))))
+        res, m = checkpoint(rem.join(best, keys, "left").withColumn("__ok", F.coalesce(resolved, F.lit(False))),
+                            observe={"left": F.count_if(~F.col("__ok"))})
         done.append(res.where("__ok"))
         rem = res.where(~F.col("__ok")).drop("__best", "__ok")
-        n_rem = rem.count()
+        n_rem = m["left"]
         if n_rem == 0:
             break
     else:  # pragma: no cover - extent is finite, so c outgrows it
@@ -304,7 +305,8 @@ def nearest_polygon(
     Ring search on bbox centres; the largest half-diagonal is the slack that
     turns a centre distance into a bound on the true polygon distance.
     """
-    keyed = _poly_keyed(polys, ring)
+    # Land the keyed layer once: every round reads stored rings and centres.
+    keyed, _ = checkpoint(_poly_keyed(polys, ring).select(poly_id, "x", "y", "ring_xy", "__half", *attrs))
     dist = lambda sx, sy: geo.polygon_distance(F.col("ring_xy"), sx, sy)
     out = ring_search(
         sites, keyed.select(poly_id, "x", "y", "ring_xy", "__half", *attrs), site_id, poly_id,

@@ -55,8 +55,8 @@ class Layers:
 
     @cached_property
     def buildings(self) -> DataFrame:
-        b = fx.buildings(self.spark, self.sf_dir)
-        return b.withColumn("ring", geo.wkt_ring(F.col("geometry"))).withColumn("ring_xy", geo.ring_to_xy(F.col("ring")))
+        from ..operators.features import prepare_buildings
+        return prepare_buildings(fx.buildings(self.spark, self.sf_dir))
 
     @cached_property
     def districts(self) -> DataFrame:

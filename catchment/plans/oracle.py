@@ -432,7 +432,7 @@ def _tail_sql() -> str:
     edges = [15, 20, 30, 50, 100, 200, 500, 1000]
     lowers = [10] + edges
     uppers = edges + [None]
-    rows = ", ".join(f"({lo}.0, {('NULL' if up is None else f'{up}.0')})" for lo, up in zip(lowers, uppers))
+    rows = ", ".join(f"(CAST({lo} AS DOUBLE), CAST({('NULL' if up is None else up)} AS DOUBLE))" for lo, up in zip(lowers, uppers))
     return (
         "WITH t AS (SELECT CAST(total AS DOUBLE) AS v FROM addresses WHERE total > 10), mx AS (SELECT CAST(floor(max(v)) AS BIGINT) + 1 AS m FROM t), "
         f"g AS (SELECT lo, CASE WHEN up IS NULL OR up >= m THEN CAST(m AS DOUBLE) ELSE up END AS up FROM (VALUES {rows}) e(lo, up), mx WHERE lo < m) "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -58,10 +60,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, observe: dict | None = None) -> tuple[DataFrame, dict]:
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
+
+    One job (``DataFrame.checkpoint`` runs two and recomputes the plan for the
+    second); the result survives executor loss because it is a file in the
+    shared folder. ``observe`` maps names to aggregate Columns evaluated on the
+    same pass (``DataFrame.observe``), returned as a dict.
+    """
+    from pyspark.sql import Observation
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    metrics: dict = {}
+    if observe:
+        obs = Observation(f"ckpt_{uuid.uuid4().hex[:8]}")
+        df = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
+    df.write.mode("overwrite").parquet(path)
+    if observe:
+        metrics = obs.get
+    return spark.read.parquet(path), metrics
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
