@@ -179,10 +179,11 @@ def ring_search(
     )
     if len(stats) > max_groups:
         raise ValueError(f"ring_search: more than {max_groups} groups in {by}")
+    stats = [r for r in stats if r["n"]]  # a global aggregate of an empty layer yields n = 0
     groups = {tuple(r[b] for b in by): r for r in stats}
     if by_values is None:
         by_values = list(groups)
-    vals = [v if isinstance(v, tuple) else (v,) for v in by_values]
+    vals = [v if isinstance(v, tuple) else (v,) for v in by_values] if by else [()]
     slack_val = max([float(r["slack"] or 0.0) for r in stats] + [0.0])
 
     def start_cell(r):
