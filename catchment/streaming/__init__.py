@@ -1,0 +1,2 @@
+"""No streaming operators: the reference's scans are all bounded (no watermark,
+window, state or late data), so nothing is built here."""
