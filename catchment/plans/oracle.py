@@ -498,3 +498,68 @@ O["regression_metrics"] = sql(
     "m AS (SELECT s_nationkey, avg(monthly_revenue) AS p FROM s GROUP BY 1), j AS (SELECT s.monthly_revenue AS y, m.p FROM s JOIN m USING (s_nationkey)) "
     "SELECT round(1.0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(sum((y - p) * (y - p)) / count(*)), 6) AS rmse, count(*) AS n FROM j",
     "stores")
+
+
+# ------------------------------------------------------------------ G: hex grid and whitespot
+
+
+def _inverse(x: str, y: str) -> tuple[str, str]:
+    xi = f"(({y}) - ({_g.CS92_FALSE_NORTHING!r})) / {_g._KA!r}"
+    eta = f"(({x}) - {_g.CS92_FALSE_EASTING!r}) / {_g._KA!r}"
+    xp, ep = f"({xi})", f"({eta})"
+    for j, b in enumerate(_g._BETA, start=1):
+        xp = f"({xp} - {b!r} * sin({2.0 * j!r} * {xi}) * cosh({2.0 * j!r} * {eta}))"
+        ep = f"({ep} - {b!r} * cos({2.0 * j!r} * {xi}) * sinh({2.0 * j!r} * {eta}))"
+    return xp, ep
+
+
+def _hex_cells(w: float = 5000.0) -> str:
+    import math
+    h = w * math.sqrt(3.0) / 2.0
+    xp, ep = _inverse("x", "y")
+    chi = "asin(sin(xp) / cosh(ep))"
+    phi = chi
+    for j, d in enumerate(_g._DELTA, start=1):
+        phi = f"({phi} + {d!r} * sin({2.0 * j!r} * {chi}))"
+    return (
+        f"WITH bnd AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM dverts_xy GROUP BY id), "
+        f"rr AS (SELECT id, x0, x1, unnest(generate_series(CAST(floor(y0 / {h!r}) AS BIGINT), CAST(ceil(y1 / {h!r}) AS BIGINT))) AS r FROM bnd), "
+        f"qq AS (SELECT id, r, unnest(generate_series(CAST(floor(x0 / {w!r} - r / 2.0) AS BIGINT), CAST(ceil(x1 / {w!r} - r / 2.0) AS BIGINT))) AS q FROM rr), "
+        f"c0 AS (SELECT id, q, r, (q + r / 2.0) * {w!r} AS x, r * {h!r} AS y FROM qq), "
+        f"c1 AS (SELECT id, q, r, {xp} AS xp, {ep} AS ep FROM c0), "
+        f"c2 AS (SELECT id, q, r, {_g.CS92_LON0_DEG!r} + degrees(atan2(sinh(ep), cos(xp))) AS lng, degrees({phi}) AS lat FROM c1), "
+        f"cin AS (SELECT c.q, c.r, any_value(c.lng) AS lng, any_value(c.lat) AS lat FROM c2 c JOIN dedges e ON e.id = c.id "
+        f"GROUP BY c.id, c.q, c.r HAVING sum(CASE WHEN (e.ay > c.lat) != (e.by_ > c.lat) AND c.lng < (e.bx - e.ax) * (c.lat - e.ay) / (e.by_ - e.ay) + e.ax "
+        f"THEN 1 ELSE 0 END) % 2 = 1) "
+        f"SELECT DISTINCT CAST(q AS VARCHAR) || ':' || CAST(r AS VARCHAR) AS cell_id, q, r, lng, lat FROM cin"
+    )
+
+
+O["hex_grid"] = sql(f"SELECT cell_id, q, r, round(lng, 6) AS lng, round(lat, 6) AS lat FROM ({_hex_cells()})", "dverts_xy", "dedges")
+_cx, _cy = _xy("lng", "lat")
+_CELLS = f"SELECT cell_id, lng, lat, {_cx} AS x, {_cy} AS y FROM ({_hex_cells()})"
+_CF = (
+    f"WITH cells AS ({_CELLS}), "
+    f"cc AS (SELECT s.cell_id, count(*) AS n FROM cells s, comp_xy p WHERE {D2} < {R * R!r} GROUP BY s.cell_id), "
+    f"cn AS (SELECT s.cell_id, min(sqrt({D2})) AS d FROM cells s, comp_xy p GROUP BY s.cell_id), "
+    f"cp AS (SELECT s.cell_id, sum(p.total) AS n FROM cells s, addr_xy p WHERE {D2} < {R * R!r} GROUP BY s.cell_id), "
+    f"sn AS (SELECT s.cell_id, min(sqrt({D2})) AS d FROM cells s, stores_xy p GROUP BY s.cell_id), "
+    "f AS (SELECT c.cell_id, CAST(coalesce(cc.n, 0) AS BIGINT) AS competitor_count_1500m, cn.d AS nearest_competitor_m, "
+    "CAST(coalesce(cp.n, 0) AS BIGINT) AS population_1500m, sn.d AS nearest_store_m FROM cells c LEFT JOIN cc USING (cell_id) "
+    "LEFT JOIN cn USING (cell_id) LEFT JOIN cp USING (cell_id) LEFT JOIN sn USING (cell_id)), "
+    "fl AS (SELECT *, coalesce(nearest_store_m >= 3000.0, true) AS far_from_own, "
+    "coalesce(nearest_store_m >= 3000.0, true) AND competitor_count_1500m <= 0 AS whitespot FROM f), "
+    "sc0 AS (SELECT cell_id, competitor_count_1500m, nearest_competitor_m, population_1500m, "
+    "CAST(population_1500m - 500 * competitor_count_1500m AS DOUBLE) AS prediction FROM fl WHERE whitespot), "
+    "mm AS (SELECT min(prediction) AS lo, max(prediction) AS hi FROM sc0), "
+    "sc AS (SELECT sc0.*, round_even((prediction - lo) * 100.0 / nullif(hi - lo, 0), 1) AS score FROM sc0, mm) "
+)
+_GDEPS = ("dverts_xy", "dedges", "comp_xy", "addr_xy", "stores_xy")
+O["site_features"] = sql(_CF + "SELECT cell_id, competitor_count_1500m, round(nearest_competitor_m, 3) AS nearest_competitor_m, "
+                         "population_1500m FROM f", *_GDEPS)
+O["whitespot_filter"] = sql(_CF + "SELECT count(*) AS cells, count(*) FILTER (WHERE far_from_own) AS after_own_filter, "
+                            "count(*) FILTER (WHERE whitespot) AS after_both FROM fl", *_GDEPS)
+O["score"] = sql(_CF + "SELECT cell_id, round(prediction, 3) AS prediction, round(score, 3) AS score FROM sc", *_GDEPS)
+O["rank_candidates"] = sql(_CF + "SELECT cell_id, competitor_count_1500m, round(nearest_competitor_m, 3) AS nearest_competitor_m, "
+                           "population_1500m, round(prediction, 3) AS prediction, round(score, 3) AS score FROM sc "
+                           "ORDER BY score DESC, cell_id LIMIT 10", *_GDEPS)
