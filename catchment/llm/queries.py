@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, decontamination, mixing, sharding
-from .common import table
+from . import binary_search, decontamination, jaccard_join, line_templates, mixing, sharding, warc
+from .common import fresh_dir, table
 
 SHARDS = 24
 TOP_K = 10
@@ -27,6 +27,23 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "rep_id", "class_id", "n_links")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = warc.read_archives(spark, path).filter(F.col("warc_type").isin("response", "revisit"))
+    whole = F.col("payload").isNotNull()
+    return records.select(
+        "page_id",
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(whole, warc.sha1_base32(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), "refers_to")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -35,17 +52,26 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mih_topk, op2_histogram_shards, op7_decontaminate, op9_pfair_mix)
+    f.__name__: f for f in (
+        op1_mih_topk, op2_histogram_shards, op4_minhash_forest, op5_warc, op7_decontaminate, op8_line_templates, op9_pfair_mix)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_CHUNKS = " || ".join(
+    f"substr('{warc.BASE32}', (('0x' || substr(h, {5 * i + 1}, 5))::INTEGER // {32 ** (3 - j)}) % 32 + 1, 1)" for i in range(8) for j in range(4))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mih_topk": f"""
         WITH e AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1 ELSE 0 END for x in embedding] AS b FROM embeddings WHERE embedding IS NOT NULL),
@@ -54,6 +80,12 @@ ORACLE_SQL: dict[str, str] = {
                      CAST(list_sum([CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END for z in list_zip(q.b, e.b)]) AS INTEGER) AS distance FROM q, e)
         SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, qb ORDER BY distance, vec_id) AS rn FROM p) WHERE rn <= {TOP_K}""",
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, {_CHUNKS} AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM t""",
     "op7_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
