@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_search, decontamination, jaccard_join, line_templates, mixing, sharding, warc
+from . import binary_search, decontamination, jaccard_join, language_model, line_templates, mixing, repeats, sharding, toxicity, warc
 from .common import fresh_dir, table
 
 SHARDS = 24
@@ -27,6 +27,10 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "rep_id", "class_id", "n_links")
@@ -44,6 +48,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("warc_type").alias("record_type"), "refers_to")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -62,9 +74,14 @@ def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mih_topk, op2_histogram_shards, op4_minhash_forest, op5_warc, op7_decontaminate, op8_line_templates, op9_pfair_mix)
+        op1_mih_topk, op2_histogram_shards, op3_suffix_dedup, op4_minhash_forest, op5_warc, op6_toxicity, op7_decontaminate,
+        op8_line_templates, op9_pfair_mix, op10_maxent_lm)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
