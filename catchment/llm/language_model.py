@@ -114,13 +114,13 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, feats: list[np.nd
     return logits
 
 
-def _learn(model, rate: float):
+def _learn(model, rate: float, prior: float):
     """One pass of gradient updates over a task's documents; emits its weights and how often each row was touched, in shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         weights = m.weights.copy()
-        power = np.full(FEATURES, 1e-3, np.float32)
+        power = np.full(FEATURES, prior, np.float32)
         touched = np.zeros(FEATURES, np.float64)
         seen = 0
         for batch in slices(batches, "text"):
@@ -168,7 +168,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"shard": pd.Series(list(total), dtype="int32"), "sums": [w.tobytes() for w, _ in total.values()], "touched": [n.tobytes() for _, n in total.values()]})
 
 
-def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, rounds: int = 1, rate: float = 0.15) -> Model:
+def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, rounds: int = 1, rate: float = 0.5, prior: float = 1.0) -> Model:
     """The model of all rows of ``docs`` (text, held_out) outside the held-out fold.
 
     The head, at most HEAD_ROWS tokens by count, fixes the classes: the most
@@ -201,7 +201,7 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, rounds: int =
     model = Model(int(n or 0), int(v), h[order], c[order], owner[order], share[order], bias, np.zeros((FEATURES, CLASSES), np.float32))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)  # head and weights: bounded by constants
-        got = docs.select("text", "held_out").mapInArrow(_learn(shared, rate), "shard int, sums binary, touched binary")
+        got = docs.select("text", "held_out").mapInArrow(_learn(shared, rate, prior), "shard int, sums binary, touched binary")
         rows = got.repartition(SHARDS, "shard").mapInPandas(_merge, "shard int, sums binary, touched binary").collect()
         step = FEATURES // SHARDS
         for r in rows:

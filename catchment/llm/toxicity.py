@@ -9,14 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import LOWER_BYTE, WORD_BYTE, buffers, slices, token_hashes, token_spans
 
-WINDOW, STRIDE = 32, 24  # words; windows overlap by 8
+WINDOW, STRIDE = 64, 48  # words; windows overlap by 16
 HIDDEN, ATTENTION = 12, 8
 WORD_ROWS, WORD_DIM = 1 << 13, 6
 CHAR_ROWS, CHAR_DIM = 1 << 12, 8
-INPUT = WORD_DIM + CHAR_DIM + 1
+PREFIXES, PREFIX_DIM = (4, 5, 6, 8), 6  # bytes from the start of a word
+INPUT = WORD_DIM + CHAR_DIM + PREFIX_DIM + 1
+TOP = 3  # windows that decide about a text
 
 #: Bounds of the training sample: labelled rows of each class, bytes of a sampled text, windows drawn from one.
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WINDOWS = 1500, 100_000, 128
@@ -31,24 +34,32 @@ class Words:
     hashes: np.ndarray
     chars: np.ndarray
     char_begin: np.ndarray
+    prefixes: np.ndarray
 
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Lower-cased words; the characters of a form are its byte trigrams, one around each byte, hashed to rows."""
+    """Lower-cased words; the characters of a form are its byte trigrams, one around each byte, and its first bytes, hashed to rows."""
     data = LOWER_BYTE[data]
     starts, ends, row = token_spans(data, offsets, WORD_BYTE)
     hashes, first, form = np.unique(token_hashes(data, starts, ends), return_index=True, return_inverse=True)
     s, lengths = starts[first], (ends - starts)[first]
     begin = np.concatenate([[0], np.cumsum(lengths)])
     if not len(s):
-        return Words(row, form, hashes, np.zeros(0, np.int64), begin)
+        return Words(row, form, hashes, np.zeros(0, np.int64), begin, np.zeros((0, len(PREFIXES)), np.int64))
     at = np.arange(begin[-1]) + np.repeat(s - begin[:-1], lengths)
     padded = np.concatenate([[0], data, [0]]).astype(np.uint32)
     left, mid, right = padded[at], padded[at + 1], padded[at + 2]
     left[begin[:-1]] = 0
     right[begin[1:] - 1] = 0
     key = (left * np.uint32(0x9E3779B1) + mid * np.uint32(0x85EBCA6B) + right * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-    return Words(row, form, hashes, (key >> np.uint32(20)).astype(np.int64) & (CHAR_ROWS - 1), begin)
+    prefixes = np.empty((len(s), len(PREFIXES)), np.int64)
+    part = np.zeros(len(s), np.uint32)
+    for i in range(max(PREFIXES)):
+        part = (part + np.where(i < lengths, padded[np.minimum(s + i, len(data) - 1) + 1], 0)) * np.uint32(0x9E3779B1)
+        part ^= part >> np.uint32(15)
+        if i + 1 in PREFIXES:
+            prefixes[:, PREFIXES.index(i + 1)] = (part * np.uint32(0x85EBCA6B)) >> np.uint32(20)
+    return Words(row, form, hashes, (key >> np.uint32(20)).astype(np.int64) & (CHAR_ROWS - 1), begin, prefixes & (CHAR_ROWS - 1))
 
 
 def window_starts(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +84,7 @@ class Network:
     known: np.ndarray
     odds: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    top: np.ndarray = field(default_factory=lambda: np.array([1.0, 0, 0, 0]))  # weights of the TOP windows, constant
 
     @staticmethod
     def fresh(known: np.ndarray, odds: np.ndarray, seed: int = 7) -> Network:
@@ -81,7 +93,7 @@ class Network:
         def draw(*shape, scale):
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        p = {"words": draw(WORD_ROWS, WORD_DIM, scale=0.02), "chars": draw(CHAR_ROWS, CHAR_DIM, scale=0.1),
+        p = {"words": draw(WORD_ROWS, WORD_DIM, scale=0.02), "chars": draw(CHAR_ROWS, CHAR_DIM, scale=0.1), "prefixes": draw(CHAR_ROWS, PREFIX_DIM, scale=0.02),
              "va": draw(ATTENTION, scale=0.3), "wa": draw(2 * HIDDEN, ATTENTION, scale=0.3), "ba": np.zeros(ATTENTION, np.float32),
              "wo": draw(2 * HIDDEN, scale=0.3), "bo": np.full(1, -1.0, np.float32)}
         for d in "fb":
@@ -97,6 +109,8 @@ class Network:
             x[:-1, :WORD_DIM] = self.p["words"][(words.hashes & np.uint64(WORD_ROWS - 1)).astype(np.int64)]
             sums = np.add.reduceat(self.p["chars"][words.chars], words.char_begin[:-1])
             x[:-1, WORD_DIM : WORD_DIM + CHAR_DIM] = sums / np.diff(words.char_begin)[:, None]
+            for i in range(len(PREFIXES)):
+                x[:-1, WORD_DIM + CHAR_DIM : -1] += self.p["prefixes"][words.prefixes[:, i]]
             x[:-1, -1] = self.log_odds(words.hashes)
         return x
 
@@ -155,14 +169,24 @@ class Network:
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """Probability of each text: the highest of its windows."""
+        """Probability of each text, from its highest windows."""
         data, offsets = buffers(column)
         words = read_words(data, offsets)
         starts, lengths, of = window_starts(words.row, len(column))
-        logits = self.score_windows(words, starts, lengths)
         if not len(column):
             return np.zeros(0)
-        return _sigmoid(np.maximum.reduceat(logits, np.searchsorted(of, np.arange(len(column)))).astype(np.float64))
+        logits = self.score_windows(words, starts, lengths)
+        return _sigmoid(highest(logits, of, len(column)) @ self.top[:TOP] + self.top[TOP])
+
+
+def highest(logits: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """The TOP highest window logits of each row, limited to +-8; a row with fewer windows has -8 in the places left."""
+    ranked = np.lexsort((-logits, of))
+    place = np.arange(len(ranked)) - np.searchsorted(of[ranked], of[ranked])
+    out = np.full((rows, TOP), -8.0)
+    some = place < TOP
+    out[of[ranked][some], place[some]] = np.clip(logits[ranked][some], -8, 8)
+    return out
 
 
 def _padded(form: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +215,12 @@ def _backward(net: Network, x: np.ndarray, index: np.ndarray, mask: np.ndarray,
     g["ba"] = d_hidden.sum(axis=(0, 1))
     d_states += d_hidden @ p["wa"].T
     d_x = np.zeros_like(x)
+    order = np.argsort(index.T.ravel(), kind="stable")
+    sorted_forms = index.T.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_forms[1:] != sorted_forms[:-1]]))
     for d in "fb":
         carried = np.zeros((len(index), h), np.float32)
-        d_gate = np.zeros((len(x), 3 * h), np.float32)
+        by_step = np.empty((WINDOW, len(index), 3 * h), np.float32)
         for t in range(WINDOW - 1, -1, -1) if d == "f" else range(WINDOW):
             now, hu, z, r, c = keep[d, t]
             d_new = carried + d_states[t][:, :h] if d == "f" else carried + d_states[t][:, h:]
@@ -203,9 +230,11 @@ def _backward(net: Network, x: np.ndarray, index: np.ndarray, mask: np.ndarray,
             d_z = d_in * (now - c) * z * (1 - z)
             d_r = d_c * hu[:, 2 * h :] * r * (1 - r)
             d_hu = np.concatenate([d_z, d_r, d_c * r], axis=1)
-            np.add.at(d_gate, index[:, t], np.concatenate([d_z, d_r, d_c], axis=1))
+            by_step[t, :, :h], by_step[t, :, h : 2 * h], by_step[t, :, 2 * h :] = d_z, d_r, d_c
             g["u" + d] += now.T @ d_hu
             carried = np.where(m, d_in * z + d_hu @ p["u" + d].T, d_new)
+        d_gate = np.zeros((len(x), 3 * h), np.float32)
+        d_gate[sorted_forms[first]] = np.add.reduceat(by_step.reshape(-1, 3 * h)[order], first)
         g["x" + d] = x.T @ d_gate
         g["b" + d] = d_gate[:-1].sum(axis=0)
         d_x += d_gate @ p["x" + d].T
@@ -213,9 +242,33 @@ def _backward(net: Network, x: np.ndarray, index: np.ndarray, mask: np.ndarray,
     return g
 
 
-def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit the network to labelled texts. A toxic text teaches through its two highest windows, a clean one through its
-    two highest and two drawn at random, all chosen anew in every epoch."""
+def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
+    """Fit the network to labelled texts, in any but a meaningful order.
+
+    Four fifths of the texts train it: a toxic text teaches through its two
+    highest windows, a clean one through its two highest and two drawn at
+    random, all chosen anew in every epoch. On the last fifth a logistic
+    regression fits how the highest windows make up the score of a text; each
+    clean text counts ``clean_weight`` times there.
+    """
+    part = np.random.default_rng(seed).random(len(toxic)) < 0.8
+    if not (0 < toxic[part].sum() < part.sum() and 0 < toxic[~part].sum() < (~part).sum()):
+        return _train(texts, toxic, epochs, batch, rate, seed)
+    net = _train(texts.filter(pa.array(part)), toxic[part], epochs, batch, rate, seed)
+    words = read_words(*buffers(texts.filter(pa.array(~part))))
+    starts, lengths, of = window_starts(words.row, int((~part).sum()))
+    x = np.column_stack([highest(net.score_windows(words, starts, lengths), of, int((~part).sum())), np.ones((~part).sum())])
+    y, weight = toxic[~part], np.where(toxic[~part] == 1, 1.0, clean_weight)
+    w = np.zeros(TOP + 1)
+    ridge = np.diag([1.0] * TOP + [1e-3])
+    for _ in range(30):  # Newton steps
+        p = _sigmoid(x @ w)
+        w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
+    net.top = w
+    return net
+
+
+def _train(texts: pa.Array, toxic: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> Network:
     rng = np.random.default_rng(seed)
     data, offsets = buffers(texts)
     words = read_words(data, offsets)
@@ -258,12 +311,14 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, batch: int = 256,
             error = (_sigmoid(net.forward(net.gates(x), index, mask, keep)) - (toxic[of[b]] == 1)).astype(np.float32) / len(b)
             g = _backward(net, x, index, mask, keep, error)
             d_x = g.pop("x")[:-1]
-            np.add.at(g["words"], (part.hashes & np.uint64(WORD_ROWS - 1)).astype(np.int64), d_x[:, :WORD_DIM])
             widths = np.diff(part.char_begin)
-            np.add.at(g["chars"], part.chars, np.repeat(d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / widths[:, None], widths, axis=0))
+            _add_rows(g["words"], (part.hashes & np.uint64(WORD_ROWS - 1)).astype(np.int64), d_x[:, :WORD_DIM])
+            _add_rows(g["chars"], part.chars, np.repeat(d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / widths[:, None], widths, axis=0))
+            for i in range(len(PREFIXES)):
+                _add_rows(g["prefixes"], part.prefixes[:, i], d_x[:, WORD_DIM + CHAR_DIM : -1])
             step += 1
             for k, (m, v) in moments.items():
-                grad = g[k] + (1e-4 * net.p[k] if k in ("words", "chars") else 0)
+                grad = g[k] + (1e-4 * net.p[k] if k in ("words", "chars", "prefixes") else 0)
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad**2 - v)
                 net.p[k] = (net.p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
@@ -271,11 +326,16 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, batch: int = 256,
     return net
 
 
+def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    for j in range(to.shape[1]):
+        to[:, j] += np.bincount(rows, values[:, j], minlength=len(to)).astype(np.float32)
+
+
 def _subset(words: Words, forms: np.ndarray) -> Words:
     lengths = np.diff(words.char_begin)[forms]
     begin = np.concatenate([[0], np.cumsum(lengths)])
     at = np.arange(begin[-1]) + np.repeat(words.char_begin[:-1][forms] - begin[:-1], lengths)
-    return Words(words.row, words.form, words.hashes[forms], words.chars[at], begin)
+    return Words(words.row, words.form, words.hashes[forms], words.chars[at], begin, words.prefixes[forms])
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -289,10 +349,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2),
 
     Up to ``sample_rows`` rows of each class, those with the least hash of
     their id, with texts of up to SAMPLE_BYTES bytes; null labels and ids are
-    left out. Only the text and the label are read.
+    left out. Only the text and the label are read. How often each label
+    occurs is counted over all labelled rows outside the fold.
     """
     rows = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("y")).filter(
         F.col("__id").isNotNull() & F.col("y").isin(0, 1) & (fold("__id", held_out[0]) != held_out[1])).distinct()
+    seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     some = None
     for y in (0, 1):
         part = rows.filter(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
@@ -301,7 +363,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2),
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = texts.join(some, "__id").filter(F.octet_length("text") <= SAMPLE_BYTES).select("__id", "text", "y").toPandas()
     got = got.sort_values(["__id", "y", "text"])
-    return train(pa.array(got["text"], pa.string()), got["y"].to_numpy(np.int64))
+    y = got["y"].to_numpy(np.int64)
+    share = [seen.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)]
+    return train(pa.array(got["text"], pa.string()), y, share[0] / share[1] if share[0] and share[1] else 1.0)
 
 
 def scores(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -316,7 +380,7 @@ def scores(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
             got = shared.value.score(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*names, "tox_score"])
 
-    schema = docs.schema.add("tox_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("tox_score", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
