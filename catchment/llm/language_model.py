@@ -168,7 +168,7 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"shard": pd.Series(list(total), dtype="int32"), "sums": [w.tobytes() for w, _ in total.values()], "touched": [n.tobytes() for _, n in total.values()]})
 
 
-def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, rounds: int = 1, rate: float = 0.5, prior: float = 1.0) -> Model:
+def train(spark: SparkSession, docs: DataFrame, counts: DataFrame, rounds: int = 1, rate: float = 0.2, prior: float = 1.0) -> Model:
     """The model of all rows of ``docs`` (text, held_out) outside the held-out fold.
 
     The head, at most HEAD_ROWS tokens by count, fixes the classes: the most

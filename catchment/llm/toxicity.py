@@ -389,7 +389,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
     return scores(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col)
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more."""
-    net = fit(docs if all_docs is None else all_docs, labels)
-    return scores(docs, net).filter(F.col("tox_score") < threshold).select(*docs.columns)
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more."""
+    return score_documents(docs, labels, text_col, id_col).filter(F.col("tox_score") < threshold).select(*docs.columns)

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catchment.llm import decontamination, mixing, sharding
+from catchment.llm import decontamination, jaccard_join, mixing, sharding, toxicity
 from catchment.llm.common import land, table
 
 SHARDS = 24
+TOXIC = 0.5  # probability from which a document is rejected
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network does not reject; it learns from the labelled documents outside the held-out fold."""
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"), TOXIC)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8)."""
+    return jaccard_join.keep_one_per_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +27,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, rewritten in the order of the mix (16 rows a block)."""
+    """All documents, rewritten in the order of the mix."""
     return mixing.mix(docs).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
@@ -26,8 +37,10 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("decontamination", decontaminated),
-    ("mixing", mixed),
+    ("toxicity", clean),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", decontaminated),
+    ("mixing to target weights", mixed),
     ("sharding", sharded),
 ]
 
@@ -40,4 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: SQL can't train the network; tests hold every stage against a brute-force version instead.
 ORACLE_SQL = None
