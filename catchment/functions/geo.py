@@ -84,33 +84,14 @@ def _tm_xy(xi: Column, eta: Column):
     return x, y
 
 
-def project_x(lng, lat) -> Column:
-    """Easting in EPSG:2180 metres (usable inside higher-order-function lambdas)."""
-    xi, eta = _tm_terms(_c(lng), _c(lat))
-    return _tm_xy(xi, eta)[0]
-
-
-def project_y(lng, lat) -> Column:
-    """Northing in EPSG:2180 metres."""
-    xi, eta = _tm_terms(_c(lng), _c(lat))
-    return _tm_xy(xi, eta)[1]
-
-
-def project_struct(lng, lat) -> Column:
-    """struct(x, y) in metres; used inside ``transform`` over polygon rings."""
-    xi, eta = _tm_terms(_c(lng), _c(lat))
-    x, y = _tm_xy(xi, eta)
-    return F.struct(x.alias("x"), y.alias("y"))
-
-
 def with_xy(df: DataFrame, lng="lng", lat="lat", x="x", y="y", keep_nulls: bool = False) -> DataFrame:
     """B2: add metric ``x, y`` (EPSG:2180) to a point layer.
 
     Staged so the conformal latitude terms are evaluated once per row. Rows
-    without coordinates are dropped unless ``keep_nulls``: the explicit
-    ``isNotNull`` filter marks ``x, y`` non-nullable, which stops Catalyst from
-    inferring ``isnotnull(<whole projection>)`` on join keys and evaluating
-    the trigonometry twice.
+    without coordinates are dropped, which is right for points; site layers
+    pass ``keep_nulls`` and keep such rows with NULL ``x, y``. Without
+    ``keep_nulls`` the outputs are non-nullable (``coalesce`` with NaN), so no
+    ``isnotnull`` over the whole projection is inferred on join keys.
     """
     if not keep_nulls:
         df = df.where(_c(lng).isNotNull() & _c(lat).isNotNull())
@@ -118,6 +99,8 @@ def with_xy(df: DataFrame, lng="lng", lat="lat", x="x", y="y", keep_nulls: bool
     xi, eta = _tm_terms(_c(lng), _c(lat))
     df = df.withColumns({tmp_xi: xi, tmp_eta: eta})
     px, py = _tm_xy(F.col(tmp_xi), F.col(tmp_eta))
+    if not keep_nulls:
+        px, py = F.coalesce(px, F.lit(float("nan"))), F.coalesce(py, F.lit(float("nan")))
     return df.withColumns({x: px, y: py}).drop(tmp_xi, tmp_eta)
 
 
@@ -159,22 +142,42 @@ def haversine_m(lng1, lat1, lng2, lat2) -> Column:
 # --------------------------------------------------------------------- WKT / rings
 
 def wkt_ring(wkt) -> Column:
-    """Outer ring of a ``POLYGON ((x y, ...))`` WKT text as ARRAY<STRUCT<lng, lat>>."""
-    body = F.regexp_extract(_c(wkt), r"\(\(\s*([^()]*?)\s*\)", 1)
-    parts = F.split(body, r"\s*,\s*")
+    """The rings of a POLYGON or MULTIPOLYGON WKT text.
+
+    ARRAY<STRUCT<hole: BOOLEAN, pts: ARRAY<STRUCT<lng, lat>>>>: every ring of
+    every part, holes marked. All geometry functions below take this type, so
+    courtyards and further parts count. A text that doesn't parse is NULL.
+    """
+    text = F.regexp_replace(_c(wkt), r"\s+", " ")
+    rings = F.regexp_extract_all(text, F.lit(r"(\(? ?\([^()]+\))"), 1)
 
     def vertex(s):
-        xy = F.split(F.trim(s), r"\s+")
+        xy = F.split(F.trim(s), " ")
+        return F.struct(
+            F.get(xy, F.lit(0)).try_cast("double").alias("lng"),
+            F.get(xy, F.lit(1)).try_cast("double").alias("lat"),
+        )
+
+    def ring(r):
+        body = F.regexp_replace(r, r"[()]", "")
         return F.struct(
-            xy.getItem(0).try_cast("double").alias("lng"),
-            xy.getItem(1).try_cast("double").alias("lat"),
+            (~r.rlike(r"^\( ?\(")).alias("hole"),
+            F.transform(F.split(body, ","), vertex).alias("pts"),
         )
 
-    return F.when(body != "", F.transform(parts, vertex))
+    parsed = F.transform(rings, ring)
+    broken = F.exists(parsed, lambda r: F.exists(r["pts"], lambda v: v["lng"].isNull() | v["lat"].isNull()))
+    polygonal = text.rlike(r"^ ?(?i:MULTI)?(?i:POLYGON)")
+    return F.when(polygonal & (F.size(rings) > 0) & ~broken, parsed)
+
+
+def vertices(ring) -> Column:
+    """All vertices of all rings."""
+    return F.flatten(F.transform(_c(ring), lambda r: r["pts"]))
 
 
 def ring_to_xy(ring) -> Column:
-    """Project every vertex of a lng/lat ring to EPSG:2180 metres.
+    """Project every vertex of lng/lat rings to EPSG:2180 metres.
 
     Lambdas of higher-order functions are evaluated without codegen, so the
     projection is staged over three ``transform`` passes and each term is
@@ -194,22 +197,26 @@ def ring_to_xy(ring) -> Column:
         x, y = _tm_xy(u["xi"], u["eta"])
         return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.transform(F.transform(F.transform(_c(ring), stage1), stage2), stage3)
+    def project(r):
+        return F.struct(r["hole"].alias("hole"), F.transform(F.transform(F.transform(r["pts"], stage1), stage2), stage3).alias("pts"))
+
+    return F.transform(_c(ring), project)
+
+
+def _ring_edges(pts: Column) -> Column:
+    n = F.size(pts)
+    return F.arrays_zip(F.slice(pts, 1, n - 1).alias("a"), F.slice(pts, 2, n - 1).alias("b"))
 
 
 def _edges(ring: Column) -> Column:
-    n = F.size(ring)
-    return F.arrays_zip(
-        F.slice(ring, 1, n - 1).alias("a"),
-        F.slice(ring, 2, n - 1).alias("b"),
-    )
+    return F.flatten(F.transform(ring, lambda r: _ring_edges(r["pts"])))
 
 
 def ring_bounds(ring, u="lng", v="lat") -> dict[str, Column]:
     """Per-polygon bounds as four columns."""
-    ring = _c(ring)
-    us = F.transform(ring, lambda p: p[u])
-    vs = F.transform(ring, lambda p: p[v])
+    pts = vertices(ring)
+    us = F.transform(pts, lambda p: p[u])
+    vs = F.transform(pts, lambda p: p[v])
     return {
         "min_" + u: F.array_min(us), "min_" + v: F.array_min(vs),
         "max_" + u: F.array_max(us), "max_" + v: F.array_max(vs),
@@ -217,7 +224,7 @@ def ring_bounds(ring, u="lng", v="lat") -> dict[str, Column]:
 
 
 def contains(ring, px, py, u="lng", v="lat") -> Column:
-    """Even-odd ray cast: TRUE when (px, py) is inside the ring.
+    """Even-odd ray cast over the edges of all rings: TRUE when (px, py) is inside.
 
     ``try_divide`` keeps ANSI mode from raising on horizontal edges, which the
     crossing test excludes anyway.
@@ -235,7 +242,7 @@ def contains(ring, px, py, u="lng", v="lat") -> Column:
 
 
 def segment_distance_min(ring, px, py, u="x", v="y") -> Column:
-    """Minimum distance from (px, py) to the ring's boundary segments (C11)."""
+    """Minimum distance from (px, py) to the boundary segments of all rings (C11)."""
     ring, px, py = _c(ring), _c(px), _c(py)
 
     def seg(e):
@@ -255,29 +262,37 @@ def polygon_distance(ring_xy, px, py) -> Column:
     )
 
 
-def signed_area(ring, u="lng", v="lat") -> Column:
-    """Shoelace sum / 2 (positive for counter-clockwise rings)."""
-    terms = F.transform(_edges(_c(ring)), lambda e: e["a"][u] * e["b"][v] - e["b"][u] * e["a"][v])
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) / 2.0
+def _cross(e: Column, u: str, v: str) -> Column:
+    return e["a"][u] * e["b"][v] - e["b"][u] * e["a"][v]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, t: acc + t)
+
+
+def _weight(r: Column, u: str, v: str) -> Column:
+    """+1 or -1 that makes a ring's shoelace sum positive for outer rings and negative for holes."""
+    s = _total(F.transform(_ring_edges(r["pts"]), lambda e: _cross(e, u, v)))
+    return F.signum(s) * F.when(r["hole"], F.lit(-1.0)).otherwise(F.lit(1.0))
 
 
 def area(ring, u="lng", v="lat") -> Column:
-    """Polygon area in the ring's units squared (deg^2 for lng/lat, m^2 for x/y)."""
-    return F.abs(signed_area(ring, u, v))
+    """Polygon area in the ring's units squared (deg^2 for lng/lat, m^2 for x/y); holes subtract."""
+    def one(r):
+        return _weight(r, u, v) * _total(F.transform(_ring_edges(r["pts"]), lambda e: _cross(e, u, v))) / 2.0
+
+    return _total(F.transform(_c(ring), one))
 
 
 def centroid(ring, u="lng", v="lat") -> Column:
-    """Area centroid of a simple polygon as struct(u, v)."""
+    """Area centroid over all rings as struct(u, v)."""
     ring = _c(ring)
-    e = _edges(ring)
-    cross = lambda s: s["a"][u] * s["b"][v] - s["b"][u] * s["a"][v]
-    cu = F.aggregate(F.transform(e, lambda s: (s["a"][u] + s["b"][u]) * cross(s)), F.lit(0.0), lambda a, t: a + t)
-    cv = F.aggregate(F.transform(e, lambda s: (s["a"][v] + s["b"][v]) * cross(s)), F.lit(0.0), lambda a, t: a + t)
-    a6 = signed_area(ring, u, v) * 6.0
-    return F.struct((cu / a6).alias(u), (cv / a6).alias(v))
-
-
-def all_within(ring_xy, cx, cy, r) -> Column:
-    """Every vertex of the (projected) ring strictly within r of (cx, cy)."""
-    cx, cy = _c(cx), _c(cy)
-    return F.forall(_c(ring_xy), lambda p: (p["x"] - cx) ** 2 + (p["y"] - cy) ** 2 < F.lit(float(r) ** 2))
+
+    def moment(w):
+        def one(r):
+            return _weight(r, u, v) * _total(F.transform(_ring_edges(r["pts"]), lambda e: (e["a"][w] + e["b"][w]) * _cross(e, u, v)))
+
+        return _total(F.transform(ring, one))
+
+    a6 = area(ring, u, v) * 6.0
+    return F.struct((moment(u) / a6).alias(u), (moment(v) / a6).alias(v))

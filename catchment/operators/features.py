@@ -19,8 +19,6 @@ from . import spatial_join as sj
 
 RADIUS_M = 1500
 ALL_GROUP = "__all__"
-# Fixed value: the POI categories of the reference data, in order of first appearance.
-POI_CATEGORIES = ["restaurant", "bank", "school", "bus_stop", "park", "pharmacy", "hospital", "mall"]
 
 
 def fill0(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,7 +40,7 @@ def _ids(sites: DataFrame, site_id: str) -> DataFrame:
 def catchment_count(sites, points, r=RADIUS_M, name=None, site_id="location_id", shape="circle") -> DataFrame:
     """Number of points strictly inside each site's catchment, 0-filled."""
     name = name or f"count_{int(r)}m"
-    sites_xy, pts = sj.ensure_xy(sites), sj.ensure_xy(points)
+    sites_xy, pts = sj.ensure_xy(sites, keep_nulls=True), sj.ensure_xy(points)
     agg = sj.radius_join(sites_xy, pts.select("x", "y"), r, site_id, shape).groupBy(site_id).agg(F.count("*").alias(name))
     return fill0(_ids(sites, site_id).join(agg, site_id, "left"), [name])
 
@@ -50,7 +48,7 @@ def catchment_count(sites, points, r=RADIUS_M, name=None, site_id="location_id",
 def catchment_sum(sites, points, col, r=RADIUS_M, name=None, site_id="location_id", shape="circle") -> DataFrame:
     """Sum of ``col`` over points in the catchment (population), 0-filled."""
     name = name or f"{col}_{int(r)}m"
-    sites_xy, pts = sj.ensure_xy(sites), sj.ensure_xy(points)
+    sites_xy, pts = sj.ensure_xy(sites, keep_nulls=True), sj.ensure_xy(points)
     agg = sj.radius_join(sites_xy, pts.select("x", "y", col), r, site_id, shape).groupBy(site_id).agg(
         F.sum(col).alias(name))
     return fill0(_ids(sites, site_id).join(agg, site_id, "left"), [name])
@@ -58,7 +56,7 @@ def catchment_sum(sites, points, col, r=RADIUS_M, name=None, site_id="location_i
 
 def nearest_distance(sites, points, point_id, name, site_id="location_id", by=(), by_values=None) -> DataFrame:
     """Nearest-point distance per site (left semantics: NULL for an empty layer)."""
-    out = sj.nearest_join(sj.ensure_xy(sites), sj.ensure_xy(points), site_id, point_id, by, by_values, dist_col=name)
+    out = sj.nearest_join(sj.ensure_xy(sites, keep_nulls=True), sj.ensure_xy(points), site_id, point_id, by, by_values, dist_col=name)
     return out.drop(point_id)
 
 
@@ -73,26 +71,27 @@ def poi_features(sites, poi, r=RADIUS_M, categories: Sequence[str] | None = None
                  shape="circle", point_id="poi_id") -> DataFrame:
     """Overall and per-category counts and nearest distances in one radius pass.
 
-    The per-category counts are one ``pivot`` over the pairs of a single radius
-    join; the per-category nearest distances are one ring search keyed by
-    (site, category) and pivoted with ``min``.
+    One radius join and one aggregate give all counts; one ring search keyed by
+    (site, category), in which each point also joins an extra group of all
+    points, gives all distances. The categories, which name the output
+    columns, are those in the data unless given; a point without a category
+    counts in the totals only.
     """
-    categories = list(categories or POI_CATEGORIES)
-    sites_xy, pts = sj.ensure_xy(sites), sj.ensure_xy(poi)
+    sites_xy, pts = sj.ensure_xy(sites, keep_nulls=True), sj.ensure_xy(poi)
+    if categories is None:
+        categories = sorted(r[0] for r in pts.select("category").where("category is not null").distinct().collect())
+    categories = list(categories)
     rr = int(r)
     pairs = sj.radius_join(sites_xy, pts.select("x", "y", "category"), r, site_id, shape)
-    counts = pairs.groupBy(site_id).pivot("category", categories).agg(F.count(F.lit(1))).withColumnsRenamed(
-        {c: f"poi_{c}_count_{rr}m" for c in categories})
-    total = pairs.groupBy(site_id).agg(F.count("*").alias(f"poi_count_{rr}m"))
-    # One ring search for the overall nearest and every category: each POI also
-    # joins an extra "all" group, so both come out of the same rounds.
-    objs = pts.select(point_id, "x", "y", "category").unionByName(
+    counts = pairs.groupBy(site_id).agg(
+        F.count("*").alias(f"poi_count_{rr}m"),
+        *[F.count_if(F.col("category") == c).alias(f"poi_{c}_count_{rr}m") for c in categories])
+    objs = pts.select(point_id, "x", "y", "category").where(F.col("category").isin(categories)).unionByName(
         pts.select(point_id, "x", "y", F.lit(ALL_GROUP).alias("category")))
     near = sj.nearest_join(sites_xy, objs, site_id, point_id, ["category"], categories + [ALL_GROUP], dist_col="d")
     near = near.groupBy(site_id).pivot("category", categories + [ALL_GROUP]).agg(F.min("d")).withColumnsRenamed(
         {**{c: f"nearest_poi_{c}_m" for c in categories}, ALL_GROUP: "nearest_poi_m"})
-    out = (_ids(sites, site_id).join(total, site_id, "left")
-           .join(counts, site_id, "left").join(near, site_id, "left"))
+    out = _ids(sites, site_id).join(counts, site_id, "left").join(near, site_id, "left")
     out = fill0(out, [f"poi_count_{rr}m"] + [f"poi_{c}_count_{rr}m" for c in categories])
     order = [site_id, f"poi_count_{rr}m", "nearest_poi_m"]
     for c in categories:
@@ -118,10 +117,10 @@ def building_features(sites, buildings, r=RADIUS_M, site_id="location_id", shape
     rr = int(r)
     b = buildings if "ring_xy" in buildings.columns else prepare_buildings(buildings)
     b = b.select(category, "ring_xy")
-    pairs = sj.radius_join_polygons(sj.ensure_xy(sites), b, r, site_id, shape=shape)
+    pairs = sj.radius_join_polygons(sj.ensure_xy(sites, keep_nulls=True), b, r, site_id, shape=shape)
     agg = pairs.groupBy(site_id).agg(
         F.count("*").alias(f"building_count_{rr}m"),
-        F.count_if(flag_in(F.col(category), RESIDENTIAL_CATEGORIES) == 1).alias(f"residential_count_{rr}m"),
+        F.count_if(F.col(category).isin(RESIDENTIAL_CATEGORIES)).alias(f"residential_count_{rr}m"),
     )
     out = fill0(_ids(sites, site_id).join(agg, site_id, "left"),
                 [f"building_count_{rr}m", f"residential_count_{rr}m"])
@@ -144,23 +143,17 @@ def footfall_features(sites, traces, r=RADIUS_M, predicate: Column | None = None
     distinct users. ``approx=True`` swaps in HyperLogLog.
     """
     rr = int(r)
-    pairs = sj.dwithin_join(sites, traces.select("latitude", "longitude", "occured_at", "proxi_user_id"),
-                            r, site_id, predicate)
+    pairs = sj.dwithin_join(sites, traces, r, site_id, predicate)
     users = (F.approx_count_distinct("proxi_user_id") if approx else F.count_distinct("proxi_user_id"))
     agg = pairs.groupBy(site_id).agg(F.count("*").alias(f"signals_{rr}m"), users.alias(f"unique_users_{rr}m"))
     return fill0(_ids(sites, site_id).join(agg, site_id, "left"), [f"signals_{rr}m", f"unique_users_{rr}m"])
 
 
-def flag_in(col: Column, values: Sequence[str]) -> Column:
-    """1 when col is in values, else 0 (NULL -> 0)."""
-    return F.coalesce(col.isin(list(values)).cast("int"), F.lit(0))
-
-
 def store_building(sites, buildings, site_id="location_id", poly_id="lokalnyid",
                    category="funogolnabudynku_desc") -> DataFrame:
     """C9 features: area of the building containing (or nearest to) each store, retail flag."""
     b = buildings if "ring_xy" in buildings.columns else prepare_buildings(buildings)
-    near = sj.containing_or_nearest(sj.ensure_xy(sites), b, site_id, poly_id, attrs=["area", category])
+    near = sj.containing_or_nearest(sj.ensure_xy(sites, keep_nulls=True), b, site_id, poly_id, attrs=["area", category])
     return near.select(
         site_id,
         F.col("area").alias("store_building_area"),
@@ -180,7 +173,7 @@ def site_features(sites, competitors=None, poi=None, buildings=None, addresses=N
                   r=RADIUS_M, predicate: Column | None = None, categories=None, site_id="location_id",
                   shape="circle") -> DataFrame:
     """The full catchment feature matrix for any site set (stores or grid cells)."""
-    sites_xy = sj.ensure_xy(sites)
+    sites_xy = sj.ensure_xy(sites, keep_nulls=True)
     parts = []
     if competitors is not None:
         parts.append(competitor_features(sites_xy, competitors, r, site_id, shape))
@@ -191,5 +184,5 @@ def site_features(sites, competitors=None, poi=None, buildings=None, addresses=N
     if addresses is not None:
         parts.append(population_features(sites_xy, addresses, r, site_id, shape))
     if traces is not None:
-        parts.append(footfall_features(sites, traces, r, predicate, site_id))
+        parts.append(footfall_features(sites_xy, traces, r, predicate, site_id))
     return assemble(sites, *parts, site_id=site_id)

@@ -16,20 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import spatial_join as sj
 
 
 def hex_grid(area: DataFrame, flat_to_flat_m: float, ring: str = "ring", area_id: str | None = None) -> DataFrame:
     """Cells (cell_id, q, r, x, y, lng, lat) whose centre is strictly inside the polygon(s)."""
     w = float(flat_to_flat_m)
     h = w * math.sqrt(3.0) / 2.0  # distance between hex rows
-    rxy = F.transform(F.col(ring), lambda v: geo.project_struct(v["lng"], v["lat"]))
-    xs, ys = F.transform(rxy, lambda v: v["x"]), F.transform(rxy, lambda v: v["y"])
-    b = area.select(*([area_id] if area_id else []), ring,
-                    F.array_min(xs).alias("__x0"), F.array_max(xs).alias("__x1"),
-                    F.array_min(ys).alias("__y0"), F.array_max(ys).alias("__y1"))
+    b = geo.ring_bounds(geo.ring_to_xy(F.col(ring)), "x", "y")
+    b = area.select(*([area_id] if area_id else []), ring, b["min_x"].alias("__x0"), b["max_x"].alias("__x1"),
+                    b["min_y"].alias("__y0"), b["max_y"].alias("__y1"))
     rows = b.select("*", F.explode(F.sequence(F.floor(F.col("__y0") / h).cast("long"),
                                               F.ceil(F.col("__y1") / h).cast("long"))).alias("r"))
+    rows = rows.repartition("r")  # a single area's cells are made in many tasks
     # centre x = (q + r/2) * w  =>  q in [x0/w - r/2, x1/w - r/2]
     q0 = F.floor(F.col("__x0") / w - F.col("r") / 2.0).cast("long")
     q1 = F.ceil(F.col("__x1") / w - F.col("r") / 2.0).cast("long")
@@ -42,8 +40,3 @@ def hex_grid(area: DataFrame, flat_to_flat_m: float, ring: str = "ring", area_id
     return cells.select(
         F.concat_ws(":", F.col("q").cast("string"), F.col("r").cast("string")).alias("cell_id"),
         *([area_id] if area_id else []), "q", "r", "x", "y", "lng", "lat")
-
-
-def cells_in_polygons(cells: DataFrame, polys: DataFrame, ring: str = "ring") -> DataFrame:
-    """Keep cells whose centre lies in any polygon of a layer (grid-keyed semi join)."""
-    return sj.inside(cells, polys.select(ring), ring=ring)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import spatial_join as sj
+from ..session import checkpoint
 
 
 def row_count(df: DataFrame, pred: Column | None = None, name: str = "n") -> DataFrame:
@@ -91,21 +92,46 @@ def repeated_values(df: DataFrame, col: str) -> DataFrame:
     return value_counts(df, col, df.agg(F.count_distinct(col)).scalar(), min_count=1)
 
 
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of one column with linear interpolation between ranks.
+
+    The values are range-sorted and landed with their place (partition and row),
+    rows are counted per partition, and only the neighbours of the wanted ranks
+    are read: no task and no buffer holds all values. NULLs don't count.
+    """
+    v = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    ranked, _ = checkpoint(v.orderBy("v").withColumn("m", F.monotonically_increasing_id()))
+    counts = sorted((r["p"], r["n"]) for r in ranked.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    n = sum(c for _, c in counts)
+    if not n:
+        return [None] * len(qs)
+
+    def place(rank: int) -> int:
+        for p, c in counts:
+            if rank < c:
+                return (p << 33) + rank
+            rank -= c
+        raise IndexError(rank)
+
+    at = [(q * (n - 1)) for q in qs]
+    wanted = {k: place(k) for x in at for k in (int(x), min(int(x) + 1, n - 1))}
+    value = {r["m"]: r["v"] for r in ranked.where(F.col("m").isin(list(wanted.values()))).collect()}
+    return [value[wanted[int(x)]] + (x - int(x)) * (value[wanted[min(int(x) + 1, n - 1)]] - value[wanted[int(x)]]) for x in at]
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles, max per column (one pass)."""
-    aggs = []
+    """Count, mean, sample std, min, exact quartiles, max per column."""
+    aggs, rows = [], []
     for c in cols:
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"),
-                 F.min(v).alias(f"{c}__min"), F.percentile(v, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
-                 F.max(v).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
-        F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
-        F.col(f"{c}__q")[0].alias("q25"), F.col(f"{c}__q")[1].alias("q50"), F.col(f"{c}__q")[2].alias("q75"),
-        F.col(f"{c}__max").alias("max")) for c in cols])
-    return wide.select(F.inline(rows))
+                 F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
+        q = [F.lit(x).cast("double") for x in exact_quantiles(df, c, [0.25, 0.5, 0.75])]
+        rows.append(F.struct(
+            F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
+            F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
+            q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.col(f"{c}__max").alias("max")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
@@ -145,18 +171,26 @@ def skew_kurt(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """Equal-width histogram over [min, max], last bin closed, empty bins kept."""
+def histogram(df: DataFrame, col: str, bins: int = 10, edges: Sequence[float] | None = None) -> DataFrame:
+    """Histogram over ``edges``, or ``bins`` equal widths over [min, max]; last bin closed, empty bins kept."""
     v = F.col(col).cast("double")
-    st = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    lo, hi = st.select("lo").scalar(), st.select("hi").scalar()
-    width = (hi - lo) / F.lit(float(bins))
-    idx = F.least(F.floor(F.try_divide((v - lo) * F.lit(float(bins)), hi - lo)), F.lit(bins - 1)).cast("int")
-    counts = df.where(v.isNotNull()).groupBy(F.coalesce(idx, F.lit(0)).alias("bin")).agg(F.count("*").alias("count"))
+    if edges is not None:
+        cuts = [float(e) for e in edges]
+        bins, width = len(cuts) - 1, None
+        idx = sum(((v >= c).cast("int") for c in cuts[1:-1]), F.lit(0))
+        counts = df.where(v.between(cuts[0], cuts[-1])).groupBy(idx.alias("bin")).agg(F.count("*").alias("count"))
+        lower = F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("bin") + 1)
+        upper = F.element_at(F.array(*[F.lit(c) for c in cuts]), F.col("bin") + 2)
+    else:
+        st = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+        lo, hi = st.select("lo").scalar(), st.select("hi").scalar()
+        width = (hi - lo) / F.lit(float(bins))
+        idx = F.least(F.floor(F.try_divide((v - lo) * F.lit(float(bins)), hi - lo)), F.lit(bins - 1)).cast("int")
+        counts = df.where(v.isNotNull()).groupBy(F.coalesce(idx, F.lit(0)).alias("bin")).agg(F.count("*").alias("count"))
+        lower, upper = lo + F.col("bin") * width, lo + (F.col("bin") + 1) * width
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = grid.join(counts, "bin", "left").select(
-        "bin", (lo + F.col("bin") * width).alias("lower"), (lo + (F.col("bin") + 1) * width).alias("upper"),
-        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+        "bin", lower.alias("lower"), upper.alias("upper"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
     return out.orderBy("bin")
 
 
@@ -188,9 +222,11 @@ def tail_bins(df: DataFrame, col: str, cutoff: float, edges: Sequence[float]) ->
     grid = grid.where(F.col("lower") < mx).withColumn(
         "upper", F.when(F.col("upper_raw").isNull() | (F.col("upper_raw") >= mx), mx.cast("double"))
         .otherwise(F.col("upper_raw"))).drop("upper_raw")
-    b = F.broadcast(grid)
-    pairs = tail.select(v.alias("__v")).join(b, (F.col("__v") >= b["lower"]) & (F.col("__v") < b["upper"]))
-    counts = pairs.groupBy("lower").agg(F.count("*").alias("count"))
+    # the bin of a value is the last edge not above it: plain comparisons, no range join
+    at = F.lit(float(cutoff))
+    for e in cand:
+        at = F.when(v >= F.lit(e), F.lit(e)).otherwise(at)
+    counts = tail.groupBy(at.alias("lower")).agg(F.count("*").alias("count"))
     return grid.join(counts, "lower", "left").select(
         F.format_string("[%d, %d]", F.col("lower").cast("bigint"), (F.col("upper") - 1).cast("bigint")).alias("bin"),
         F.col("lower"), F.col("upper"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
@@ -215,33 +251,33 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def district_summary(polys: DataFrame, layers: dict[str, DataFrame], poly_id="district_id",
                      name="name", ring="ring") -> DataFrame:
-    """Per-polygon counts of several point layers, plus a 'None' row for points in none."""
-    out = polys.select(poly_id, name)
-    none_counts = []
-    for lname, pts in layers.items():
-        pts = pts.select("lng", "lat")
-        pairs = sj.pip_join(pts, polys.select(poly_id, ring), "inner", ring=ring)
-        cnt = pairs.groupBy(poly_id).agg(F.count("*").alias(lname))
-        out = out.join(cnt, poly_id, "left")
-        none_counts.append(sj.unassigned(pts, polys.select(poly_id, ring), ring=ring).agg(F.count("*")).scalar().alias(lname))
-    out = out.fillna(0, list(layers))
+    """Per-polygon counts of several point layers, plus a 'None' row for points in none.
+
+    One left join per layer over the landed polygons; points in no polygon are its NULL group.
+    """
+    polys, _ = checkpoint(polys.select(poly_id, name, ring))
     spark = polys.sparkSession
-    none_row = spark.range(1).select(F.lit(None).cast(out.schema[poly_id].dataType).alias(poly_id),
-                                     F.lit("None").alias(name), *none_counts)
-    return out.withColumns({c: F.col(c).cast("bigint") for c in layers}).unionByName(
-        none_row.withColumns({c: F.col(c).cast("bigint") for c in layers}))
+    none_row = spark.range(1).select(F.lit(None).cast(polys.schema[poly_id].dataType).alias(poly_id), F.lit("None").alias(name))
+    out = polys.select(poly_id, name).unionByName(none_row)
+    for lname, pts in layers.items():
+        pairs = sj.pip_join(pts.select("lng", "lat"), polys.select(poly_id, ring), "left", ring=ring)
+        cnt = pairs.groupBy(F.col(poly_id).alias("__id")).agg(F.count("*").alias(lname))
+        out = out.join(cnt, F.col(poly_id).eqNullSafe(F.col("__id")), "left").drop("__id")
+    return out.fillna(0, list(layers))
 
 
 def coverage(polys: DataFrame, area: DataFrame, cell_deg: float = 0.005, ring="ring") -> DataFrame:
     """Area of the polygons' union and the part outside ``area`` (deg^2), on a grid of cell centres.
 
     A sampled estimate of the exact overlay: cell centres over the layer's
-    bbox (``spark.range``, distributed) are tested against both layers.
+    bbox are tested against both layers. The columns of the grid are dealt out
+    before its cells are made.
     """
     b = geo_bounds(polys, ring)
     # Distributed grid: one row per cell, generated from the layer's extent.
-    grid = (b.select("*", F.explode(F.sequence(F.lit(0), F.ceil((F.col("maxx") - F.col("minx")) / cell_deg).cast("int") - 1)).alias("i"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.ceil((F.col("maxy") - F.col("miny")) / cell_deg).cast("int") - 1)).alias("j"))
+    steps = {v: F.greatest(F.ceil((F.col("max" + v) - F.col("min" + v)) / cell_deg).cast("int"), F.lit(1)) - 1 for v in "xy"}
+    grid = (b.select("*", F.explode(F.sequence(F.lit(0), steps["x"])).alias("i")).repartition("i")
+            .select("*", F.explode(F.sequence(F.lit(0), steps["y"])).alias("j"))
             .select((F.col("minx") + (F.col("i") + 0.5) * cell_deg).alias("lng"),
                     (F.col("miny") + (F.col("j") + 0.5) * cell_deg).alias("lat")))
     in_polys = sj.inside(grid, polys.select(ring), ring=ring)
@@ -269,15 +305,9 @@ def compare_groups(a: DataFrame, b: DataFrame, cols: Sequence[str], names=("grou
     return ma.join(mb, "feature")
 
 
-def minmax(df: DataFrame, col: str) -> DataFrame:
-    """D28."""
-    return df.agg(F.min(col).alias("min"), F.max(col).alias("max"))
-
-
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - k*IQR, Q3 + k*IQR], with deviation (v - median) / IQR (2 dp)."""
-    q = df.agg(F.percentile(F.col(col).cast("double"), [0.25, 0.5, 0.75]).alias("q"))
-    q1, q2, q3 = (q.select(F.col("q")[i]).scalar() for i in range(3))
+    q1, q2, q3 = (F.lit(q).cast("double") for q in exact_quantiles(df, col, [0.25, 0.5, 0.75]))
     iqr = q3 - q1
     v = F.col(col)
     return df.where((v < q1 - F.lit(k) * iqr) | (v > q3 + F.lit(k) * iqr)).withColumn(

@@ -3,9 +3,10 @@
 Spark has no distance or containment join, and a theta join on ``distance < r``
 plans as a nested-loop join. Every join here instead keys both sides by a grid
 cell, replicates the *small* side into the neighbouring cells it can reach,
-equi-joins on the cell (broadcast hash join when the replicated side is proven
-small, otherwise a shuffle join that AQE can split on hot cells) and applies
-the exact geometric predicate as a post-filter inside the same codegen stage.
+equi-joins on the cell and applies the exact geometric predicate as a
+post-filter inside the same codegen stage. No side is hinted: Spark broadcasts
+one whose size in bytes is below its threshold, known from the files or, with
+AQE, from the finished shuffle, and otherwise shuffles both and splits hot cells.
 """
 
 from __future__ import annotations
@@ -15,20 +16,37 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
-from ..session import DEFAULT_BROADCAST_ROWS, broadcast_if_small, checkpoint
+from ..session import checkpoint
 
 SHAPES = ("circle", "polygon64")
 # Fixed value: the reference buffers with 16 segments per quarter circle (a 64-gon).
 BUFFER_SEGMENTS = 64
-# Haversine / planar distance ratio over the analysis region is 0.9975-1.0004,
-# so a planar prefilter of r * 1.005 never drops a geodesic match.
-GEODESIC_PREFILTER = 1.005
+NAN = float("nan")
 
 
-def ensure_xy(df: DataFrame, lng="lng", lat="lat") -> DataFrame:
-    return df if "x" in df.columns and "y" in df.columns else geo.with_xy(df, lng, lat)
+def geodesic_prefilter(max_easting_m: float, r: float) -> float:
+    """Upper bound of planar / haversine distance for sites within ``max_easting_m`` of the central meridian.
+
+    The scale of the projection grows with the offset E from the meridian at
+    most as 0.9993 * cosh(E / (0.9993 R_min)), with R_min = 6335 km, the
+    smallest radius of curvature of the ellipsoid; its largest, 6400 km, is
+    1.0046 times the radius of the haversine sphere. A margin of 0.05 % covers
+    the curvature of the grid lines over the radius.
+    """
+    return 0.9993 * math.cosh((max_easting_m + 2.0 * r) / (0.9993 * 6.335e6)) * 1.0046 * 1.0005
+
+
+def ensure_xy(df: DataFrame, lng="lng", lat="lat", keep_nulls: bool = False) -> DataFrame:
+    """Metric ``x, y`` if missing. Sites pass ``keep_nulls``: one without coordinates stays, with NULL ``x, y``."""
+    return df if "x" in df.columns and "y" in df.columns else geo.with_xy(df, lng, lat, keep_nulls=keep_nulls)
+
+
+def _key(c: str, cell) -> Column:
+    """Cell number; NaN for a missing coordinate keeps the key non-nullable and meets nothing (NaN < r is false)."""
+    return F.floor(F.coalesce(F.col(c), F.lit(NAN)) / cell).cast("long")
 
 
 def in_catchment(dx: Column, dy: Column, r: float, shape: str = "circle") -> Column:
@@ -58,17 +76,14 @@ def _cells_around(df: DataFrame, x: str, y: str, cell: float, k: int, prefix: st
     off = F.explode(_neighbour_offsets(k)).alias("__off")
     return (
         df.select("*", off)
-        .withColumn(prefix + "x", F.floor(F.col(x) / cell).cast("long") + F.col("__off.dx"))
-        .withColumn(prefix + "y", F.floor(F.col(y) / cell).cast("long") + F.col("__off.dy"))
+        .withColumn(prefix + "x", _key(x, cell) + F.col("__off.dx"))
+        .withColumn(prefix + "y", _key(y, cell) + F.col("__off.dy"))
         .drop("__off")
     )
 
 
 def _cell_of(df: DataFrame, x: str, y: str, cell: float, prefix: str = "__c") -> DataFrame:
-    return df.withColumns({
-        prefix + "x": F.floor(F.col(x) / cell).cast("long"),
-        prefix + "y": F.floor(F.col(y) / cell).cast("long"),
-    })
+    return df.withColumns({prefix + "x": _key(x, cell), prefix + "y": _key(y, cell)})
 
 
 def radius_join(
@@ -79,20 +94,21 @@ def radius_join(
     shape: str = "circle",
     dist_col: str = "d",
     cell: float | None = None,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    site_attrs: Sequence[str] = (),
 ) -> DataFrame:
     """All (site, point) pairs with the point strictly inside the site's catchment.
 
     Both inputs carry metric ``x, y``. Sites are replicated to the 3x3 cells of
     side ``r`` around them (9 rows per site, the small side); each point keeps
-    its single cell, so every pair meets exactly once. Output: the point's
-    columns, ``site_id`` and the planar distance ``dist_col``.
+    its single cell, so every pair meets exactly once. Rows without coordinates
+    match nothing. Output: the point's columns, ``site_id``, ``site_attrs`` and
+    the planar distance ``dist_col``.
     """
     cell = float(cell or r)
     k = max(1, math.ceil(r / cell))
-    s = sites.select(F.col(site_id), F.col("x").alias("__sx"), F.col("y").alias("__sy"))
-    s = broadcast_if_small(_cells_around(s, "__sx", "__sy", cell, k), max_broadcast_rows)
-    p = _cell_of(points, "x", "y", cell)
+    s = sites.select(F.col(site_id), *site_attrs, F.col("x").alias("__sx"), F.col("y").alias("__sy")).where(F.col("x").isNotNull())
+    s = _cells_around(s, "__sx", "__sy", cell, k)
+    p = _cell_of(points.where(F.col("x").isNotNull()), "x", "y", cell)
     dx, dy = F.col("x") - F.col("__sx"), F.col("y") - F.col("__sy")
     return (
         p.join(s, ["__cx", "__cy"])
@@ -115,17 +131,15 @@ def radius_join_polygons(
     The catchment is convex, so a polygon is inside iff all its vertices are.
     The first vertex must then be within r, so it serves as the join point.
     """
-    first = F.col(ring_xy).getItem(0)
-    keyed = polys.withColumns({"x": first["x"], "y": first["y"]})
-    pairs = radius_join(sites, keyed.withColumn("__psid", F.lit(0)), r, site_id, shape, dist_col="__d")
-    s = sites.select(F.col(site_id).alias("__jid"), F.col("x").alias("__sx2"), F.col("y").alias("__sy2"))
-    # site coordinates are needed for the vertex test: re-attach (small side, equi-join on id)
-    pairs = pairs.join(broadcast_if_small(s), F.col(site_id) == F.col("__jid"))
+    first = F.col(ring_xy).getItem(0)["pts"].getItem(0)
+    keyed = polys.where(F.col(ring_xy).isNotNull()).withColumns({"x": first["x"], "y": first["y"]})
+    named = sites.withColumns({"__jx": F.col("x"), "__jy": F.col("y")})
+    pairs = radius_join(named, keyed, r, site_id, shape, dist_col="__d", site_attrs=["__jx", "__jy"])
     inside = F.forall(
-        F.col(ring_xy),
-        lambda v: in_catchment(v["x"] - F.col("__sx2"), v["y"] - F.col("__sy2"), r, shape),
+        geo.vertices(F.col(ring_xy)),
+        lambda v: in_catchment(v["x"] - F.col("__jx"), v["y"] - F.col("__jy"), r, shape),
     )
-    return pairs.where(inside).drop("x", "y", "__psid", "__d", "__jid", "__sx2", "__sy2")
+    return pairs.where(inside).drop("x", "y", "__d", "__jx", "__jy")
 
 
 def _far_corner(sx: Column, sy: Column) -> Column:
@@ -149,8 +163,6 @@ def ring_search(
     dist_col: str = "d",
     max_rounds: int = 64,
     carry: Sequence[str] = (),
-    max_groups: int = 10_000,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """Exact nearest object per site (and per ``by`` group) by expanding grid rings.
 
@@ -158,97 +170,79 @@ def ring_search(
     the group's density. Each unresolved site is replicated into its 3x3 cells
     and equi-joined to the objects' cells, which finds every object whose
     reference point is within c. A site is resolved when its best distance is
-    <= c - slack (no unseen object can be closer) or when c covers the group's
-    whole extent. Unresolved sites go to the next round; each round's result is
-    checkpointed to the shared folder, so lineage stays one round long. Ties
-    keep the lowest ``object_id``; sites whose group is empty get NULL.
-
-    ``by`` must be low-cardinality (categories): its per-group extent is one
-    small aggregate, checked against ``max_groups``.
+    <= c - slack of the group (no unseen object can be closer) or when c covers
+    the group's whole extent. Unresolved sites go to the next round; each
+    round's result is checkpointed to the shared folder, so lineage stays one
+    round long. Ties keep the lowest ``object_id``.
+
+    The result has a row for every site and every value of ``by`` in
+    ``by_values`` (default: those in the data, NULL among them). Sites without
+    coordinates and sites whose group is empty get NULL. Groups are numbered in
+    a landed table of one row each; nothing but a count reaches the driver.
     """
     by = list(by)
     dist = dist or (lambda sx, sy: geo.planar_distance("x", "y", sx, sy))
-    obj = objects.select(*by, object_id, "x", "y", *attrs, *[c for c in carry if c not in attrs],
-                         *([slack.alias("__slack")] if slack is not None else []))
+    obj = objects.where(F.col("x").isNotNull()).select(
+        *by, object_id, "x", "y", *attrs, *[c for c in carry if c not in attrs],
+        *([slack.alias("__slack")] if slack is not None else []))
     slack_agg = F.max("__slack") if slack is not None else F.lit(0.0)
-    stats = (
-        obj.groupBy(*by).agg(
-            F.count("*").alias("n"), F.min("x").alias("minx"), F.max("x").alias("maxx"),
-            F.min("y").alias("miny"), F.max("y").alias("maxy"), slack_agg.alias("slack"),
-        ).limit(max_groups + 1).collect()
-    )
-    if len(stats) > max_groups:
-        raise ValueError(f"ring_search: more than {max_groups} groups in {by}")
-    stats = [r for r in stats if r["n"]]  # a global aggregate of an empty layer yields n = 0
-    groups = {tuple(r[b] for b in by): r for r in stats}
-    if by_values is None:
-        by_values = list(groups)
-    vals = [v if isinstance(v, tuple) else (v,) for v in by_values] if by else [()]
-    slack_val = max([float(r["slack"] or 0.0) for r in stats] + [0.0])
-
-    def start_cell(r):
-        if c0 is not None:
-            return max(float(c0), 2.0 * slack_val, 1.0)
-        span = max(r["maxx"] - r["minx"], r["maxy"] - r["miny"], 1.0)
-        return max(2.0 * span / math.sqrt(r["n"]), 2.0 * slack_val, 1.0)
-
-    def group_struct(t):
-        r = groups.get(t)
-        cols = [F.lit(t[i]).alias(b) for i, b in enumerate(by)]
-        nums = ([r["minx"], r["maxx"], r["miny"], r["maxy"], start_cell(r)] if r else [None] * 5)
-        cols += [F.lit(v).cast("double").alias(n) for v, n in zip(nums, ["__minx", "__maxx", "__miny", "__maxy", "__c0"])]
-        return F.struct(*cols)
-
-    grp = F.explode(F.array(*[group_struct(t) for t in vals])).alias("__g")
-    rem = sites.select(site_id, F.col("x").alias("__sx"), F.col("y").alias("__sy"), grp).select(
-        site_id, "__sx", "__sy", "__g.*"
-    )
+    span = F.greatest(F.col("__maxx") - F.col("__minx"), F.col("__maxy") - F.col("__miny"), F.lit(1.0))
+    start = F.lit(float(c0)) if c0 is not None else 2.0 * span / F.sqrt("n")
+    stats = obj.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("x").alias("__minx"), F.max("x").alias("__maxx"),
+        F.min("y").alias("__miny"), F.max("y").alias("__maxy"), F.coalesce(slack_agg, F.lit(0.0)).alias("__sl"),
+    ).where("n > 0").withColumn("__c0", F.greatest(start, 2.0 * F.col("__sl"), F.lit(1.0)))
+    if by and by_values is not None:
+        vals = [v if isinstance(v, tuple) else (v,) for v in by_values]
+        types = [objects.schema[b].dataType.simpleString() for b in by]
+        asked = objects.sparkSession.createDataFrame(vals, ", ".join(f"`__v{i}` {t}" for i, t in enumerate(types)))
+        match = F.lit(True)
+        for i, b in enumerate(by):
+            match = match & F.col(b).eqNullSafe(F.col(f"__v{i}"))
+        stats = asked.join(stats, match, "left").select(*[F.col(f"__v{i}").alias(b) for i, b in enumerate(by)],
+                                                        *[c for c in stats.columns if c not in by])
+    stats, _ = checkpoint(stats.withColumn("__g", F.row_number().over(Window.orderBy(*(by or [F.lit(0)])))))
+    nums = ["__minx", "__maxx", "__miny", "__maxy", "__c0", "__sl", "__g"]
+    # every site meets every group: the table of groups, one row each, is carried as one array value
+    groups = stats.agg(F.collect_list(F.struct(*by, *nums))).scalar()
+    rem = sites.select(site_id, F.col("x").alias("__sx"), F.col("y").alias("__sy"), F.explode_outer(groups).alias("__e"))
+    rem = rem.select(site_id, "__sx", "__sy", "__e.*")
     rem = rem.withColumn("__far", _far_corner(F.col("__sx"), F.col("__sy"))).drop("__minx", "__maxx", "__miny", "__maxy")
-    # Start cell per group for the object side (a literal map over the few groups).
+    numbered = stats.where(F.col("__c0").isNotNull()).select(*[F.col(b).alias(f"__b_{b}") for b in by], "__g", "__c0")
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__b_{b}"))
     if by:
-        key = F.struct(*[F.col(b) for b in by]) if len(by) > 1 else F.col(by[0])
-        m = F.create_map(*[x for t in groups for x in (
-            F.struct(*[F.lit(v).alias(b) for v, b in zip(t, by)]) if len(by) > 1 else F.lit(t[0]),
-            F.lit(start_cell(groups[t])))])
-        obj_c0 = F.element_at(m, key)
+        obj = obj.join(numbered, same).drop(*by, *[f"__b_{b}" for b in by])
     else:
-        obj_c0 = F.lit(start_cell(stats[0]) if stats and stats[0]["n"] else 1.0)
-    obj = obj.withColumn("__c0", obj_c0)
+        one = numbered.agg(F.max("__c0").alias("c")).scalar()
+        obj = obj.withColumns({"__g": F.lit(1), "__c0": F.coalesce(one, F.lit(1.0))})
 
     done = []
-    keys = [site_id, *by]
-    n_rem = None
+    keys = [site_id, "__g"]
     for k in range(max_rounds):
-        scale = float(2**k)
-        cell = F.col("__c0") * F.lit(scale)
-        s9 = rem.where(F.col("__c0").isNotNull()).select(
+        cell = F.col("__c0") * F.lit(float(2**k))
+        s9 = rem.where(F.col("__c0").isNotNull() & F.col("__sx").isNotNull()).select(
             "*", F.explode(_neighbour_offsets(1)).alias("__off")
         ).select(
             *keys, "__sx", "__sy",
-            (F.floor(F.col("__sx") / cell).cast("long") + F.col("__off.dx")).alias("__cx"),
-            (F.floor(F.col("__sy") / cell).cast("long") + F.col("__off.dy")).alias("__cy"),
+            (_key("__sx", cell) + F.col("__off.dx")).alias("__cx"),
+            (_key("__sy", cell) + F.col("__off.dy")).alias("__cy"),
         )
-        if n_rem is None or 9 * n_rem <= max_broadcast_rows:
-            s9 = broadcast_if_small(s9, max_broadcast_rows) if n_rem is None else F.broadcast(s9)
-        o = obj.select("*", F.floor(F.col("x") / cell).cast("long").alias("__cx"),
-                       F.floor(F.col("y") / cell).cast("long").alias("__cy")).drop("__c0")
-        cand = o.join(s9, [*by, "__cx", "__cy"])
+        o = obj.select("*", _key("x", cell).alias("__cx"), _key("y", cell).alias("__cy")).drop("__c0")
+        cand = o.join(s9, ["__g", "__cx", "__cy"])
         best = cand.groupBy(*keys).agg(
             F.min(F.struct(dist(F.col("__sx"), F.col("__sy")).alias("d"), F.col(object_id).alias("id"),
                            *[F.col(a) for a in attrs])).alias("__best")
         )
-        c = F.col("__c0") * F.lit(scale)
-        resolved = (
-            F.col("__far").isNull()
-            | (F.col("__best.d") <= c - F.lit(slack_val))
-            | (c >= F.col("__far"))
-        )
-        res, m = checkpoint(rem.join(best, keys, "left").withColumn("__ok", F.coalesce(resolved, F.lit(False))),
+        resolved = F.col("__far").isNull() | (F.col("__best.d") <= cell - F.col("__sl")) | (cell >= F.col("__far"))
+        found = best.withColumnsRenamed({c: f"__f_{c}" for c in keys})
+        full = rem.join(found, (F.col(site_id) == F.col(f"__f_{site_id}")) & (F.col("__g") == F.col("__f___g")), "left")
+        res, m = checkpoint(full.drop(*[f"__f_{c}" for c in keys]).withColumn("__ok", F.coalesce(resolved, F.lit(False))),
                             observe={"left": F.count_if(~F.col("__ok"))})
         done.append(res.where("__ok"))
         rem = res.where(~F.col("__ok")).drop("__best", "__ok")
-        n_rem = m["left"]
-        if n_rem == 0:
+        if m["left"] == 0:
             break
     else:  # pragma: no cover - extent is finite, so c outgrows it
         raise RuntimeError("ring search did not converge")
@@ -256,7 +250,7 @@ def ring_search(
     for d in done[1:]:
         out = out.unionByName(d)
     return out.select(
-        *keys,
+        site_id, *by,
         F.col("__best.d").alias(dist_col),
         F.col("__best.id").alias(object_id),
         *[F.col("__best." + a).alias(a) for a in attrs],
@@ -279,16 +273,18 @@ def nearest_join(
 
 
 def _poly_keyed(polys: DataFrame, ring: str, ring_xy: str = "ring_xy") -> DataFrame:
-    """Reference point (bbox centre) and half-diagonal for polygon ring search."""
+    """Reference point (bbox centre), half-diagonal and size class (its power of two) for polygon ring search."""
     if ring_xy not in polys.columns:
         polys = polys.withColumn(ring_xy, geo.ring_to_xy(F.col(ring)))
-    xs = F.transform(F.col(ring_xy), lambda v: v["x"])
-    ys = F.transform(F.col(ring_xy), lambda v: v["y"])
-    return polys.withColumns({
-        "x": (F.array_min(xs) + F.array_max(xs)) / 2,
-        "y": (F.array_min(ys) + F.array_max(ys)) / 2,
-        "__half": F.sqrt((F.array_max(xs) - F.array_min(xs)) ** 2 + (F.array_max(ys) - F.array_min(ys)) ** 2) / 2,
-    })
+    b = geo.ring_bounds(F.col(ring_xy), "x", "y")
+    polys = polys.where(F.col(ring_xy).isNotNull()).withColumns({f"__{k}": v for k, v in b.items()})
+    half = F.sqrt((F.col("__max_x") - F.col("__min_x")) ** 2 + (F.col("__max_y") - F.col("__min_y")) ** 2) / 2
+    polys = polys.withColumns({
+        "x": (F.col("__min_x") + F.col("__max_x")) / 2,
+        "y": (F.col("__min_y") + F.col("__max_y")) / 2,
+        "__half": half,
+    }).drop("__min_x", "__max_x", "__min_y", "__max_y")
+    return polys.withColumn("__class", F.ceil(F.log2(F.greatest(F.col("__half"), F.lit(1.0)))).cast("int"))
 
 
 def nearest_polygon(
@@ -303,17 +299,21 @@ def nearest_polygon(
 ) -> DataFrame:
     """Nearest polygon per site, 0 when the site is inside it (lowest id on ties).
 
-    Ring search on bbox centres; the largest half-diagonal is the slack that
-    turns a centre distance into a bound on the true polygon distance.
+    Ring search on bbox centres within classes of polygons of like size; a
+    class's largest half-diagonal is the slack that turns a centre distance
+    into a bound on the true polygon distance, so one huge polygon doesn't
+    widen the search among small ones. The best class gives the answer.
     """
     # Land the keyed layer once: every round reads stored rings and centres.
-    keyed, _ = checkpoint(_poly_keyed(polys, ring).select(poly_id, "x", "y", "ring_xy", "__half", *attrs))
+    keyed, _ = checkpoint(_poly_keyed(polys, ring).select(poly_id, "x", "y", "ring_xy", "__half", "__class", *attrs))
     dist = lambda sx, sy: geo.polygon_distance(F.col("ring_xy"), sx, sy)
-    out = ring_search(
-        sites, keyed.select(poly_id, "x", "y", "ring_xy", "__half", *attrs), site_id, poly_id,
-        attrs=list(attrs), dist=dist, slack=F.col("__half"), dist_col=dist_col, c0=c0, carry=["ring_xy"],
+    found = ring_search(
+        sites, keyed, site_id, poly_id, by=["__class"], attrs=list(attrs), dist=dist,
+        slack=F.col("__half"), dist_col="__d", c0=c0, carry=["ring_xy"],
     )
-    return out
+    best = F.min(F.when(F.col("__d").isNotNull(), F.struct("__d", poly_id, *attrs))).alias("__b")
+    return found.groupBy(site_id).agg(best).select(
+        site_id, F.col("__b.__d").alias(dist_col), F.col(f"__b.{poly_id}").alias(poly_id), *[F.col(f"__b.{a}").alias(a) for a in attrs])
 
 
 def containing_or_nearest(sites, polys, site_id="location_id", poly_id="lokalnyid", ring="ring", attrs=(), dist_col="d"):
@@ -321,15 +321,6 @@ def containing_or_nearest(sites, polys, site_id="location_id", poly_id="lokalnyi
     return nearest_polygon(sites, polys, site_id, poly_id, ring, attrs, dist_col)
 
 
-def _poly_cells(polys: DataFrame, ring: str, cell: float) -> DataFrame:
-    b = geo.ring_bounds(F.col(ring))
-    polys = polys.withColumns({"__bminx": b["min_lng"], "__bmaxx": b["max_lng"],
-                               "__bminy": b["min_lat"], "__bmaxy": b["max_lat"]})
-    gx = F.sequence(F.floor(F.col("__bminx") / cell).cast("long"), F.floor(F.col("__bmaxx") / cell).cast("long"))
-    gy = F.sequence(F.floor(F.col("__bminy") / cell).cast("long"), F.floor(F.col("__bmaxy") / cell).cast("long"))
-    return polys.select("*", F.explode(gx).alias("__cx")).select("*", F.explode(gy).alias("__cy"))
-
-
 def pip_join(
     points: DataFrame,
     polys: DataFrame,
@@ -337,37 +328,52 @@ def pip_join(
     ring: str = "ring",
     lng: str = "lng",
     lat: str = "lat",
-    cell: float | None = None,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
     """Point-in-polygon join in lng/lat (strict, even-odd rule).
 
-    Polygons are replicated to the grid cells their bbox covers; each point
-    keeps one cell; the equi-join on the cell plus a bbox prefilter leaves the
-    ray cast for the few candidate pairs. ``how`` is inner, left, left_semi or
-    left_anti. The cell side defaults to the root mean bbox area of the layer.
+    Polygons fall into levels by the larger side of their bbox, a power of two
+    in degrees; one of level l covers at most four cells of side 2^l, whatever
+    its size, and a point has one cell for each level in use (a literal list,
+    at most a few dozen). The equi-join on (level, cell) plus a bbox prefilter
+    leaves the ray cast for the few candidate pairs. ``how`` is inner, left,
+    left_semi or left_anti; left keeps a point once for every polygon around it,
+    or once with NULLs.
     """
-    if cell is None:
-        b = geo.ring_bounds(F.col(ring))
-        st = polys.agg(F.avg((b["max_lng"] - b["min_lng"]) * (b["max_lat"] - b["min_lat"])).alias("a")).first()
-        cell = max(math.sqrt(st["a"]) if st["a"] else 0.01, 1e-4)
-    pc = broadcast_if_small(_poly_cells(polys, ring, float(cell)), max_broadcast_rows)
-    p = points.withColumns({
-        "__cx": F.floor(F.col(lng) / cell).cast("long"),
-        "__cy": F.floor(F.col(lat) / cell).cast("long"),
-    })
-    plng, plat = p[lng], p[lat]
+    b = geo.ring_bounds(F.col(ring))
+    boxed = polys.where(F.col(ring).isNotNull()).withColumns(
+        {"__bminx": b["min_lng"], "__bmaxx": b["max_lng"], "__bminy": b["min_lat"], "__bmaxy": b["max_lat"]})
+    side = F.greatest(F.col("__bmaxx") - F.col("__bminx"), F.col("__bmaxy") - F.col("__bminy"), F.lit(1e-6))
+    boxed = boxed.withColumn("__lv", F.ceil(F.log2(side)).cast("int"))
+    levels = sorted(r[0] for r in boxed.select("__lv").distinct().collect()) or [0]  # powers of two of a degree: a few dozen at most
+    if how != "inner" and len(levels) > 1:
+        return _pip_by_row(points, polys, how, ring, lng, lat)
+    cell = F.pow(F.lit(2.0), F.col("__lv"))
+
+    def span(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long")))
+
+    pc = boxed.select("*", span("__bminx", "__bmaxx").alias("__cx")).select("*", span("__bminy", "__bmaxy").alias("__cy"))
+    cells = [F.struct(F.lit(v).alias("lv"), F.floor(F.col(lng) / 2.0**v).cast("long").alias("cx"),
+                      F.floor(F.col(lat) / 2.0**v).cast("long").alias("cy")) for v in levels]
+    key = cells[0] if len(cells) == 1 else F.explode(F.array(*cells))
+    p = points.select("*", key.alias("__k")).select(
+        *points.columns, F.col("__k.lv").alias("__plv"), F.col("__k.cx").alias("__pcx"), F.col("__k.cy").alias("__pcy"))
     cond = (
-        (p["__cx"] == pc["__cx"]) & (p["__cy"] == pc["__cy"])
-        & plng.between(pc["__bminx"], pc["__bmaxx"]) & plat.between(pc["__bminy"], pc["__bmaxy"])
-        & geo.contains(pc[ring], plng, plat)
+        (p["__plv"] == pc["__lv"]) & (p["__pcx"] == pc["__cx"]) & (p["__pcy"] == pc["__cy"])
+        & p[lng].between(pc["__bminx"], pc["__bmaxx"]) & p[lat].between(pc["__bminy"], pc["__bmaxy"])
+        & geo.contains(pc[ring], p[lng], p[lat])
     )
     out = p.join(pc, cond, how)
-    drop = ["__cx", "__cy", "__bminx", "__bmaxx", "__bminy", "__bmaxy"]
-    if how in ("left_semi", "left_anti"):
-        return out.drop("__cx", "__cy")
-    return out.select(*[p[c] for c in p.columns if c not in drop],
-                      *[pc[c] for c in pc.columns if c not in drop and c not in p.columns])
+    added = [c for c in polys.columns if c not in points.columns] if how in ("inner", "left") else []
+    return out.select(*[p[c] for c in points.columns], *[pc[c] for c in added])
+
+
+def _pip_by_row(points: DataFrame, polys: DataFrame, how: str, ring: str, lng: str, lat: str) -> DataFrame:
+    """Left, semi and anti joins over several levels: land numbered points, join inner, then join by number."""
+    numbered, _ = checkpoint(points.withColumn("__pid", F.monotonically_increasing_id()))
+    added = [c for c in polys.columns if c not in points.columns] if how == "left" else []
+    pairs = pip_join(numbered.select("__pid", lng, lat), polys, "inner", ring, lng, lat).select(F.col("__pid").alias("__hit"), *added)
+    return numbered.join(pairs, numbered["__pid"] == pairs["__hit"], how).select(*points.columns, *added)
 
 
 def inside(points: DataFrame, poly: DataFrame, **kw) -> DataFrame:
@@ -385,19 +391,18 @@ def unassigned(points: DataFrame, polys: DataFrame, **kw) -> DataFrame:
     return pip_join(points, polys, "left_anti", **kw)
 
 
-def boundary_distance(points: DataFrame, polys: DataFrame, ring: str = "ring", max_polys: int = 1000) -> DataFrame:
-    """C11: distance in metres from each point to the boundary of each polygon.
+def boundary_distance(points: DataFrame, polys: DataFrame, ring: str = "ring") -> DataFrame:
+    """C11: distance in metres from each point to the boundary of each named area.
 
-    The polygon side is a handful of named areas; its size is checked and it
-    is broadcast. Points need metric ``x, y``.
+    The areas travel as one array value (a scalar subquery), so a point's
+    distances are computed where the point is. For a whole polygon layer the
+    nearest boundary is ``nearest_polygon``. Points need metric ``x, y``.
     """
-    if polys.limit(max_polys + 1).count() > max_polys:
-        raise ValueError("boundary_distance pairs every point with every polygon; pass at most %d" % max_polys)
-    pr = polys.withColumn("__rxy", geo.ring_to_xy(F.col(ring))).drop(ring)
-    pairs = points.join(F.broadcast(pr), how="cross")
-    return pairs.withColumn(
-        "boundary_m", geo.segment_distance_min(F.col("__rxy"), F.col("x"), F.col("y"))
-    ).drop("__rxy")
+    names = [c for c in polys.columns if c != ring]
+    areas = polys.select(*names, geo.ring_to_xy(F.col(ring)).alias("__rxy")).agg(F.collect_list(F.struct(*names, "__rxy"))).scalar()
+    pairs = points.select("*", F.explode(areas).alias("__a"))
+    return pairs.select(*points.columns, *[F.col(f"__a.{c}").alias(c) for c in names],
+                        geo.segment_distance_min(F.col("__a.__rxy"), F.col("x"), F.col("y")).alias("boundary_m"))
 
 
 def parse_traces(traces: DataFrame) -> DataFrame:
@@ -419,17 +424,20 @@ def dwithin_join(
     """Geodesic within-distance join (inclusive <= r), as in ST_DWITHIN on geography.
 
     Traces are filtered first (caller's predicate on the text columns), parsed,
-    projected, and joined on grid cells with a planar radius of r*1.005; the
-    exact haversine test then keeps d <= r. Sites keep ``lng, lat``.
+    projected, and joined on grid cells with a planar radius that no geodesic
+    match can exceed (``geodesic_prefilter``, from the sites' own extent); the
+    exact haversine test then keeps d <= r. Sites keep ``lng, lat``. Traces that
+    already have ``lat, lng, x, y`` are joined as they are.
     """
     t = traces.where(predicate) if predicate is not None else traces
-    t = parse_traces(t).where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    t = geo.with_xy(t)
-    s = ensure_xy(sites).select(site_id, "x", "y", F.col("lng").alias("__slng"), F.col("lat").alias("__slat"))
-    rp = r * GEODESIC_PREFILTER
-    cell = rp
-    s9 = broadcast_if_small(_cells_around(s.withColumnsRenamed({"x": "__sx", "y": "__sy"}), "__sx", "__sy", cell, 1))
-    p = _cell_of(t, "x", "y", cell)
+    if not {"lat", "lng", "x", "y"} <= set(t.columns):
+        t = geo.with_xy(parse_traces(t))
+    s = ensure_xy(sites, keep_nulls=True).select(site_id, "x", "y", F.col("lng").alias("__slng"), F.col("lat").alias("__slat"))
+    s = s.where(F.col("x").isNotNull())
+    widest = s.agg(F.max(F.abs(F.col("x") - F.lit(geo.CS92_FALSE_EASTING)))).first()[0]
+    rp = r * geodesic_prefilter(float(widest or 0.0), r)
+    s9 = _cells_around(s.withColumnsRenamed({"x": "__sx", "y": "__sy"}), "__sx", "__sy", rp, 1)
+    p = _cell_of(t.where(F.col("x").isNotNull()), "x", "y", rp)
     dx, dy = F.col("x") - F.col("__sx"), F.col("y") - F.col("__sy")
     j = p.join(s9, ["__cx", "__cy"]).where(dx * dx + dy * dy <= F.lit(rp * rp))
     j = j.withColumn("geo_d", geo.haversine_m("lng", "lat", "__slng", "__slat")).where(F.col("geo_d") <= F.lit(float(r)))

@@ -19,7 +19,7 @@ def whitespot_filter(cells: DataFrame, stores: DataFrame, competitors: DataFrame
     the two stage flags, so before/after counts come from one pass
     (``whitespot_counts``).
     """
-    cx = sj.ensure_xy(cells)
+    cx = sj.ensure_xy(cells, keep_nulls=True)
     near = sj.nearest_join(cx, sj.ensure_xy(stores), cell_id, store_id, dist_col="nearest_store_m").drop(store_id)
     comp = catchment_count(cx, competitors, r, f"competitor_count_{int(r)}m", cell_id)
     out = cells.join(near, cell_id, "left").join(comp, cell_id, "left")

@@ -65,8 +65,8 @@ def scan_polygons(spark, sf):
     path = io.scratch_path(spark, "districts_csv")
     io.write_csv(L.districts.drop("ring"), path)
     d = io.read_polygons(spark, path, "district_id int, name string, geometry string")
-    return rnd(d.select("district_id", "name", (F.size("ring") - 1).alias("n_vertices"),
-                        F.col("ring")[0]["lng"].alias("first_lng"), F.col("ring")[0]["lat"].alias("first_lat")), 6)
+    p = F.posexplode(geo.vertices(F.col("ring"))).alias("pos", "v")
+    return rnd(d.select("district_id", "name", p).select("district_id", "name", "pos", "v.lng", "v.lat"), 6)
 
 
 @query
@@ -122,7 +122,7 @@ def bbox_json(spark, sf):
 def materialize(spark, sf):
     L = Layers(spark, sf)
     path = io.scratch_path(spark, "competitor_features")
-    build = lambda: feat.competitor_features(L.stores_xy, L.competitors, RADIUS)
+    build = lambda: feat.competitor_features(L.stores_xy, L.competitors_xy, RADIUS)
     io.materialize(spark, build, path)
     return rnd(io.materialize(spark, build, path))
 
@@ -152,8 +152,8 @@ def project_xy(spark, sf):
 def wkt_vertices(spark, sf):
     L = Layers(spark, sf)
     d = L.districts
-    return rnd(d.select("district_id", (F.size("ring") - 1).alias("n_vertices"),
-                        F.col("ring")[1]["lng"].alias("second_lng"), F.col("ring")[1]["lat"].alias("second_lat")), 6)
+    p = F.posexplode(geo.vertices(F.col("ring"))).alias("pos", "v")
+    return rnd(d.select("district_id", p).select("district_id", "pos", "v.lng", "v.lat"), 6)
 
 
 @query
@@ -328,7 +328,7 @@ def unassigned(spark, sf):
 @query
 def dwithin_join(spark, sf):
     L = Layers(spark, sf)
-    return sj.dwithin_join(L.stores, L.traces, RADIUS, predicate=base_pred()).select("location_id", "trace_id")
+    return sj.dwithin_join(L.stores_xy, L.traces_xy, RADIUS, predicate=base_pred()).select("location_id", "trace_id")
 
 
 @query
@@ -336,8 +336,8 @@ def assemble(spark, sf):
     L = Layers(spark, sf)
     s = L.stores_xy
     out = feat.assemble(L.stores.select("location_id", "monthly_revenue"),
-                        feat.competitor_features(s, L.competitors, RADIUS),
-                        feat.population_features(s, L.addresses, RADIUS))
+                        feat.competitor_features(s, L.competitors_xy, RADIUS),
+                        feat.population_features(s, L.addresses_xy, RADIUS))
     return rnd(out)
 
 
@@ -352,7 +352,7 @@ def containing_or_nearest(spark, sf):
 @query
 def semi_keys(spark, sf):
     L = Layers(spark, sf)
-    keys = sj.radius_join(L.stores_xy, geo.with_xy(L.competitors).select("x", "y"), RADIUS).select("location_id")
+    keys = sj.radius_join(L.stores_xy, L.competitors_xy.select("x", "y"), RADIUS).select("location_id")
     return sj.semi_keys(L.stores.select("location_id", "monthly_revenue"), keys, "location_id")
 
 
@@ -375,25 +375,25 @@ def nearest_polygon(spark, sf):
 @query
 def catchment_count(spark, sf):
     L = Layers(spark, sf)
-    return feat.catchment_count(L.stores_xy, L.competitors, RADIUS, "competitor_count_1500m")
+    return feat.catchment_count(L.stores_xy, L.competitors_xy, RADIUS, "competitor_count_1500m")
 
 
 @query
 def catchment_sum(spark, sf):
     L = Layers(spark, sf)
-    return feat.population_features(L.stores_xy, L.addresses, RADIUS)
+    return feat.population_features(L.stores_xy, L.addresses_xy, RADIUS)
 
 
 @query
 def footfall(spark, sf):
     L = Layers(spark, sf)
-    return feat.footfall_features(L.stores, L.traces, RADIUS, base_pred())
+    return feat.footfall_features(L.stores_xy, L.traces_xy, RADIUS, base_pred())
 
 
 @query
 def poi_features(spark, sf):
     L = Layers(spark, sf)
-    return rnd(feat.poi_features(L.stores_xy, L.poi, RADIUS, FIXTURE_CATEGORIES))
+    return rnd(feat.poi_features(L.stores_xy, L.poi_xy, RADIUS))
 
 
 @query
@@ -516,9 +516,9 @@ def tail_bins(spark, sf):
 def _store_features(L: Layers) -> DataFrame:
     s = L.stores_xy
     return feat.assemble(L.stores.select("location_id", "monthly_revenue"),
-                         feat.competitor_features(s, L.competitors, RADIUS),
-                         feat.population_features(s, L.addresses, RADIUS),
-                         feat.catchment_count(s, L.poi, RADIUS, "poi_count_1500m"))
+                         feat.competitor_features(s, L.competitors_xy, RADIUS),
+                         feat.population_features(s, L.addresses_xy, RADIUS),
+                         feat.catchment_count(s, L.poi_xy, RADIUS, "poi_count_1500m"))
 
 
 CORR_FEATURES = ["competitor_count_1500m", "nearest_competitor_m", "population_1500m", "poi_count_1500m"]

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import features as feat
+from ..operators import spatial_join as sj
+from ..session import checkpoint
 from ..sources import fixtures as fx
 
 BBOX = fx.BBOX
@@ -16,8 +19,16 @@ YEAR, MONTH = 2024, 1
 RADIUS = 1500.0
 
 
+_landed: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Layers:
-    """All layers of one scale factor; each property is a lazy DataFrame."""
+    """All layers of one scale factor.
+
+    Layers that joins read more than once (projected points, parsed polygons)
+    are landed in the checkpoint folder by the first query of a session that
+    needs them: coordinates are projected once and joins read stored columns.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -25,13 +36,19 @@ class Layers:
     def table(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.sf_dir, name)
 
+    def land(self, name: str, df: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _landed:
+            _landed[key] = checkpoint(df)[0]
+        return _landed[key]
+
     @cached_property
     def stores(self) -> DataFrame:
         return fx.stores(self.spark, self.sf_dir)
 
     @cached_property
     def stores_xy(self) -> DataFrame:
-        return geo.with_xy(self.stores)
+        return self.land("stores_xy", geo.with_xy(self.stores, keep_nulls=True))
 
     @cached_property
     def poi(self) -> DataFrame:
@@ -39,28 +56,40 @@ class Layers:
 
     @cached_property
     def poi_xy(self) -> DataFrame:
-        return geo.with_xy(self.poi)
+        return self.land("poi_xy", geo.with_xy(self.poi))
 
     @cached_property
     def competitors(self) -> DataFrame:
         return fx.competitors(self.spark, self.sf_dir)
 
+    @cached_property
+    def competitors_xy(self) -> DataFrame:
+        return self.land("competitors_xy", geo.with_xy(self.competitors))
+
     @cached_property
     def addresses(self) -> DataFrame:
         return fx.addresses(self.spark, self.sf_dir)
 
+    @cached_property
+    def addresses_xy(self) -> DataFrame:
+        return self.land("addresses_xy", geo.with_xy(self.addresses))
+
     @cached_property
     def traces(self) -> DataFrame:
         return fx.traces(self.spark, self.sf_dir)
 
+    @cached_property
+    def traces_xy(self) -> DataFrame:
+        """Typed traces: parsed coordinates and time next to the text columns, projected once."""
+        return self.land("traces_xy", geo.with_xy(sj.parse_traces(self.traces)))
+
     @cached_property
     def buildings(self) -> DataFrame:
-        from ..operators.features import prepare_buildings
-        return prepare_buildings(fx.buildings(self.spark, self.sf_dir))
+        return self.land("buildings", feat.prepare_buildings(fx.buildings(self.spark, self.sf_dir), land=False))
 
     @cached_property
     def districts(self) -> DataFrame:
-        return fx.districts(self.spark, self.sf_dir).withColumn("ring", geo.wkt_ring(F.col("geometry")))
+        return self.land("districts", fx.districts(self.spark, self.sf_dir).withColumn("ring", geo.wkt_ring(F.col("geometry"))))
 
     @cached_property
     def area(self) -> DataFrame:

@@ -222,9 +222,8 @@ O: dict[str, str] = {}
 # ------------------------------------------------------------------ A
 O["scan_points"] = sql("SELECT * FROM poi", "poi")
 O["scan_polygons"] = sql(
-    "SELECT d.district_id, d.name, CAST(count(*) - 1 AS INTEGER) AS n_vertices, "
-    "round(max(CASE WHEN v.idx = 1 THEN v.lng END), 6) AS first_lng, round(max(CASE WHEN v.idx = 1 THEN v.lat END), 6) AS first_lat "
-    "FROM districts d JOIN dverts v ON v.id = d.district_id GROUP BY d.district_id, d.name", "districts", "dverts")
+    "SELECT d.district_id, d.name, CAST(v.idx - 1 AS INTEGER) AS pos, round(v.lng, 6) AS lng, round(v.lat, 6) AS lat "
+    "FROM districts d JOIN dverts v ON v.id = d.district_id", "districts", "dverts")
 O["scan_csv_gz"] = sql("SELECT id, city, street, total FROM addresses", "addresses")
 O["scan_warehouse"] = "SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type"
 O["scan_parquet"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"
@@ -239,9 +238,7 @@ O["preview"] = sql("SELECT trace_id, latitude, longitude, occured_at FROM traces
 
 # ------------------------------------------------------------------ B
 O["project_xy"] = sql("SELECT location_id, round(lng, 6) AS lng, round(lat, 6) AS lat, round(x, 3) AS x, round(y, 3) AS y FROM stores_xy", "stores_xy")
-O["wkt_vertices"] = sql(
-    "SELECT id AS district_id, CAST(count(*) - 1 AS INTEGER) AS n_vertices, round(max(CASE WHEN idx = 2 THEN lng END), 6) AS second_lng, "
-    "round(max(CASE WHEN idx = 2 THEN lat END), 6) AS second_lat FROM dverts GROUP BY id", "dverts")
+O["wkt_vertices"] = sql("SELECT id AS district_id, CAST(idx - 1 AS INTEGER) AS pos, round(lng, 6) AS lng, round(lat, 6) AS lat FROM dverts", "dverts")
 O["layer_bounds"] = sql(
     "SELECT id AS district_id, round(min(lng), 6) AS min_lng, round(min(lat), 6) AS min_lat, round(max(lng), 6) AS max_lng, "
     "round(max(lat), 6) AS max_lat FROM dverts GROUP BY id", "dverts")

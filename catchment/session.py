@@ -1,4 +1,4 @@
-"""Session helpers: builder defaults, the shared checkpoint folder, size-checked broadcast."""
+"""Session helpers: builder defaults and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows an exploded small side may have and still be broadcast (~40 B/row => ~80 MB).
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "catchment") -> SparkSession:
     """A session with AQE (coalesce + skew join) on and a UTC clock.
@@ -81,14 +76,3 @@ def checkpoint(df: DataFrame, observe: dict | None = None) -> tuple[DataFrame, d
     if observe:
         metrics = obs.get
     return spark.read.parquet(path), metrics
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The bound is checked with ``limit(max_rows + 1).count()`` (stops early);
-    beyond it the caller's join stays a shuffle join (AQE may still convert it
-    at runtime from real shuffle statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
