@@ -27,6 +27,12 @@ def in_bbox(bbox: dict, lng="lng", lat="lat") -> Column:
         F.lit(bbox["lng_min"]), F.lit(bbox["lng_max"]))
 
 
+def overlaps_bbox(bounds: dict[str, Column], bbox: dict) -> Column:
+    """A polygon's bounds (``geo.ring_bounds``) and the bbox have a point in common."""
+    return ((bounds["min_lng"] <= F.lit(bbox["lng_max"])) & (bounds["max_lng"] >= F.lit(bbox["lng_min"]))
+            & (bounds["min_lat"] <= F.lit(bbox["lat_max"])) & (bounds["max_lat"] >= F.lit(bbox["lat_min"])))
+
+
 def bbox_pred(bbox: dict, lat="latitude", lng="longitude") -> Column:
     """Bbox on text coordinates; unparseable text is NULL and falls out."""
     return in_bbox(bbox, _c(lng).try_cast("double"), _c(lat).try_cast("double"))

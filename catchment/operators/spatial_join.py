@@ -24,7 +24,6 @@ from ..session import checkpoint
 SHAPES = ("circle", "polygon64")
 # Fixed value: the reference buffers with 16 segments per quarter circle (a 64-gon).
 BUFFER_SEGMENTS = 64
-NAN = float("nan")
 
 
 def geodesic_prefilter(max_easting_m: float, r: float) -> float:
@@ -45,8 +44,13 @@ def ensure_xy(df: DataFrame, lng="lng", lat="lat", keep_nulls: bool = False) ->
 
 
 def _key(c: str, cell) -> Column:
-    """Cell number; NaN for a missing coordinate keeps the key non-nullable and meets nothing (NaN < r is false)."""
-    return F.floor(F.coalesce(F.col(c), F.lit(NAN)) / cell).cast("long")
+    """Cell number, never NULL: a row without a coordinate goes to cell 0 and fails the distance test there."""
+    return F.coalesce(F.floor(F.col(c) / cell).cast("long"), F.lit(0))
+
+
+def _number(c: str) -> Column:
+    """A coordinate that is never NULL (NaN fails every distance test), so that no ``isnotnull`` of it is inferred and pushed down."""
+    return F.coalesce(F.col(c), F.lit(float("nan")))
 
 
 def in_catchment(dx: Column, dy: Column, r: float, shape: str = "circle") -> Column:
@@ -106,7 +110,7 @@ def radius_join(
     """
     cell = float(cell or r)
     k = max(1, math.ceil(r / cell))
-    s = sites.select(F.col(site_id), *site_attrs, F.col("x").alias("__sx"), F.col("y").alias("__sy")).where(F.col("x").isNotNull())
+    s = sites.select(F.col(site_id), *site_attrs, _number("x").alias("__sx"), _number("y").alias("__sy"))
     s = _cells_around(s, "__sx", "__sy", cell, k)
     p = _cell_of(points.where(F.col("x").isNotNull()), "x", "y", cell)
     dx, dy = F.col("x") - F.col("__sx"), F.col("y") - F.col("__sy")
@@ -433,10 +437,10 @@ def dwithin_join(
     if not {"lat", "lng", "x", "y"} <= set(t.columns):
         t = geo.with_xy(parse_traces(t))
     s = ensure_xy(sites, keep_nulls=True).select(site_id, "x", "y", F.col("lng").alias("__slng"), F.col("lat").alias("__slat"))
-    s = s.where(F.col("x").isNotNull())
     widest = s.agg(F.max(F.abs(F.col("x") - F.lit(geo.CS92_FALSE_EASTING)))).first()[0]
     rp = r * geodesic_prefilter(float(widest or 0.0), r)
-    s9 = _cells_around(s.withColumnsRenamed({"x": "__sx", "y": "__sy"}), "__sx", "__sy", rp, 1)
+    s = s.withColumns({"__sx": _number("x"), "__sy": _number("y")}).drop("x", "y")
+    s9 = _cells_around(s, "__sx", "__sy", rp, 1)
     p = _cell_of(t.where(F.col("x").isNotNull()), "x", "y", rp)
     dx, dy = F.col("x") - F.col("__sx"), F.col("y") - F.col("__sy")
     j = p.join(s9, ["__cx", "__cy"]).where(dx * dx + dy * dy <= F.lit(rp * rp))

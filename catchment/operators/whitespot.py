@@ -20,13 +20,15 @@ def whitespot_filter(cells: DataFrame, stores: DataFrame, competitors: DataFrame
     (``whitespot_counts``).
     """
     cx = sj.ensure_xy(cells, keep_nulls=True)
+    name = f"competitor_count_{int(r)}m"
     near = sj.nearest_join(cx, sj.ensure_xy(stores), cell_id, store_id, dist_col="nearest_store_m").drop(store_id)
-    comp = catchment_count(cx, competitors, r, f"competitor_count_{int(r)}m", cell_id)
-    out = cells.join(near, cell_id, "left").join(comp, cell_id, "left")
+    out = cells.join(near, cell_id, "left")
+    if name not in cells.columns:  # a feature matrix has it already
+        out = out.join(catchment_count(cx, competitors, r, name, cell_id), cell_id, "left")
     own_ok = F.coalesce(F.col("nearest_store_m") >= F.lit(float(min_own_m)), F.lit(True))
     return out.withColumns({
         "far_from_own": own_ok,
-        "whitespot": own_ok & (F.col(f"competitor_count_{int(r)}m") <= F.lit(max_competitors)),
+        "whitespot": own_ok & (F.col(name) <= F.lit(max_competitors)),
     })
 
 

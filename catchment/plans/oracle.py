@@ -206,10 +206,10 @@ def _hav(lng1, lat1, lng2, lat2):
     return f"({2.0 * _g.EARTH_RADIUS_M!r} * asin(sqrt(least({h}, 1.0))))"
 
 
-def _count_in(layer: str, name: str, val: str = "count(*)") -> str:
-    return (f"SELECT s.location_id, CAST(coalesce(c.v, 0) AS BIGINT) AS {name} FROM stores s LEFT JOIN "
-            f"(SELECT s.location_id, {val} AS v FROM stores_xy s, {layer} p WHERE {D2} < {R * R!r} "
-            f"GROUP BY s.location_id) c ON s.location_id = c.location_id")
+def _count_in(layer: str, name: str, val: str = "count(*)", sites: str = "stores_xy", sid: str = "location_id") -> str:
+    return (f"SELECT s.{sid}, CAST(coalesce(c.v, 0) AS BIGINT) AS {name} FROM {sites} s LEFT JOIN "
+            f"(SELECT s.{sid}, {val} AS v FROM {sites} s, {layer} p WHERE {D2} < {R * R!r} "
+            f"GROUP BY s.{sid}) c ON s.{sid} = c.{sid}")
 
 
 def _nearest(sites: str, sid: str, layer: str, lid: str, extra_part: str = "") -> str:
@@ -261,20 +261,19 @@ O["residential_flag"] = sql(
     f"SELECT CAST(CASE WHEN funogolnabudynku_desc IN ({_res}) THEN 1 ELSE 0 END AS INTEGER) AS is_residential, count(*) AS n "
     "FROM buildings GROUP BY 1", "buildings")
 O["iqr_outliers"] = (
-    "WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, "
-    "quantile_cont(o_totalprice, 0.75) AS q3 FROM orders) "
-    "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice, round(round_even((o_totalprice - q2) / (q3 - q1), 2), 6) AS deviation "
-    "FROM orders, q WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)")
+    "WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events) "
+    "SELECT event_id, round(value, 6) AS value, round(round_even((value - q2) / (q3 - q1), 2), 6) AS deviation "
+    "FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)")
 
 
-def _building_feats(r: float) -> str:
-    inside = (f"SELECT s.location_id, v.id FROM stores_xy s, bverts_xy v GROUP BY s.location_id, v.id "
+def _building_feats(r: float, sites: str = "stores_xy", sid: str = "location_id") -> str:
+    inside = (f"SELECT s.{sid}, v.id FROM {sites} s, bverts_xy v GROUP BY s.{sid}, v.id "
               f"HAVING bool_and((v.x - s.x) * (v.x - s.x) + (v.y - s.y) * (v.y - s.y) < {r * r!r})")
     return (
-        f"SELECT s.location_id, CAST(coalesce(c.n, 0) AS BIGINT) AS building_count_{int(r)}m, "
-        f"round(coalesce(CAST(c.nres AS DOUBLE) / nullif(c.n, 0), 0.0), 6) AS residential_ratio_{int(r)}m FROM stores s LEFT JOIN "
-        f"(SELECT i.location_id, count(*) AS n, count(*) FILTER (WHERE b.funogolnabudynku_desc IN ({_res})) AS nres "
-        f"FROM ({inside}) i JOIN buildings b ON b.lokalnyid = i.id GROUP BY i.location_id) c ON s.location_id = c.location_id"
+        f"SELECT s.{sid}, CAST(coalesce(c.n, 0) AS BIGINT) AS building_count_{int(r)}m, "
+        f"round(coalesce(CAST(c.nres AS DOUBLE) / nullif(c.n, 0), 0.0), 6) AS residential_ratio_{int(r)}m FROM {sites} s LEFT JOIN "
+        f"(SELECT i.{sid}, count(*) AS n, count(*) FILTER (WHERE b.funogolnabudynku_desc IN ({_res})) AS nres "
+        f"FROM ({inside}) i JOIN buildings b ON b.lokalnyid = i.id GROUP BY i.{sid}) c ON s.{sid} = c.{sid}"
     )
 
 
@@ -317,14 +316,6 @@ O["unassigned"] = sql(f"SELECT location_id FROM stores WHERE location_id NOT IN
 _tr = f"(SELECT trace_id, proxi_user_id, TRY_CAST(latitude AS DOUBLE) AS lat, TRY_CAST(longitude AS DOUBLE) AS lng FROM traces WHERE {BASE})"
 O["dwithin_join"] = sql(f"SELECT s.location_id, t.trace_id FROM stores s, {_tr} t WHERE {_hav('t.lng', 't.lat', 's.lng', 's.lat')} <= {R!r}",
                         "stores", "traces")
-O["assemble"] = sql(
-    f"SELECT s.location_id, round(s.monthly_revenue, 3) AS monthly_revenue, c.competitor_count_1500m, round(n.d, 3) AS nearest_competitor_m, "
-    f"pp.population_1500m FROM stores s JOIN ({_count_in('comp_xy', 'competitor_count_1500m')}) c ON c.location_id = s.location_id "
-    f"LEFT JOIN ({_nearest('stores_xy', 'location_id', 'comp_xy', 'comp_id')}) n ON n.location_id = s.location_id "
-    f"JOIN ({_count_in('addr_xy', 'population_1500m', 'sum(p.total)')}) pp ON pp.location_id = s.location_id",
-    "stores", "stores_xy", "comp_xy", "addr_xy")
-
-
 def _poly_dist(sites: str, sid: str, edges: str) -> str:
     """Per (site, polygon): 0 when inside (even-odd in metres), else min distance to a boundary segment."""
     t = ("least(greatest(coalesce(((s.x - e.ax) * (e.bx - e.ax) + (s.y - e.ay) * (e.by_ - e.ay)) / "
@@ -359,27 +350,45 @@ O["nearest_polygon"] = sql(
 # ------------------------------------------------------------------ D
 O["catchment_count"] = sql(_count_in("comp_xy", "competitor_count_1500m"), "stores", "stores_xy", "comp_xy")
 O["catchment_sum"] = sql(_count_in("addr_xy", "population_1500m", "sum(p.total)"), "stores", "stores_xy", "addr_xy")
-O["footfall"] = sql(
-    f"SELECT s.location_id, CAST(coalesce(c.sig, 0) AS BIGINT) AS signals_1500m, CAST(coalesce(c.u, 0) AS BIGINT) AS unique_users_1500m "
-    f"FROM stores s LEFT JOIN (SELECT s.location_id, count(*) AS sig, count(DISTINCT t.proxi_user_id) AS u FROM stores s, {_tr} t "
-    f"WHERE {_hav('t.lng', 't.lat', 's.lng', 's.lat')} <= {R!r} GROUP BY s.location_id) c ON c.location_id = s.location_id",
-    "stores", "traces")
-
-
-def _poi_features() -> str:
-    cats = ["economy", "small", "medium", "promo", "standard", "large"]
-    cnt = ", ".join(f"CAST(count(*) FILTER (WHERE p.category = '{c}') AS BIGINT) AS c_{c}" for c in cats)
-    pairs = f"SELECT s.location_id, {cnt}, count(*) AS n FROM stores_xy s, poi_xy p WHERE {D2} < {R * R!r} GROUP BY s.location_id"
-    near_cat = ", ".join(f"min(sqrt({D2})) FILTER (WHERE p.category = '{c}') AS n_{c}" for c in cats)
-    near = f"SELECT s.location_id, min(sqrt({D2})) AS nall, {near_cat} FROM stores_xy s, poi_xy p GROUP BY s.location_id"
+def _footfall(sites: str = "stores_xy", sid: str = "location_id") -> str:
+    return (f"SELECT s.{sid}, CAST(coalesce(c.sig, 0) AS BIGINT) AS signals_1500m, CAST(coalesce(c.u, 0) AS BIGINT) AS unique_users_1500m "
+            f"FROM {sites} s LEFT JOIN (SELECT s.{sid}, count(*) AS sig, count(DISTINCT t.proxi_user_id) AS u FROM {sites} s, {_tr} t "
+            f"WHERE {_hav('t.lng', 't.lat', 's.lng', 's.lat')} <= {R!r} GROUP BY s.{sid}) c ON c.{sid} = s.{sid}")
+
+
+O["footfall"] = sql(_footfall(), "stores_xy", "traces")
+# The categories in the driver's part table.
+_CATS = ["economy", "large", "medium", "promo", "small", "standard"]
+
+
+def _poi_features(sites: str = "stores_xy", sid: str = "location_id") -> str:
+    cnt = ", ".join(f"CAST(count(*) FILTER (WHERE p.category = '{c}') AS BIGINT) AS c_{c}" for c in _CATS)
+    pairs = f"SELECT s.{sid}, {cnt}, count(*) AS n FROM {sites} s, poi_xy p WHERE {D2} < {R * R!r} GROUP BY s.{sid}"
+    near_cat = ", ".join(f"min(sqrt({D2})) FILTER (WHERE p.category = '{c}') AS n_{c}" for c in _CATS)
+    near = f"SELECT s.{sid}, min(sqrt({D2})) AS nall, {near_cat} FROM {sites} s, poi_xy p GROUP BY s.{sid}"
     cols = ["CAST(coalesce(c.n, 0) AS BIGINT) AS poi_count_1500m", "round(m.nall, 3) AS nearest_poi_m"]
-    for c in cats:
+    for c in _CATS:
         cols += [f"coalesce(c.c_{c}, 0) AS poi_{c}_count_1500m", f"round(m.n_{c}, 3) AS nearest_poi_{c}_m"]
-    return (f"SELECT s.location_id, {', '.join(cols)} FROM stores s LEFT JOIN ({pairs}) c ON c.location_id = s.location_id "
-            f"LEFT JOIN ({near}) m ON m.location_id = s.location_id")
+    return (f"SELECT s.{sid}, {', '.join(cols)} FROM {sites} s LEFT JOIN ({pairs}) c ON c.{sid} = s.{sid} "
+            f"LEFT JOIN ({near}) m ON m.{sid} = s.{sid}")
 
 
-O["poi_features"] = sql(_poi_features(), "stores", "stores_xy", "poi_xy")
+def _matrix(sites: str, sid: str) -> str:
+    """All five feature families of a site set, one CTE each, in ``{sites}_f``."""
+    return (
+        f"{sites}_c AS ({_count_in('comp_xy', 'competitor_count_1500m', sites=sites, sid=sid)}), "
+        f"{sites}_n AS (SELECT s.{sid}, round(min(sqrt({D2})), 3) AS nearest_competitor_m FROM {sites} s, comp_xy p GROUP BY s.{sid}), "
+        f"{sites}_p AS ({_poi_features(sites, sid)}), {sites}_b AS ({_building_feats(R, sites, sid)}), "
+        f"{sites}_a AS ({_count_in('addr_xy', 'population_1500m', 'sum(p.total)', sites, sid)}), {sites}_t AS ({_footfall(sites, sid)}), "
+        f"{sites}_f AS (SELECT * FROM {sites}_c LEFT JOIN {sites}_n USING ({sid}) JOIN {sites}_p USING ({sid}) JOIN {sites}_b USING ({sid}) "
+        f"JOIN {sites}_a USING ({sid}) JOIN {sites}_t USING ({sid}))"
+    )
+
+
+_MDEPS = ("stores_xy", "comp_xy", "poi_xy", "addr_xy", "bverts_xy", "buildings", "traces")
+O["assemble"] = sql("WITH " + _matrix("stores_xy", "location_id") + " SELECT round(s.monthly_revenue, 3) AS monthly_revenue, f.* "
+                    "FROM stores_xy s JOIN stores_xy_f f ON f.location_id = s.location_id", *_MDEPS)
+O["poi_features"] = sql(_poi_features(), "stores_xy", "poi_xy")
 O["row_count"] = sql(f"SELECT count(*) AS n_all, count(*) FILTER (WHERE {BASE}) AS n_base FROM traces", "traces")
 O["distinct_count"] = sql(f"SELECT count(DISTINCT proxi_user_id) AS distinct_proxi_user_id, count(DISTINCT app_id) AS distinct_app_id FROM traces WHERE {BASE}", "traces")
 O["avg_signals_per_user"] = sql(
@@ -535,28 +544,68 @@ def _hex_cells(w: float = 5000.0) -> str:
 O["hex_grid"] = sql(f"SELECT cell_id, q, r, round(lng, 6) AS lng, round(lat, 6) AS lat FROM ({_hex_cells()})", "dverts_xy", "dedges")
 _cx, _cy = _xy("lng", "lat")
 _CELLS = f"SELECT cell_id, lng, lat, {_cx} AS x, {_cy} AS y FROM ({_hex_cells()})"
-_CF = (
-    f"WITH cells AS ({_CELLS}), "
-    f"cc AS (SELECT s.cell_id, count(*) AS n FROM cells s, comp_xy p WHERE {D2} < {R * R!r} GROUP BY s.cell_id), "
-    f"cn AS (SELECT s.cell_id, min(sqrt({D2})) AS d FROM cells s, comp_xy p GROUP BY s.cell_id), "
-    f"cp AS (SELECT s.cell_id, sum(p.total) AS n FROM cells s, addr_xy p WHERE {D2} < {R * R!r} GROUP BY s.cell_id), "
-    f"sn AS (SELECT s.cell_id, min(sqrt({D2})) AS d FROM cells s, stores_xy p GROUP BY s.cell_id), "
-    "f AS (SELECT c.cell_id, CAST(coalesce(cc.n, 0) AS BIGINT) AS competitor_count_1500m, cn.d AS nearest_competitor_m, "
-    "CAST(coalesce(cp.n, 0) AS BIGINT) AS population_1500m, sn.d AS nearest_store_m FROM cells c LEFT JOIN cc USING (cell_id) "
-    "LEFT JOIN cn USING (cell_id) LEFT JOIN cp USING (cell_id) LEFT JOIN sn USING (cell_id)), "
-    "fl AS (SELECT *, coalesce(nearest_store_m >= 3000.0, true) AS far_from_own, "
-    "coalesce(nearest_store_m >= 3000.0, true) AND competitor_count_1500m <= 0 AS whitespot FROM f), "
-    "sc0 AS (SELECT cell_id, competitor_count_1500m, nearest_competitor_m, population_1500m, "
-    "CAST(population_1500m - 500 * competitor_count_1500m AS DOUBLE) AS prediction FROM fl WHERE whitespot), "
+_G = (
+    f"WITH cells AS ({_CELLS}), " + _matrix("cells", "cell_id") + ", "
+    f"sn AS (SELECT s.cell_id, round(min(sqrt({D2})), 3) AS nearest_store_m FROM cells s, stores_xy p GROUP BY s.cell_id), "
+    "fl AS (SELECT cells_f.*, nearest_store_m, coalesce(nearest_store_m >= 3000.0, true) AS far_from_own, "
+    "coalesce(nearest_store_m >= 3000.0, true) AND competitor_count_1500m <= 0 AS whitespot FROM cells_f LEFT JOIN sn USING (cell_id)) "
+)
+# Least squares on two features, solved from population covariances.
+_S = (
+    _G + ", st AS (SELECT s.monthly_revenue AS y, CAST(a.population_1500m AS DOUBLE) AS u, CAST(p.poi_count_1500m AS DOUBLE) AS v FROM stores_xy s "
+    f"JOIN ({_count_in('addr_xy', 'population_1500m', 'sum(p.total)')}) a USING (location_id) JOIN ({_count_in('poi_xy', 'poi_count_1500m')}) p USING (location_id)), "
+    "k AS (SELECT avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM st), "
+    "w AS (SELECT my, mu, mv, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS bv FROM k), "
+    "sc0 AS (SELECT fl.*, my + bu * (population_1500m - mu) + bv * (poi_count_1500m - mv) AS prediction FROM fl, w WHERE whitespot), "
     "mm AS (SELECT min(prediction) AS lo, max(prediction) AS hi FROM sc0), "
-    "sc AS (SELECT sc0.*, round_even((prediction - lo) * 100.0 / nullif(hi - lo, 0), 1) AS score FROM sc0, mm) "
+    "sc AS (SELECT sc0.* EXCLUDE (far_from_own, whitespot, prediction), round(prediction, 3) AS prediction, "
+    "round_even((prediction - lo) * 100.0 / nullif(hi - lo, 0), 1) AS score FROM sc0, mm) "
 )
-_GDEPS = ("dverts_xy", "dedges", "comp_xy", "addr_xy", "stores_xy")
-O["site_features"] = sql(_CF + "SELECT cell_id, competitor_count_1500m, round(nearest_competitor_m, 3) AS nearest_competitor_m, "
-                         "population_1500m FROM f", *_GDEPS)
-O["whitespot_filter"] = sql(_CF + "SELECT count(*) AS cells, count(*) FILTER (WHERE far_from_own) AS after_own_filter, "
+_GDEPS = ("dverts_xy", "dedges", *_MDEPS)
+O["site_features"] = sql(_G + "SELECT * FROM cells_f", *_GDEPS)
+O["whitespot_filter"] = sql(_G + "SELECT count(*) AS cells, count(*) FILTER (WHERE far_from_own) AS after_own_filter, "
                             "count(*) FILTER (WHERE whitespot) AS after_both FROM fl", *_GDEPS)
-O["score"] = sql(_CF + "SELECT cell_id, round(prediction, 3) AS prediction, round(score, 3) AS score FROM sc", *_GDEPS)
-O["rank_candidates"] = sql(_CF + "SELECT cell_id, competitor_count_1500m, round(nearest_competitor_m, 3) AS nearest_competitor_m, "
-                           "population_1500m, round(prediction, 3) AS prediction, round(score, 3) AS score FROM sc "
-                           "ORDER BY score DESC, cell_id LIMIT 10", *_GDEPS)
+O["score"] = sql(_S + "SELECT cell_id, prediction, score FROM sc", *_GDEPS)
+O["rank_candidates"] = sql(_S + "SELECT * FROM sc ORDER BY score DESC, cell_id LIMIT 10", *_GDEPS)
+
+# ------------------------------------------------------------------ further pieces of D, B and C
+O["histogram_edges"] = sql(
+    "WITH e AS (SELECT * FROM (VALUES (0, 1.0, 5.0), (1, 5.0, 10.0), (2, 10.0, 20.0), (3, 20.0, 40.0)) t(b, lo, hi)) "
+    "SELECT CAST(b AS INTEGER) AS bin, CAST(lo AS DOUBLE) AS lower, CAST(hi AS DOUBLE) AS upper, "
+    "(SELECT count(*) FROM addresses WHERE total >= lo AND (total < hi OR (b = 3 AND total = hi))) AS count FROM e", "addresses")
+O["corr_strong"] = (
+    "WITH r AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(l_extendedprice AS DOUBLE)) AS r FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax"))
+    + ") SELECT feature, round(r, 6) AS r FROM r WHERE abs(r) > 0.3")
+O["wkt_multiring"] = sql(
+    "SELECT district_id, CAST(3 AS INTEGER) AS rings, CAST(97.0 AS DOUBLE) AS area, CAST(district_id * 100 AS DOUBLE) AS min_lng, CAST(0 AS DOUBLE) AS min_lat, "
+    "CAST(district_id * 100 + 32 AS DOUBLE) AS max_lng, CAST(21 AS DOUBLE) AS max_lat, true AS in_outer, false AS in_hole, true AS in_second, false AS between FROM districts", "districts")
+O["polygon_slice"] = sql(
+    f"SELECT id AS lokalnyid FROM bverts GROUP BY id HAVING min(lng) <= {SUB['lng_max']} AND max(lng) >= {SUB['lng_min']} "
+    f"AND min(lat) <= {SUB['lat_max']} AND max(lat) >= {SUB['lat_min']}", "bverts")
+O["store_building"] = sql(
+    f"SELECT location_id, round(area, 3) AS store_building_area, CAST(kind = '{fx.RETAIL_CATEGORY}' AS INTEGER) AS is_retail_building FROM ("
+    f"SELECT pd.location_id, b.area, b.funogolnabudynku_desc AS kind, row_number() OVER (PARTITION BY pd.location_id ORDER BY pd.d, pd.id) AS rn "
+    f"FROM ({_poly_dist('stores_xy', 'location_id', 'bedges_xy')}) pd JOIN buildings b ON b.lokalnyid = pd.id) WHERE rn = 1",
+    "stores_xy", "bedges_xy", "buildings")
+# Inside the 64-gon: the offset's projection on the nearest edge normal is below the apothem.
+_ANG = "atan2(p.y - s.y, p.x - s.x)"
+_STEP = "(2 * pi() / 64)"
+O["radius_join_polygon64"] = sql(
+    f"SELECT s.location_id, p.poi_id FROM stores_xy s, poi_xy p WHERE {D2} < {R * R!r} AND "
+    f"sqrt({D2}) * cos({_ANG} - {_STEP} * floor({_ANG} / {_STEP}) - {_STEP} / 2) < {R!r} * cos({_STEP} / 2)", "stores_xy", "poi_xy")
+
+# ------------------------------------------------------------------ H: what must hold of the models
+_NF = 2 + 2 + 2 * len(_CATS) + 2 + 1 + 2
+O["list_objects"] = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", true AS has_bytes" for t in (*fx.TABLES, "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
+O["repeated_kfold"] = sql("SELECT CAST(i AS INTEGER) AS repeat, count(*) AS rows, count(DISTINCT location_id) AS ids, CAST(5 AS BIGINT) AS folds, true AS equal FROM stores, range(10) r(i) GROUP BY i", "stores")
+O["ridge_fit"] = "SELECT CAST(a AS DOUBLE) AS alpha, true AS closed_form FROM (VALUES (0.01), (0.1), (1.0), (10.0), (100.0)) t(a)"
+O["lasso_fit"] = "SELECT CAST(a AS DOUBLE) AS alpha, true AS optimal FROM (VALUES (0.001), (0.01), (0.1), (1.0), (10.0)) t(a)"
+O["feature_importance"] = f"SELECT CAST({_NF} AS BIGINT) AS features, CAST(1.0 AS DOUBLE) AS total, true AS not_negative"
+O["predict"] = sql("SELECT count(*) AS rows, count(DISTINCT location_id) AS ids, CAST(0 AS BIGINT) AS missing, true AS in_range, true AS no_worse_than_mean FROM stores", "stores")
+O["model_roundtrip"] = sql("SELECT count(*) AS rows, CAST(0.0 AS DOUBLE) AS max_difference FROM stores", "stores")
+O["attributions"] = sql(f"SELECT location_id, CAST({_NF} AS BIGINT) AS features, true AS adds_up, true AS sorted FROM stores", "stores")
+O["gbt_cv"] = "SELECT 'gbt_regularised' AS model, CAST(50 AS BIGINT) AS fits, true AS r2_in_band, true AS has_rmse"
+O["model_log"] = (
+    "SELECT CAST(i AS INTEGER) AS attempt, m AS model, 'full' AS features, c AS cv, t AS target, u AS rmse_unit, true AS has_r2, true AS has_rmse FROM (VALUES "
+    "(0, 'baseline', NULL, 'raw', 'PLN'), (1, 'ridge', 'RepeatedKFold-5x10', 'log', 'log(PLN)'), (2, 'lasso', 'RepeatedKFold-5x10', 'log', 'log(PLN)')) v(i, m, c, t, u)")

@@ -24,7 +24,7 @@ def test_competitor_and_poi_features_match_reference(spark):
     assert poi.count() == 335
     got = feat.assemble(loc.select("location_id"),
                         feat.competitor_features(loc, comp, 1500, shape="polygon64"),
-                        feat.poi_features(loc, poi, 1500, feat.POI_CATEGORIES, shape="polygon64"))
+                        feat.poi_features(loc, poi, 1500, shape="polygon64"))
     gold = spark.read.option("header", True).option("inferSchema", True).csv(f"{REF}/processed/features.csv")
     j = got.alias("g").join(gold.alias("r"), "location_id")
     assert j.count() == 50
