@@ -558,7 +558,7 @@ _S = (
     "w AS (SELECT my, mu, mv, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS bv FROM k), "
     "sc0 AS (SELECT fl.*, my + bu * (population_1500m - mu) + bv * (poi_count_1500m - mv) AS prediction FROM fl, w WHERE whitespot), "
     "mm AS (SELECT min(prediction) AS lo, max(prediction) AS hi FROM sc0), "
-    "sc AS (SELECT sc0.* EXCLUDE (far_from_own, whitespot, prediction), round(prediction, 3) AS prediction, "
+    "sc AS (SELECT sc0.* EXCLUDE (far_from_own, whitespot, prediction), round(prediction, 1) AS prediction, "
     "round_even((prediction - lo) * 100.0 / nullif(hi - lo, 0), 1) AS score FROM sc0, mm) "
 )
 _GDEPS = ("dverts_xy", "dedges", *_MDEPS)
@@ -602,7 +602,7 @@ O["repeated_kfold"] = sql("SELECT CAST(i AS INTEGER) AS repeat, count(*) AS rows
 O["ridge_fit"] = "SELECT CAST(a AS DOUBLE) AS alpha, true AS closed_form FROM (VALUES (0.01), (0.1), (1.0), (10.0), (100.0)) t(a)"
 O["lasso_fit"] = "SELECT CAST(a AS DOUBLE) AS alpha, true AS optimal FROM (VALUES (0.001), (0.01), (0.1), (1.0), (10.0)) t(a)"
 O["feature_importance"] = f"SELECT CAST({_NF} AS BIGINT) AS features, CAST(1.0 AS DOUBLE) AS total, true AS not_negative"
-O["predict"] = sql("SELECT count(*) AS rows, count(DISTINCT location_id) AS ids, CAST(0 AS BIGINT) AS missing, true AS in_range, true AS no_worse_than_mean FROM stores", "stores")
+O["predict"] = sql("SELECT count(*) AS rows, count(DISTINCT location_id) AS ids, CAST(0 AS BIGINT) AS missing, true AS no_worse_than_mean FROM stores", "stores")
 O["model_roundtrip"] = sql("SELECT count(*) AS rows, CAST(0.0 AS DOUBLE) AS max_difference FROM stores", "stores")
 O["attributions"] = sql(f"SELECT location_id, CAST({_NF} AS BIGINT) AS features, true AS adds_up, true AS sorted FROM stores", "stores")
 O["gbt_cv"] = "SELECT 'gbt_regularised' AS model, CAST(50 AS BIGINT) AS fits, true AS r2_in_band, true AS has_rmse"
