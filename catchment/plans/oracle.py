@@ -9,9 +9,22 @@ an independent check of the grid rewrites.
 
 from __future__ import annotations
 
-from ..functions import geo as _g
 from ..sources import fixtures as fx
 
+class _g:
+    """Fixed values of the projection (transverse Mercator on GRS80, EPSG:2180), as literals of the oracle's own."""
+
+    _E = 0.08181919104281579
+    _ALPHA = (0.0008377318247344344, 7.608527788826164e-07, 1.1976380191731537e-09, 2.443376242510368e-12)
+    _BETA = (0.000837732168164144, 5.905869626082731e-08, 1.6734889049883464e-10, 2.1677378055967573e-13)
+    _DELTA = (0.0033565514855966932, 6.571873148458866e-06, 1.7646564264542834e-08, 5.400482187759887e-11)
+    _KA = 6362991.9313690085
+    CS92_LON0_DEG = 19.0
+    CS92_FALSE_EASTING = 500000.0
+    CS92_FALSE_NORTHING = -5300000.0
+    EARTH_RADIUS_M = 6371008.8
+
+
 R = 1500.0
 SUB = {"lng_min": 19.0, "lat_min": 50.0, "lng_max": 19.6, "lat_max": 50.3}
 
