@@ -48,12 +48,15 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def _member(record: bytes) -> bytes:
-    """One gzip member whose extra field 'sl' has its own and the inflated length."""
+    """One gzip member whose extra field 'sl' has its own and the inflated length; one of 4 GB or more has no such field."""
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
-    head = 10 + 2 + 4 + 8
-    extra = b"sl" + struct.pack("<HII", 8, (head + len(body) + 8) & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    end = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    length = 10 + 2 + 4 + 8 + len(body) + 8
+    if max(length, len(record)) >> 32:
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + end
+    extra = b"sl" + struct.pack("<HII", 8, length, len(record))
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + end
 
 
 def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
