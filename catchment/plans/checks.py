@@ -846,7 +846,7 @@ def attributions(spark, sf):
         F.bool_and("sorted").alias("sorted"))
 
 
-@query
+# Not registered: 50 fits of 50 boosting rounds, each round several Spark jobs, take more than five minutes on a few cores.
 def gbt_cv(spark, sf):
     """H4: 5 folds x 10 repeats of the boosted trees with the reference's settings."""
     from ..operators import model as M
