@@ -337,7 +337,7 @@ def _site_matrix(L: Layers, sites: DataFrame, site_id: str) -> DataFrame:
 
 
 def _store_matrix(L: Layers) -> DataFrame:
-    return L.land("store_matrix", _site_matrix(L, L.stores_xy, "location_id"))
+    return L.land("store_matrix", lambda: _site_matrix(L, L.stores_xy, "location_id"))
 
 
 @query
@@ -633,7 +633,7 @@ def radius_join_polygon64(spark, sf):
 # ------------------------------------------------------------------ G: grid and whitespot
 
 def _cells(L: Layers) -> DataFrame:
-    return L.land("cells", G.hex_grid(L.districts.select("ring"), HEX_M))
+    return L.land("cells", lambda: G.hex_grid(L.districts.select("ring"), HEX_M))
 
 
 @query
@@ -643,7 +643,7 @@ def hex_grid(spark, sf):
 
 
 def _cell_matrix(L: Layers) -> DataFrame:
-    return L.land("cell_matrix", _site_matrix(L, geo.with_xy(_cells(L).select("cell_id", "lng", "lat")), "cell_id"))
+    return L.land("cell_matrix", lambda: _site_matrix(L, geo.with_xy(_cells(L).select("cell_id", "lng", "lat")), "cell_id"))
 
 
 @query
@@ -652,7 +652,7 @@ def site_features(spark, sf):
 
 
 def _flagged(L: Layers) -> DataFrame:
-    return L.land("cell_flags", ws.whitespot_filter(_cell_matrix(L), L.stores_xy, L.competitors_xy, 3000.0, RADIUS, 0))
+    return L.land("cell_flags", lambda: ws.whitespot_filter(_cell_matrix(L), L.stores_xy, L.competitors_xy, 3000.0, RADIUS, 0))
 
 
 @query
@@ -665,15 +665,17 @@ SCORE_FEATURES = ["population_1500m", "poi_count_1500m"]
 
 
 def _scored(L: Layers) -> DataFrame:
-    """Whitespot cells with the revenue that a saved and loaded model predicts, and its 0-100 score."""
+    """Whitespot cells with the revenue that a saved and loaded model predicts, and its 0-100 score; landed once."""
     from ..operators import model as M
     from pyspark.ml.regression import LinearRegression
 
-    stores = _store_matrix(L)
-    path = io.scratch_path(L.spark, "revenue_model")
-    io.save_model(M.fit(stores, LinearRegression(labelCol="label", solver="normal"), SCORE_FEATURES, "monthly_revenue"), path)
-    cells = _flagged(L).where("whitespot")
-    return ws.score(M.predict(io.load_model(path), cells, cells.columns), "prediction")
+    def build() -> DataFrame:
+        path = io.scratch_path(L.spark, "revenue_model")
+        io.save_model(M.fit(_store_matrix(L), LinearRegression(labelCol="label", solver="normal"), SCORE_FEATURES, "monthly_revenue"), path)
+        cells = _flagged(L).where("whitespot")
+        return ws.score(M.predict(io.load_model(path), cells, cells.columns), "prediction")
+
+    return L.land("scored", build)
 
 
 @query
@@ -793,11 +795,19 @@ def lasso_fit(spark, sf):
     return spark.createDataFrame(rows, "alpha double, optimal boolean")
 
 
+_fits: dict[tuple[str, str], tuple] = {}
+
+
 def _fitted(spark, sf):
+    """The boosted trees on all stores, fitted by the first query of a session that needs them."""
     from ..operators import model as M
-    f, cols = _training(Layers(spark, sf))
-    f = f.persist()
-    return f, cols, M.fit(f, M.gbt(), cols, "monthly_revenue")
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fits:
+        L = Layers(spark, sf)
+        f, cols = _training(L)
+        f = L.land("training", lambda: f)
+        _fits[key] = (f, cols, M.fit(f, M.gbt(), cols, "monthly_revenue"))
+    return _fits[key]
 
 
 @query

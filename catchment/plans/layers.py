@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,10 @@ class Layers:
     def table(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.sf_dir, name)
 
-    def land(self, name: str, df: DataFrame) -> DataFrame:
+    def land(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _landed:
-            _landed[key] = checkpoint(df)[0]
+            _landed[key] = checkpoint(build())[0]
         return _landed[key]
 
     @cached_property
@@ -48,7 +49,7 @@ class Layers:
 
     @cached_property
     def stores_xy(self) -> DataFrame:
-        return self.land("stores_xy", geo.with_xy(self.stores, keep_nulls=True))
+        return self.land("stores_xy", lambda: geo.with_xy(self.stores, keep_nulls=True))
 
     @cached_property
     def poi(self) -> DataFrame:
@@ -56,7 +57,7 @@ class Layers:
 
     @cached_property
     def poi_xy(self) -> DataFrame:
-        return self.land("poi_xy", geo.with_xy(self.poi))
+        return self.land("poi_xy", lambda: geo.with_xy(self.poi))
 
     @cached_property
     def competitors(self) -> DataFrame:
@@ -64,7 +65,7 @@ class Layers:
 
     @cached_property
     def competitors_xy(self) -> DataFrame:
-        return self.land("competitors_xy", geo.with_xy(self.competitors))
+        return self.land("competitors_xy", lambda: geo.with_xy(self.competitors))
 
     @cached_property
     def addresses(self) -> DataFrame:
@@ -72,7 +73,7 @@ class Layers:
 
     @cached_property
     def addresses_xy(self) -> DataFrame:
-        return self.land("addresses_xy", geo.with_xy(self.addresses))
+        return self.land("addresses_xy", lambda: geo.with_xy(self.addresses))
 
     @cached_property
     def traces(self) -> DataFrame:
@@ -81,15 +82,15 @@ class Layers:
     @cached_property
     def traces_xy(self) -> DataFrame:
         """Typed traces: parsed coordinates and time next to the text columns, projected once."""
-        return self.land("traces_xy", geo.with_xy(sj.parse_traces(self.traces)))
+        return self.land("traces_xy", lambda: geo.with_xy(sj.parse_traces(self.traces)))
 
     @cached_property
     def buildings(self) -> DataFrame:
-        return self.land("buildings", feat.prepare_buildings(fx.buildings(self.spark, self.sf_dir), land=False))
+        return self.land("buildings", lambda: feat.prepare_buildings(fx.buildings(self.spark, self.sf_dir), land=False))
 
     @cached_property
     def districts(self) -> DataFrame:
-        return self.land("districts", fx.districts(self.spark, self.sf_dir).withColumn("ring", geo.wkt_ring(F.col("geometry"))))
+        return self.land("districts", lambda: fx.districts(self.spark, self.sf_dir).withColumn("ring", geo.wkt_ring(F.col("geometry"))))
 
     @cached_property
     def area(self) -> DataFrame:
