@@ -42,7 +42,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     query probes every segment's table with all values at distance r from its
     own. After it, every code within ``segments * (r + 1) - 1`` bits has been
     verified; a query closes once its k-th distance is covered by that. A pair
-    is taken only from the first of its nearest segments, so none shows twice.
+    is taken only from the first of its nearest segments, so none shows twice,
+    and only if it isn't farther than the k-th known so far.
     Round 16 has probed everything, so an index of fewer than ``k`` rows ends too.
     Null ids sort first. An empty index or query set gives no rows.
     """
@@ -57,29 +58,30 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     )
     index = land(entries.select(F.posexplode("code").alias("seg", "val"), "code", "ids").repartition("seg", "val"))
     asked = land(queries.select("id", "code").distinct())
-    open_ = land(asked.select("code").distinct().withColumnRenamed("code", "q"))
+    open_ = land(asked.select(F.col("code").alias("q")).distinct().withColumn("far", F.lit(None).cast("int")))
     best = None
-    # 65536 rows, by construction
-    masks = codes.sparkSession.range(1 << SEGMENT_BITS).select(F.bit_count("id").alias("r"), F.col("id").cast("int").alias("flip"))
     for r in range(SEGMENT_BITS + 1):
+        # the values to flip a segment with, a literal list of C(16, r)
+        flips = F.split(F.lit(",".join(str(x) for x in range(1 << SEGMENT_BITS) if x.bit_count() == r)), ",").cast("array<int>")
         probes = (
-            open_.select("q", F.posexplode("q").alias("seg", "own")).withColumn("r", F.lit(r))
-            .join(F.broadcast(masks.filter(F.col("r") == r)), "r")
-            .select("q", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
+            open_.select("q", "far", F.posexplode("q").alias("seg", "own")).select("q", "far", "seg", "own", F.explode(flips).alias("flip"))
+            .select("q", "far", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
         )
         by_segment = F.zip_with("q", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        total = F.aggregate("d", F.lit(0), lambda a, x: a + x)
         hits = (
             probes.join(index, ["seg", "val"])
             .withColumn("d", by_segment)
+            .filter(F.col("far").isNull() | (total <= F.col("far")))  # farther than k known ones: no answer
             .filter((F.array_min("d") == r) & (F.array_position("d", F.array_min("d")) == F.col("seg") + 1))
-            .select("q", F.aggregate("d", F.lit(0), lambda a, x: a + x).alias("distance"), F.explode("ids").alias("e"))
+            .select("q", total.alias("distance"), F.explode("ids").alias("e"))
             .select("q", "distance", F.col("e.id").alias("id"))
         )
         rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
         best = land((hits if best is None else hits.unionByName(best)).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"))
-        kth = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        closed = kth.filter((F.col("n") >= k) & (F.col("far") <= m * (r + 1) - 1)).select("q")
-        open_ = land(open_.join(closed, "q", "left_anti"))
+        kth = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).filter(F.col("n") >= k).drop("n")
+        covered = F.col("kth") <= m * (r + 1) - 1
+        open_ = land(open_.drop("far").join(kth, "q", "left").filter(~F.coalesce(covered, F.lit(False))).withColumnRenamed("kth", "far"))
         if open_.isEmpty():
             break
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
