@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTE, WORD_BYTE, buffers, land, mix64, null_safe_join, slices, token_hashes, token_spans
+from .common import LOWER_BYTE, WORD_BYTE, buffers, land, mix64, null_safe_join, slices, text_batches, token_hashes, token_spans
 from .components import components
 
 TREES = 20
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     Only a pair that shares no prefix is lost: one in 30,000 at the threshold,
     fewer above it.
     """
+    text_batches(docs.sparkSession)
     depth = prefix_depth(threshold, recall)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns(

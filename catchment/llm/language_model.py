@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTE, buffers, land, mix64, slices, token_hashes, token_spans
+from .common import LOWER_BYTE, buffers, land, mix64, slices, text_batches, token_hashes, token_spans
 from .toxicity import fold
 
 #: Tokens are runs of bytes other than the space and 0x09-0x0D.
@@ -26,7 +26,7 @@ HEAD_CLASSES, TAIL_CLASSES = 32, 7
 ENDINGS = HEAD_CLASSES * TAIL_CLASSES  # no common factor: an ending's hash gives both classes by remainder
 CLASSES = SINGLES + 1 + HEAD_CLASSES + TAIL_CLASSES  # 64, with the end token's
 FEATURES = 1 << 15
-SHARDS = 16
+SHARDS = 128
 CHUNK = 4096
 TEMPLATES = 4  # previous token, previous two, token before, token two before
 
@@ -114,6 +114,30 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, feats: list[np.nd
     return logits
 
 
+def row_sums(grad: np.ndarray, feats: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse gradient of the weights: rows in use, how often, and the sums of their contexts' gradients.
+
+    The k-th uses of all rows are added at once, rows used most first; the rest
+    of the few rows used very often is summed row by row.
+    """
+    rows = np.concatenate(feats).astype(np.uint16)  # FEATURES fits, and 16 bits sort by radix
+    order = np.argsort(rows, kind="stable")
+    rows, source = rows[order], order % len(grad)
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    times = np.diff(np.append(first, len(rows)))
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    sums = np.take(grad, source[first], axis=0)
+    for k in range(1, 16):
+        n = int(np.searchsorted(-times, -k, "left"))  # rows used more than k times
+        if not n:
+            break
+        sums[:n] += np.take(grad, source[first[:n] + k], axis=0)
+    for i in range(int(np.searchsorted(-times, -16, "left"))):
+        sums[i] += np.take(grad, source[first[i] + 16 : first[i] + times[i]], axis=0).sum(axis=0)
+    return rows[first].astype(np.int64), times, sums
+
+
 def _learn(model, rate: float, prior: float):
     """One pass of gradient updates over a task's documents; emits its weights and how often each row was touched, in shards."""
 
@@ -133,15 +157,10 @@ def _learn(model, rate: float, prior: float):
                 f = [x[some] for x in feats]
                 grad = class_probabilities(weights, m.bias, f)
                 grad[np.arange(len(some)), target[some]] -= 1
-                rows = np.concatenate(f)
-                order = np.argsort(rows, kind="stable")
-                rows = rows[order]
-                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                sums = np.add.reduceat(grad[order % len(some)], first)
-                used = rows[first]
+                used, times, sums = row_sums(grad, f)
                 power[used] += (sums**2).mean(axis=1)
                 weights[used] -= rate * sums / np.sqrt(power[used])[:, None]
-                touched[used] += np.diff(np.append(first, len(rows)))
+                touched[used] += times
                 seen += len(some)
         if seen:
             step = FEATURES // SHARDS
@@ -263,6 +282,7 @@ def score_documents(docs: DataFrame, held_out: tuple[int, int] = (10, 0), id_col
     tokens stay distributed and meet the documents' rare tokens in a join.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold(id_col, held_out[0]) == held_out[1]).alias("held_out"))
     counts = land(token_counts(rows))
     model = train(spark, rows, counts, rounds)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER_BYTE, WORD_BYTE, buffers, slices, token_hashes, token_spans
+from .common import LOWER_BYTE, WORD_BYTE, buffers, slices, text_batches, token_hashes, token_spans
 
 WINDOW, STRIDE = 64, 48  # words; windows overlap by 16
 HIDDEN, ATTENTION = 12, 8
@@ -62,6 +62,27 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(row, form, hashes, (key >> np.uint32(20)).astype(np.int64) & (CHAR_ROWS - 1), begin, prefixes & (CHAR_ROWS - 1))
 
 
+def read_many(texts: pa.Array, limit: int = 1 << 20) -> Words:
+    """``read_words`` of a longer column, piece by piece: the work arrays stay small and equal forms are merged."""
+    data, offsets = buffers(texts)
+    parts, start = [], 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        w = read_words(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+        parts.append((w, start))
+        start = end
+    if not parts:
+        return read_words(data, offsets)
+    sizes = np.cumsum([0, *(len(w.hashes) for w, _ in parts)])
+    hashes, first, number = np.unique(np.concatenate([w.hashes for w, _ in parts]), return_index=True, return_inverse=True)
+    lengths = np.concatenate([np.diff(w.char_begin) for w, _ in parts])
+    every = Words(
+        np.concatenate([w.row + at for w, at in parts]), np.concatenate([number[w.form + n] for (w, _), n in zip(parts, sizes)]),
+        np.concatenate([w.hashes for w, _ in parts]), np.concatenate([w.chars for w, _ in parts]),
+        np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([w.prefixes for w, _ in parts]))
+    return _subset(every, first)
+
+
 def window_starts(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, words and row of all windows; the last of a row ends with it, a row without words has an empty one."""
     n = np.bincount(row, minlength=rows)
@@ -255,7 +276,7 @@ def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, epochs:
     if not (0 < toxic[part].sum() < part.sum() and 0 < toxic[~part].sum() < (~part).sum()):
         return _train(texts, toxic, epochs, batch, rate, seed)
     net = _train(texts.filter(pa.array(part)), toxic[part], epochs, batch, rate, seed)
-    words = read_words(*buffers(texts.filter(pa.array(~part))))
+    words = read_many(texts.filter(pa.array(~part)))
     starts, lengths, of = window_starts(words.row, int((~part).sum()))
     x = np.column_stack([highest(net.score_windows(words, starts, lengths), of, int((~part).sum())), np.ones((~part).sum())])
     y, weight = toxic[~part], np.where(toxic[~part] == 1, 1.0, clean_weight)
@@ -270,8 +291,7 @@ def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, epochs:
 
 def _train(texts: pa.Array, toxic: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> Network:
     rng = np.random.default_rng(seed)
-    data, offsets = buffers(texts)
-    words = read_words(data, offsets)
+    words = read_many(texts)
     pairs = np.unique(words.form.astype(np.int64) * len(toxic) + words.row)
     form, row = pairs // max(1, len(toxic)), pairs % max(1, len(toxic))
     bad = np.bincount(form, toxic[row] == 1, minlength=len(words.hashes))
@@ -370,6 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2),
 
 def scores(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``tox_score``, the network's probability for each whole text (null counts as empty); all windows count."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample and the table sizes
     names = [c for c in docs.columns if c != "tox_score"]
     docs = docs.select(*names)
