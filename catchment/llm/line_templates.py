@@ -2,26 +2,65 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, land, null_safe_join
+from .common import buffers, land, mix64, null_safe_join, slices, token_hashes, token_spans
+from .language_model import TOKEN_BYTE
 
 VARIABLE = "<*>"
 DEPTH = 3
 LEAF_LINES = 50_000
+SPACE, DIGIT = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[0-9]")
+
+
+def line_keys(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line, leaf, mh) of every line with a token: the hash of its tree node and of all its tokens, variable fields masked."""
+    starts, ends, row = token_spans(data, offsets, TOKEN_BYTE)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    line = breaks[starts] - breaks[offsets[:-1]][row]
+    hashes = np.where(digits[ends] > digits[starts], np.uint64(1), token_hashes(data, starts, ends))
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])]))
+    count = np.diff(np.append(first, len(starts)))
+    with np.errstate(over="ignore"):
+        place = np.arange(len(starts)) - np.repeat(first, count)
+        salt = mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) | np.uint64(1)
+        parts = mix64(hashes * salt)
+        mh = mix64(np.add.reduceat(parts, first) + count.astype(np.uint64))
+        leaf = mix64(np.add.reduceat(np.where(place < depth, parts, np.uint64(0)), first) + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return row[first], line[first], leaf, mh
+
+
+def _scan(depth: int, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            row, line, leaf, mh = line_keys(*buffers(batch.column(batch.schema.get_field_index("__text"))), depth)
+            keys = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in (id_col, "__th")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(line, pa.int32()), pa.array(leaf.view(np.int64)), pa.array(mh.view(np.int64))], [id_col, "__th", "line", "leaf", "mh"])
+
+    return run
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, line, tokens, mh): every line that has a token, its variable fields masked, and a hash of the masked line."""
-    rows = docs.select(*doc_key(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    masked = F.trim(F.regexp_replace("raw", r"(?<!\S)[^\s\d]*\d\S*", VARIABLE))
-    rows = rows.withColumn("tokens", F.array_remove(F.split(masked, r"\s+"), "")).filter(F.size("tokens") > 0)
-    return rows.select(id_col, "__th", "__th2", "line", "tokens", F.xxhash64("tokens").alias("mh"))
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The masked tokens of the listed lines of each text."""
+    for batch in batches:
+        rows = []
+        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = text.split("\n")
+            for w in wanted:
+                tokens = [VARIABLE if DIGIT.search(t) else t for t in SPACE.split(lines[w["line"]]) if t]
+                rows.append({"leaf": w["leaf"], "mh": w["mh"], "tokens": tokens})
+        for at in range(0, len(rows), 5000):
+            yield pa.RecordBatch.from_pylist(rows[at : at + 5000], pa.schema([("leaf", pa.int64()), ("mh", pa.int64()), ("tokens", pa.list_(pa.string()))]))
 
 
 def _node(depth: int) -> Column:
@@ -34,16 +73,17 @@ def _cluster(threshold: float):
 
     def close(leaf, hashes, owner, out):
         if hashes:
-            out.append(pd.DataFrame({"leaf": np.int64(leaf), "mh": np.array(hashes, np.int64), "template": np.array(owner, np.int64)}))
+            top, mh = np.array(hashes, np.int64).T
+            out.append(pd.DataFrame({"leaf": np.int64(leaf), "top": top, "mh": mh, "template": np.array(owner, np.int64)}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf = ids = None
         templates, used = np.zeros((0, 0), np.int32), 0
-        hashes: list[int] = []
+        hashes: list[tuple[int, int]] = []
         owner: list[int] = []
         for batch in batches:
             out: list[pd.DataFrame] = []
-            for at, mh, tokens in zip(batch["leaf"].to_numpy(), batch["mh"].to_numpy(), batch["tokens"]):
+            for at, top, mh, tokens in zip(batch["leaf"].to_numpy(), batch["top"].to_numpy(), batch["mh"].to_numpy(), batch["tokens"]):
                 if at != leaf:
                     close(leaf, hashes, owner, out)
                     leaf, ids, hashes, owner, used = at, {VARIABLE: 0}, [], [], 0
@@ -62,7 +102,7 @@ def _cluster(threshold: float):
                     best, used = used, used + 1
                 else:
                     templates[best][templates[best] != row] = 0
-                hashes.append(int(mh))
+                hashes.append((top, mh))
                 owner.append(best)
             if out:
                 yield pd.concat(out)
@@ -85,17 +125,24 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, threshold: float = 0.7,
     ``threshold`` of them, and the positions that differ become variable;
     otherwise it starts a template. Leaves seen in fewer than ``min_docs``
     documents can't hold a recurring template and are left out before any text
-    moves. Only distinct lines reach a leaf's task.
+    moves: a first scan sends hashes of the lines only. Each distinct line of
+    the other leaves is then read from one of its documents, so that only
+    distinct lines reach a leaf's task. Tokens are runs of bytes other than the
+    space and 0x09-0x0D; digits are 0-9.
     """
-    key = [id_col, "__th", "__th2"]
-    every = _lines(docs, id_col, text_col)
-    lines = land(every.select(*key, "line", "mh", _node(depth).alias("leaf")))
+    key = [id_col, "__th"]
+    rows = docs.select(id_col, F.xxhash64(text_col).alias("__th"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    id_type = dict(rows.dtypes)[id_col]
+    lines = land(rows.mapInArrow(_scan(depth, id_col), f"`{id_col}` {id_type}, __th long, line int, leaf long, mh long"))
     seen = lines.select("leaf", *key).distinct().groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    texts = land(
-        every.withColumn("leaf", _node(depth)).select("leaf", "mh", "tokens").join(seen.select("leaf"), "leaf")
-        .groupBy("leaf", "mh").agg(F.min("tokens").alias("tokens"))
-        .withColumn("node", F.col("leaf"))
+    place = F.min(F.struct(*key, "line")).alias("at")
+    chosen = (
+        lines.join(seen.select("leaf"), "leaf").groupBy("leaf", "mh").agg(place)
+        .groupBy(F.col(f"at.{id_col}").alias(id_col), F.col("at.__th").alias("__th")).agg(F.collect_list(F.struct("at.line", "leaf", "mh")).alias("wanted"))
     )
+    texts = null_safe_join(rows, chosen, key, "inner").select("__text", "wanted").mapInArrow(_read, "leaf long, mh long, tokens array<string>")
+    # rows that repeat id and text give their lines again
+    texts = land(texts.dropDuplicates(["leaf", "mh"]).withColumn("node", F.col("leaf")))
     level = depth
     while True:
         large = texts.groupBy("node").agg(F.count("*").alias("n"), F.max(F.size("tokens")).alias("len")).filter((F.col("n") > leaf_lines) & (F.col("len") > level))
@@ -104,10 +151,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, threshold: float = 0.7,
         level += 1
         deeper = F.when(F.col("deep").isNotNull(), _node(level)).otherwise(F.col("node"))
         texts = land(texts.join(large.select("node", F.lit(1).alias("deep")), "node", "left").withColumn("node", deeper).drop("deep"))
-    by_leaf = texts.select(F.col("node").alias("leaf"), "mh", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.size("tokens"), "tokens", "mh")
-    owned = by_leaf.mapInPandas(_cluster(threshold), "leaf long, mh long, template long")
-    owned = land(owned.withColumnRenamed("leaf", "node"))
-    member = lines.join(owned, "mh").select(*key, "line", "node", "template")
+    by_leaf = texts.select(F.col("node").alias("leaf"), F.col("leaf").alias("top"), "mh", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.size("tokens"), "tokens", "mh")
+    owned = land(by_leaf.mapInPandas(_cluster(threshold), "leaf long, top long, mh long, template long").select(F.col("leaf").alias("node"), F.col("top").alias("leaf"), "mh", "template"))
+    member = lines.join(owned, ["leaf", "mh"]).select(*key, "line", "node", "template")
     often = member.select("node", "template", *key).distinct().groupBy("node", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     dropped = member.join(often.select("node", "template"), ["node", "template"])
     return dropped.groupBy(*key).agg(F.array_sort(F.collect_set("line")).alias("lines"))
@@ -124,12 +170,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, threshold: float =
     """
     docs = docs.drop("n_lines", "n_dropped")
     found = recurring_lines(docs, min_docs, threshold, depth, id_col=id_col, text_col=text_col)
-    base = docs.withColumns({"__th": F.xxhash64(text_col), "__th2": F.hash(text_col)})
-    full = null_safe_join(base, found, [id_col, "__th", "__th2"])
+    full = null_safe_join(docs.withColumn("__th", F.xxhash64(text_col)), found.withColumnRenamed("lines", "__lines"), [id_col, "__th"])
     all_lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(all_lines, lambda x, i: ~F.array_contains("lines", i))
+    kept = F.filter(all_lines, lambda x, i: ~F.array_contains("__lines", i))
     return full.select(
-        *[F.when(F.col("lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(all_lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines")), F.lit(0)).cast("long").alias("n_dropped"),
     )
