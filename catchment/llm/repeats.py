@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mix64, slices
+from .common import buffers, mix64, slices, text_batches
 from .suffix_array import suffix_array
 
 LENGTH = 100  # bytes that must repeat
@@ -63,6 +63,13 @@ def window_keys(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     return starts, keys[starts], hashes
 
 
+def _places(starts: np.ndarray, keys: np.ndarray, hashes: np.ndarray, spread: int) -> np.ndarray:
+    """Positions of the grams that give some window over them its key."""
+    best = np.zeros(len(hashes) + 2 * spread, np.uint64)
+    best[starts + spread - 1] = keys
+    return np.flatnonzero(_slide(best, spread, np.maximum)[: len(hashes)] == hashes)
+
+
 def _fingerprints(length: int, gram: int):
     """(h, k, c): the keys of each document's windows, with how many places of the document gave them."""
 
@@ -72,12 +79,7 @@ def _fingerprints(length: int, gram: int):
             starts, keys, hashes = window_keys(data, offsets, length, gram)
             if not len(starts):
                 continue
-            # a gram counts where some window over it has its hash as key
-            spread = length - gram + 1
-            best = np.zeros(len(hashes) + 2 * spread, np.uint64)
-            best[starts + spread - 1] = keys
-            best = _slide(best, spread, np.maximum)[: len(hashes)]
-            at = np.flatnonzero(best == hashes)
+            at = _places(starts, keys, hashes, length - gram + 1)
             row = np.searchsorted(offsets, at, "right") - 1
             h = hashes[at]
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
@@ -94,7 +96,7 @@ def _runs(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 PIECES = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("k", pa.int64()), ("o", pa.int64()), ("th", pa.int64()),
-                    ("start", pa.int64()), ("windows", pa.int64()), ("seg", pa.binary())])
+                    ("start", pa.int64()), ("windows", pa.int64()), ("inner", pa.bool_()), ("seg", pa.binary())])
 SPANS = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -108,9 +110,10 @@ def _segments(length: int, gram: int):
             col = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k", "o", "th")}
             lists = batch.column(batch.schema.get_field_index("repeated"))
             wanted, of = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
-            starts, keys, _ = window_keys(data, offsets, length, gram)
+            starts, keys, hashes = window_keys(data, offsets, length, gram)
             if not len(starts):
                 continue
+            places = _places(starts, keys, hashes, length - gram + 1)
             first, count = _runs(starts, keys)
             row = np.searchsorted(offsets, starts[first], "right") - 1
             # (row, key) pairs that are listed
@@ -118,6 +121,11 @@ def _segments(length: int, gram: int):
             asked = mix64(keys[first] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             hit = listed[np.minimum(np.searchsorted(listed, asked), max(0, len(listed) - 1))] == asked if len(listed) else np.zeros(len(asked), bool)
             first, count, row = first[hit], count[hit], row[hit]
+            # equal windows inside a stretch hold the key's gram at two places of it
+            names, number = np.unique(hashes[places], return_inverse=True)
+            place_codes = np.sort(number * len(data) + places)
+            own = np.minimum(np.searchsorted(names, keys[first]), max(0, len(names) - 1)) * len(data) + starts[first]
+            inner = np.searchsorted(place_codes, own + count + length - gram) - np.searchsorted(place_codes, own) > 1
             begin, raw = starts[first], data.tobytes()
             order = np.lexsort((begin, col["th"][row], col["o"][row]))
             place = list(zip(col["o"][row].tolist(), col["th"][row].tolist(), (begin - offsets[row]).tolist()))
@@ -134,7 +142,7 @@ def _segments(length: int, gram: int):
             key = keys[first].view(np.int64)
             decided = np.array([s is None for s in segs], bool)
             part = np.where(decided, mix64(col["k"][row].view(np.uint64)).view(np.int64), key)
-            columns = [part, key, col["k"][row], col["o"][row], col["th"][row], begin - offsets[row], count, pa.array(segs, pa.binary())]
+            columns = [part, key, col["k"][row], col["o"][row], col["th"][row], begin - offsets[row], count, inner, pa.array(segs, pa.binary())]
             whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PIECES)
             if same:
                 whole = whole.filter(pa.array(~np.isin(np.arange(whole.num_rows), same)))
@@ -199,60 +207,78 @@ def _decide(length: int, bundle_bytes: int):
 
     def _solve(segs: list[bytes], places: list[tuple], out: list[tuple]) -> None:
         o, th, start, windows, k = (np.array([p[i] for p in places], np.int64) for i in range(5))
-        if sum(map(len, segs)) > 4 * bundle_bytes and windows.sum() > 1:
-            _in_parts(segs, (o, th, start, windows, k), out)
+        if sum(map(len, segs)) > 8 * bundle_bytes and windows.sum() > 1:
+            _in_parts(segs, o, th, start, windows, k, out)
             return
         for flags, s, key, t in zip(repeated_windows(segs, windows, [o, th, start], length), start, k, th):
             if flags.any():
                 out.extend((int(key), int(t), a, b) for a, b in _spans(flags, int(s), length))
 
-    def _in_parts(segs, columns, out) -> None:
-        """A key with too many distinct segments for one array: its windows are split by a hash of their bytes."""
-        o, th, start, windows, k = columns
-        parts = max(2, int(windows.sum() * length // (2 * bundle_bytes)))
-        for part in range(parts):
-            some_segs, some = [], []
-            for i, seg in enumerate(segs):
-                data = np.frombuffer(seg, np.uint8)
-                mine = np.flatnonzero(gram_hashes(data, length)[: windows[i]] % np.uint64(parts) == part) if len(data) >= length else []
-                for w in mine:
-                    some_segs.append(seg[w : w + length])
-                    some.append((o[i], th[i], start[i] + w, 1, k[i]))
-            if some:
-                o2, th2, start2, windows2, k2 = (np.array([p[j] for p in some], np.int64) for j in range(5))
-                for flags, s, key, t in zip(repeated_windows(some_segs, windows2, [o2, th2, start2], length), start2, k2, th2):
-                    if flags[0]:
-                        out.append((int(key), int(t), int(s), int(s) + length))
+    def _in_parts(segs, o, th, start, windows, k, out) -> None:
+        """A key with too many distinct stretches for one array: windows are dealt to parts by a hash of their bytes.
+
+        A window whose hash is the only one of its kind repeats nothing and
+        stays out; neighbours of one part stay together.
+        """
+        data = np.frombuffer(b"".join(segs), np.uint8)
+        begin = np.cumsum([0, *(len(s) for s in segs)])[:-1]
+        seg = np.repeat(np.arange(len(segs)), windows)
+        offset = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+        hashes = gram_hashes(data, length)[begin[seg] + offset]
+        _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = times[number] > 1
+        seg, offset, hashes = seg[again], offset[again], hashes[again]
+        jump = np.concatenate([[True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(seg) else np.zeros(0, bool)
+        parts = np.uint64(max(1, -(-(len(seg) + length * int(jump.sum())) // (4 * bundle_bytes))))
+        part = hashes % parts
+        for p in range(int(parts)):
+            mine = np.flatnonzero(part == p)
+            if not len(mine):
+                continue
+            s, at = seg[mine], offset[mine]
+            first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (at[1:] != at[:-1] + 1)]))
+            n = np.diff(np.append(first, len(mine)))
+            s, at = s[first], at[first]
+            some = [segs[i][a : a + w + length - 1] for i, a, w in zip(s.tolist(), at.tolist(), n.tolist())]
+            for flags, i, a in zip(repeated_windows(some, n, [o[s], th[s], start[s] + at], length), s.tolist(), at.tolist()):
+                if flags.any():
+                    out.extend((int(k[i]), int(th[i]), x, y) for x, y in _spans(flags, int(start[i]) + a, length))
 
     def emit(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle: dict[bytes, tuple] = {}
-        held, last = 0, None
+        bundle: dict[bytes, tuple] = {}  # whole keys whose stretches need a suffix array
+        own: dict[bytes, tuple] = {}  # stretches of the present key
+        held, last, needed = 0, None, False
         for batch in batches:
             out: list[tuple] = []
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "o", "th", "start", "windows", "k")]
-            key, o, th, start, windows, k = (c.to_numpy(zero_copy_only=False) for c in cols)
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "o", "th", "start", "windows", "k", "inner")]
+            key, o, th, start, windows, k, inner = (c.to_numpy(zero_copy_only=False) for c in cols)
             for i, seg in enumerate(batch.column(batch.schema.get_field_index("seg")).to_pylist()):
                 if seg is None:
                     out.append((int(k[i]), int(th[i]), int(start[i]), int(start[i] + windows[i] - 1 + length)))
                     continue
-                if key[i] != last and held > bundle_bytes:
-                    flush(bundle, out)
-                    bundle, held = {}, 0
-                last = key[i]
+                if key[i] != last:
+                    if needed or len(own) > 1:  # else one stretch that repeats nothing but itself
+                        bundle.update(own)
+                        held += sum(map(len, own))
+                        if held > bundle_bytes:
+                            flush(bundle, out)
+                            bundle, held = {}, 0
+                    own, last, needed = {}, key[i], False
+                needed = needed or bool(inner[i])
                 place = (o[i], th[i], start[i], windows[i], k[i])
-                other = bundle.get(seg)
-                if other is None:
-                    bundle[seg], held = place, held + len(seg)
-                elif place[:3] != other[:3]:  # the same stretch from another batch: the earlier place stays
+                other = own.setdefault(seg, place)
+                if place[:3] != other[:3]:  # the same stretch from another batch: the earlier place stays
                     early, late = sorted((place, other))
-                    bundle[seg] = early
+                    own[seg] = early
                     out.append((int(late[4]), int(late[1]), int(late[2]), int(late[2] + late[3] - 1 + length)))
             if out:
                 yield emit(out)
         out = []
+        if needed or len(own) > 1:
+            bundle.update(own)
         flush(bundle, out)
         if out:
             yield emit(out)
@@ -307,13 +333,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
        that occur at one place of the corpus alone can't hold a repeat.
     2. The stretches of text under the other keys meet by key, equal ones
        merged before and after the shuffle. A suffix array over each bundle of
-       keys decides all their windows exactly.
+       keys decides all their windows exactly. A key with one distinct stretch
+       that holds the key's gram once has no more to decide and stays out.
     3. The spans go back to their documents.
 
     The three passes over the texts share one shuffle by id. Hot stretches
     leave each batch once, so a passage that a third of all documents hold
     costs a row per batch.
     """
+    text_batches(docs.sparkSession)
     gram = min(GRAM, length)
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(
@@ -323,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     often = prints.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h")
     listed = prints.select("h", "k").join(often, "h").groupBy("k").agg(F.collect_set("h").alias("repeated"))
     pieces = rows.join(listed, "k").mapInArrow(
-        _segments(length, gram), "part long, key long, k long, o long, th long, start long, windows long, seg binary")
+        _segments(length, gram), "part long, key long, k long, o long, th long, start long, windows long, inner boolean, seg binary")
     spans = (
         pieces.repartition("part").sortWithinPartitions("key")
         .mapInArrow(_decide(length, bundle_bytes), "k long, th long, start long, end long")

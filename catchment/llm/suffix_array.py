@@ -3,9 +3,9 @@
 Phase 1 takes the groups in descending order. Every suffix of a group looks up
 its previous smaller suffix; the suffixes so found extend their prefix by the
 group's, once for each suffix that points at them, and move into new groups
-just above the rest of their old one. Phase 2 walks the suffix array from the
-front: each suffix places the one before it, and along the previous-smaller
-pointers all that end where it starts, at the next free place of their group.
+just above the rest of their old one. Phase 2 emits the order of each group
+from the front: its suffixes share a prefix and go by the rank of the suffix
+that follows it, which lies in an earlier group or earlier in the same one.
 Nothing is renamed or sorted recursively.
 """
 
@@ -16,15 +16,19 @@ from array import array
 import numpy as np
 
 #: Groups of at least this many suffixes are taken with numpy, smaller ones in plain Python.
-WIDE = 160
+WIDE = 48
 
 
-def _groups(text: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
-    """Phase 1: (previous smaller suffix, start of the group) of each suffix. The last symbol must be the only smallest."""
+def _groups(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1: the suffixes by group, the start of each suffix's group and the length of its Lyndon prefix.
+
+    The last symbol must be the only smallest.
+    """
     n = len(text)
     order = np.argsort(text, kind="stable")
-    sa, isa, start, size, prev = (array("q", bytes(8 * n)) for _ in range(5))
-    SA, ISA, START, SIZE, PREV = (np.frombuffer(x, np.int64) for x in (sa, isa, start, size, prev))
+    sa, isa, start, size, prev, length = (array("i", bytes(4 * n)) for _ in range(6))
+    SA, ISA, START, SIZE, PREV, LENGTH = (np.frombuffer(x, np.int32) for x in (sa, isa, start, size, prev, length))
+    LENGTH[:] = 1
     member = np.zeros(n, bool)
     SA[:] = order
     ISA[order] = np.arange(n)
@@ -35,6 +39,7 @@ def _groups(text: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
     end = n
     while end > 0:
         g = start[sa[end - 1]]
+        step = length[sa[g]]
         if end - g >= WIDE:
             s = np.sort(SA[g:end])
             p = s - 1
@@ -58,6 +63,7 @@ def _groups(text: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
                 old = START[q]
                 by = np.lexsort((times, old))
                 q, times, old = q[by], times[by], old[by]
+                LENGTH[q] += times * step
                 cut = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
                 k = np.diff(np.append(cut, len(old)))
                 groups = old[cut]
@@ -91,7 +97,8 @@ def _groups(text: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
                 if p >= 0:
                     found[p] = found.get(p, 0) + 1
             if len(found) == 1:
-                for p in found:
+                for p, times in found.items():
+                    length[p] += times * step
                     at = start[p]
                     w = size[at]
                     if w > 1:
@@ -104,6 +111,7 @@ def _groups(text: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
             elif found:
                 old_groups: dict[int, list[tuple[int, int]]] = {}
                 for p, times in found.items():
+                    length[p] += times * step
                     old_groups.setdefault(start[p], []).append((times, p))
                 for at, moved in old_groups.items():
                     if len(moved) > 1:
@@ -127,30 +135,66 @@ def _groups(text: np.ndarray) -> tuple[array, np.ndarray, np.ndarray]:
                     for j in range(slot, slot + width):
                         start[sa[j]] = slot
         end = g
-    return prev, START, SA
+    return SA, START, LENGTH
+
+
+def _emit(sa: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Phase 2: put the suffixes of each group in order; ``sa`` is completed in place."""
+    n = len(sa)
+    first = np.flatnonzero(np.concatenate([[True], start[sa][1:] != start[sa][:-1]]))
+    sizes = np.diff(np.append(first, n))
+    rank = np.empty(n, np.int32)
+    rank[sa] = start[sa]  # right for groups of one
+    several = sizes > 1
+    follower = (np.arange(n) + length).astype(np.int32)
+    ranks = array("i", rank.tobytes())
+    RANK = np.frombuffer(ranks, np.int32)
+    follow = array("i", follower.tobytes())
+    begin = array("i", start.tobytes())
+    for g, size in zip(first[several].tolist(), sizes[several].tolist()):
+        members = sa[g : g + size]
+        if size < WIDE:
+            ready, later = [], []
+            for s in members.tolist():
+                f = follow[s]
+                if begin[f] == g:
+                    later.append((f, s))
+                else:
+                    ready.append((ranks[f], s))
+            at = g
+            ready.sort()
+            while True:
+                for _, s in ready:
+                    sa[at] = s
+                    ranks[s] = at
+                    at += 1
+                if not later:
+                    break
+                placed = {s for _, s in ready}
+                ready = sorted((ranks[f], s) for f, s in later if f in placed)
+                later = [x for x in later if x[0] not in placed]
+        else:
+            f = follower[members]
+            inside = start[f] == g
+            ready, f_ready, at = members[~inside], f[~inside], g
+            after = np.sort(f[inside])  # suffixes of this group that follow others of it
+            while len(ready):
+                ready = ready[np.argsort(RANK[f_ready], kind="stable")]
+                sa[at : at + len(ready)] = ready
+                RANK[ready] = np.arange(at, at + len(ready))
+                at += len(ready)
+                if not len(after):
+                    break
+                f_ready = ready[after[np.minimum(np.searchsorted(after, ready), len(after) - 1)] == ready]
+                ready = f_ready - int(length[members[0]])
+    return sa
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes of a byte string, in order."""
+    """Start positions of all suffixes of a byte string below 2 GB, in order."""
     n = len(data)
     if n < 2:
         return np.arange(n)
     text = np.zeros(n + 1, np.int64)
     text[:-1] = data.astype(np.int64) + 1
-    prev, starts, _ = _groups(text)
-    prev, group, free = prev.tolist(), starts.tolist(), list(range(n + 1))
-    out = [0] * (n + 1)
-    out[0] = n
-    group[n] = -1  # placed
-    for i in range(n + 1):
-        s = out[i] - 1
-        while s >= 0:
-            g = group[s]
-            if g < 0:
-                break
-            at = free[g]
-            free[g] = at + 1
-            out[at] = s
-            group[s] = -1
-            s = prev[s]
-    return np.array(out[1:], np.int64)
+    return _emit(*_groups(text))[1:]
