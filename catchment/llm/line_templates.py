@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -12,11 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, land, mix64, null_safe_join, slices, token_hashes, token_spans
+from .components import components
 from .language_model import TOKEN_BYTE
 
 VARIABLE = "<*>"
 DEPTH = 3
-LEAF_LINES = 50_000
+#: Distinct lines of a leaf from which its work is dealt to several tasks.
+SPREAD_LINES = 50_000
+#: Templates of a leaf from which they are looked up instead of all compared.
+LOOK_UP = 200
 SPACE, DIGIT = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[0-9]")
 
 
@@ -68,7 +74,56 @@ def _node(depth: int) -> Column:
     return F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
 
 
-def _cluster(threshold: float):
+def _parts(tokens: Sequence, variable, threshold: float, depth: int) -> int | None:
+    """Into how many parts the tokens after the first ``depth`` fall so that lines which may share a template have one in common.
+
+    Lines of a leaf share their first ``depth`` tokens. A template's fixed
+    positions are those of the line that started it, so a line that joins it
+    agrees with that line on ``threshold`` of all positions; if the positions
+    that may differ are fewer than the parts, one part agrees as a whole. None:
+    the first tokens alone reach the threshold.
+    """
+    must = ceil(threshold * len(tokens)) - sum(t != variable for t in tokens[:depth])
+    return None if must <= 0 else max(0, len(tokens[depth:]) - must + 1)
+
+
+def _bonds(threshold: float, depth: int):
+    """(leaf, mh, bond): a hash of each part of a line without variable fields; leaves that hold one template have one bond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, mh, bond = [], [], []
+            for at, line, tokens in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("leaf", "mh", "tokens"))):
+                n = _parts(tokens, VARIABLE, threshold, depth)
+                parts = [["", *tokens[depth + i :: n]] for i in range(n)] if n is not None else [[]]
+                for i, part in enumerate(parts):
+                    if VARIABLE not in part:
+                        leaf.append(at)
+                        mh.append(line)
+                        bond.append(int.from_bytes(hashlib.blake2b("\n".join([str(i), *part]).encode(), digest_size=8).digest(), "little", signed=True))
+            for a in range(0, len(bond), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 20_000], pa.int64()) for x in (leaf, mh, bond)], ["leaf", "mh", "bond"])
+
+    return run
+
+
+def _spread(texts: DataFrame, large: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """``texts`` with the lines of large leaves under nodes that can't share a template: classes of lines linked by their bonds.
+
+    A leaf's lines are clustered in order, and a line only meets templates
+    started by lines with which it shares a bond, so that the classes taken one
+    by one give the templates of the whole leaf.
+    """
+    bonds = land(texts.join(large.select("leaf"), "leaf").select("leaf", "mh", "tokens").mapInArrow(_bonds(threshold, depth), "leaf long, mh long, bond long"))
+    least = bonds.groupBy("leaf", "bond").agg(F.min("mh").alias("b"))
+    classes = components(bonds.join(least, ["leaf", "bond"]).select(F.col("mh").alias("a"), "b"))
+    return (
+        texts.join(large.select("leaf", F.lit(1).alias("deep")), "leaf", "left").join(classes.withColumnRenamed("node", "mh"), "mh", "left")
+        .withColumn("node", F.when(F.col("deep").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.coalesce("root", "mh")))).drop("deep", "root")
+    )
+
+
+def _cluster(threshold: float, depth: int):
     """Templates of each leaf, greedily in the order of the lines: one row per line with the index of its template."""
 
     def close(leaf, hashes, owner, out):
@@ -76,21 +131,32 @@ def _cluster(threshold: float):
             top, mh = np.array(hashes, np.int64).T
             out.append(pd.DataFrame({"leaf": np.int64(leaf), "top": top, "mh": mh, "template": np.array(owner, np.int64)}))
 
+    def bonds(row: np.ndarray) -> list[tuple[int, bytes]]:
+        n = _parts(row, 0, threshold, depth) or 0
+        return [(i, row[depth + i :: n].tobytes()) for i in range(n) if row[depth + i :: n].all()]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf = ids = None
         templates, used = np.zeros((0, 0), np.int32), 0
         hashes: list[tuple[int, int]] = []
         owner: list[int] = []
+        known: dict[tuple[int, bytes], list[int]] = {}  # part of the line that started a template -> templates
         for batch in batches:
             out: list[pd.DataFrame] = []
             for at, top, mh, tokens in zip(batch["leaf"].to_numpy(), batch["top"].to_numpy(), batch["mh"].to_numpy(), batch["tokens"]):
                 if at != leaf:
                     close(leaf, hashes, owner, out)
-                    leaf, ids, hashes, owner, used = at, {VARIABLE: 0}, [], [], 0
+                    leaf, ids, hashes, owner, used, known = at, {VARIABLE: 0}, [], [], 0, {}
                     templates = np.zeros((4, len(tokens)), np.int32)
                 row = np.fromiter((ids.setdefault(t, len(ids)) for t in tokens), np.int32, len(tokens))
-                best = -1
-                if used:
+                best, keys = -1, None
+                if used > LOOK_UP:
+                    keys = bonds(row)
+                    near = np.unique(np.array([x for k in keys for x in known.get(k, ())], np.int64))
+                    same = ((templates[near] == row) & (row > 0)).sum(axis=1)
+                    if len(near) and same.max() >= threshold * len(row):
+                        best = int(near[same.argmax()])
+                elif used:
                     same = ((templates[:used] == row) & (row > 0)).sum(axis=1)
                     best = int(same.argmax())
                     if same[best] < threshold * len(row):
@@ -100,6 +166,8 @@ def _cluster(threshold: float):
                         templates = np.concatenate([templates, np.zeros_like(templates)])
                     templates[used] = row
                     best, used = used, used + 1
+                    for k in bonds(row) if keys is None else keys:
+                        known.setdefault(k, []).append(best)
                 else:
                     templates[best][templates[best] != row] = 0
                 hashes.append((top, mh))
@@ -114,21 +182,23 @@ def _cluster(threshold: float):
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 5, threshold: float = 0.7, depth: int = DEPTH,
-                    leaf_lines: int = LEAF_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    leaf_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text", spread_lines: int = SPREAD_LINES) -> DataFrame:
     """(key, lines): per document key the numbers (from 0) of its lines whose template occurs in ``min_docs`` documents or more.
 
     The tree: a line goes by its token count, then by its first ``depth``
-    tokens, tokens with a digit generalised to one variable field first. A node
-    with over ``leaf_lines`` distinct lines branches on further tokens until it
-    has fewer. In a leaf, distinct lines are taken in the order of their tokens;
-    each joins the template with which it shares most positions, if that is
+    tokens, tokens with a digit generalised to one variable field first. In a
+    leaf, distinct lines are taken in the order of their tokens; each joins the template with which it shares most positions, if that is
     ``threshold`` of them, and the positions that differ become variable;
     otherwise it starts a template. Leaves seen in fewer than ``min_docs``
     documents can't hold a recurring template and are left out before any text
     moves: a first scan sends hashes of the lines only. Each distinct line of
     the other leaves is then read from one of its documents, so that only
-    distinct lines reach a leaf's task. Tokens are runs of bytes other than the
-    space and 0x09-0x0D; digits are 0-9.
+    distinct lines reach a leaf's task. A leaf with over ``spread_lines`` of
+    them is dealt to tasks by classes of lines that may share a template, which
+    changes the tasks and not the templates. Only if ``leaf_lines`` is given, a
+    node with more distinct lines branches on further tokens, and lines that
+    differ there no longer meet. Tokens are runs of bytes other than the space
+    and 0x09-0x0D; digits are 0-9.
     """
     key = [id_col, "__th"]
     rows = docs.select(id_col, F.xxhash64(text_col).alias("__th"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -144,15 +214,18 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, threshold: float = 0.7,
     # rows that repeat id and text give their lines again
     texts = land(texts.dropDuplicates(["leaf", "mh"]).withColumn("node", F.col("leaf")))
     level = depth
-    while True:
+    while leaf_lines is not None:
         large = texts.groupBy("node").agg(F.count("*").alias("n"), F.max(F.size("tokens")).alias("len")).filter((F.col("n") > leaf_lines) & (F.col("len") > level))
         if large.isEmpty():
             break
         level += 1
         deeper = F.when(F.col("deep").isNotNull(), _node(level)).otherwise(F.col("node"))
         texts = land(texts.join(large.select("node", F.lit(1).alias("deep")), "node", "left").withColumn("node", deeper).drop("deep"))
+    large = texts.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > spread_lines)
+    if not large.isEmpty():
+        texts = land(_spread(texts, land(large), threshold, depth))
     by_leaf = texts.select(F.col("node").alias("leaf"), F.col("leaf").alias("top"), "mh", "tokens").repartition("leaf").sortWithinPartitions("leaf", F.size("tokens"), "tokens", "mh")
-    owned = land(by_leaf.mapInPandas(_cluster(threshold), "leaf long, top long, mh long, template long").select(F.col("leaf").alias("node"), F.col("top").alias("leaf"), "mh", "template"))
+    owned = land(by_leaf.mapInPandas(_cluster(threshold, depth), "leaf long, top long, mh long, template long").select(F.col("leaf").alias("node"), F.col("top").alias("leaf"), "mh", "template"))
     member = lines.join(owned, ["leaf", "mh"]).select(*key, "line", "node", "template")
     often = member.select("node", "template", *key).distinct().groupBy("node", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
     dropped = member.join(often.select("node", "template"), ["node", "template"])

@@ -157,6 +157,29 @@ def test_line_tree_branches_deeper_when_a_leaf_is_large(spark):
     assert flat.count() == 8
 
 
+def leaf_of_many_templates(rng, n):
+    """Lines under few (count, first three tokens) nodes, many templates each."""
+    words = VOCAB[:6] + ["7", "x8"]
+    return [(i, "\n".join(" ".join([rng.choice(["a b c", "a 1 c"]), *(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5, 7])))]) for _ in range(12))) for i in range(n)]
+
+
+def test_line_templates_of_a_dealt_leaf_are_those_of_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(line_templates, "LOOK_UP", 3)
+    rows = leaf_of_many_templates(random.Random(12), 60)
+    want = {(d, i) for d, ls in brute.line_drops(dict(rows)).items() for i in ls}
+    assert 50 < len(want) < 700
+    for spread in (1, 10**9):
+        got = line_templates.recurring_lines(frame(spark, rows), spread_lines=spread).collect()
+        assert {(r.doc_id, i) for r in got for i in r.lines} == want
+
+
+def test_line_templates_do_not_depend_on_the_size_of_a_leaf(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(0, "\n".join(f"a b c {name(i)} end of line" for i in range(50_100)))] + [(i, f"a b c q{name(i)} end of line") for i in range(1, 9)]
+    got = {r.doc_id: len(r.lines) for r in line_templates.recurring_lines(frame(spark, rows)).collect()}
+    assert got == {0: 50_100, **{i: 1 for i in range(1, 9)}}
+
+
 def test_contamination_spans_and_removal(spark):
     bench = frame(spark, [(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (3, None), (4, "!!"), (5, "solo"), (None, "short item")],
                   "item_id long, text string")
