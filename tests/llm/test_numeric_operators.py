@@ -107,6 +107,40 @@ def test_mix_position_needs_no_cap_on_sources(spark):
     assert sorted(r.mix_position for r in got) == list(range(500))
 
 
+def test_schedule_keeps_the_target_weights():
+    rng = random.Random(21)
+    for k, heavy in ((3, 0.5), (40, 0.9), (300, 0.5)):
+        w = [heavy, *(rng.random() ** 3 + 1e-3 for _ in range(k - 1))]
+        w[1:] = [x * (1 - heavy) / sum(w[1:]) for x in w[1:]]
+        blocks = [max(1, round(20_000 * x)) for x in w]
+        source, block, slot = mixing.schedule(blocks, w)
+        assert len(set(slot.tolist())) == len(slot) == sum(blocks) and (np.diff(slot) > 0).all()
+        for i in range(k):
+            mine = slot[source == i]
+            assert block[source == i].tolist() == list(range(blocks[i]))
+            served = np.arange(len(mine))
+            assert (abs(served - w[i] * mine) < 1 + 1e-9).all() and (abs(served + 1 - w[i] * (mine + 1)) < 1 + 1e-9).all()
+    assert mixing.schedule([], [])[0].tolist() == [] and sorted(mixing.schedule([2, 3], [0.0, 0.0])[0].tolist()) == [0, 0, 1, 1, 1]
+
+
+def test_mix_keeps_given_weights_with_many_sources(spark):
+    small = {f"s{i:03d}": 0.5 / 260 * (0.5 + (i % 3) / 2) for i in range(260)}
+    weights = {"big": 1 - sum(small.values()), **small, "zero": 0.0}
+    count = {"big": 900, "zero": 5, "left out": 7, None: 3} | dict.fromkeys(small, 4)
+    rows = [(i, s) for i, s in enumerate(s for s, n in count.items() for _ in range(n))]
+    got = mixing.mix(frame(spark, rows, "doc_id long, source string"), weights, block_rows=2).collect()
+    assert sorted(r.mix_position for r in got) == list(range(len(rows)))
+    order = sorted(got, key=lambda r: r.mix_position)
+    assert [(r.mix_slot, r.mix_offset) for r in order] == sorted((r.mix_slot, r.mix_offset) for r in order)
+    # without a weight: after all others
+    assert {r.source for r in order[-15:]} == {"zero", "left out", None}
+    for s in ("big", *small):
+        mine = sorted({r.mix_slot for r in got if r.source == s})
+        assert len(mine) == -(-count[s] // 2)
+        for k, slot in enumerate(mine):
+            assert abs(k - weights[s] * slot) < 1 + 1e-9 and abs(k + 1 - weights[s] * (slot + 1)) < 1 + 1e-9
+
+
 def test_warc_round_trip(spark):
     pages = {1: "<p>a</p>", 2: "<p>a</p>", 3: None, 4: "", 5: "é" * 5000, 6: "line\r\n\r\nWARC/1.1\r\n", 7: "<p>a</p>", 8: "x" * 2_000_000}
     rows = [(p, None if p == 2 else f"http://h/{p}?a b\r\n", h) for p, h in pages.items()]
