@@ -87,7 +87,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002) -> list[tu
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-                  tolerance: float = 0.002) -> DataFrame:
+                  tolerance: float = 0.002, order_col: str | None = None) -> DataFrame:
     """``docs`` plus shard (0 .. shards-1), slot (gapless from 0 in its shard) and size.
 
     The law is `bytes`: shards hold nearly equal bytes. The sort key is (hash of
@@ -98,6 +98,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     of size 8; null ids sort as -2**62. Equal (text, id) rows can't be told
     apart and stay in one shard. An empty table gives no rows.
 
+    With ``order_col``, a column that numbers the rows from 0, the slots of a
+    shard follow that order.
+
     Columns of ``docs`` named shard, slot or size are replaced.
     """
     spark = docs.sparkSession
@@ -111,15 +114,21 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     for x, y in cuts:
         past = (F.col("__a") > x) | ((F.col("__a") == x) & (F.col("__b") >= y))
         shard = shard + past.cast("int")
-    bins = max(1, -(-keys.count() // (shards * SLOT_ROWS)))
-    placed = keyed.withColumns({"shard": shard.cast("int"), "__bin": F.pmod(F.xxhash64(F.lit(17), "__b", "__a"), F.lit(bins)).cast("int")})
+    n = keys.count()
+    bins = max(1, -(-n // (shards * SLOT_ROWS)))
+    if order_col is None:
+        bin_ = F.pmod(F.xxhash64(F.lit(17), "__b", "__a"), F.lit(bins))
+    else:
+        step = max(1, -(-n // bins))
+        bin_ = F.floor(F.col(order_col) / step)
+    placed = keyed.withColumns({"shard": shard.cast("int"), "__bin": bin_.cast("int")})
     # slots: exact counts of the bins before, plus the place in the bin, so that no shard is one task
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
     starts = (
         placed.groupBy("shard", "__bin").agg(F.count("*").alias("n"))
         .select("shard", "__bin", F.coalesce(before, F.lit(0)).alias("__before"))
     )
-    inner = Window.partitionBy("shard", "__bin").orderBy("__a", "__b")
+    inner = Window.partitionBy("shard", "__bin").orderBy(*(["__a", "__b"] if order_col is None else [order_col]))
     return (
         placed.withColumn("__rn", F.row_number().over(inner)).join(starts, ["shard", "__bin"])
         .withColumn("slot", (F.col("__before") + F.col("__rn") - 1).cast("long"))

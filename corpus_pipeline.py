@@ -32,8 +32,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    return sharding.assign_shards(docs, SHARDS)
+    """All documents with their shard and slot: shards of nearly equal bytes, slots in the order of the mix.
+
+    Rows read from files have no order, so the mix is computed again; it depends on the rows alone.
+    """
+    placed = sharding.assign_shards(land(mixing.mix(docs)), SHARDS, order_col="mix_position")
+    return placed.select(*[c for c in docs.columns if c not in ("size", "shard", "slot")], "size", "shard", "slot")
 
 
 STAGES = [

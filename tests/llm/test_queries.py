@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from catchment.llm import queries, toxicity
+from catchment.llm import mixing, queries, sharding, toxicity
 from tests.oracle_harness import compare, duck
 
 from . import brute
@@ -108,3 +108,18 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(60), SF).columns == docs.columns, name
+
+
+def test_slots_of_each_shard_follow_the_mix(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = {r.doc_id: r.mix_position for r in mixing.mix(docs).collect()}
+    assert len(order) == docs.count()
+    for slot_rows in (sharding.SLOT_ROWS, 1):  # one bin of slots a shard, and several
+        monkeypatch.setattr(sharding, "SLOT_ROWS", slot_rows)
+        got = corpus_pipeline.sharded(spark, docs, SF)
+        assert got.columns == [*docs.columns, "size", "shard", "slot"]
+        rows_out = got.collect()
+        assert len(rows_out) == len(order)
+        for s in range(corpus_pipeline.SHARDS):
+            mine = sorted((r.slot, order[r.doc_id]) for r in rows_out if r.shard == s)
+            assert [x for x, _ in mine] == list(range(len(mine))) and [p for _, p in mine] == sorted(p for _, p in mine)
