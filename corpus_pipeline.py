@@ -8,7 +8,7 @@ from catchment.llm import decontamination, jaccard_join, mixing, sharding, toxic
 from catchment.llm.common import land, table
 
 SHARDS = 24
-TOXIC = 0.5  # probability from which a document is rejected
+TOXIC = 0.3  # probability from which a document is rejected, as predicted by op6_toxicity
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

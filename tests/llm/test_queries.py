@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -123,3 +124,13 @@ def test_slots_of_each_shard_follow_the_mix(spark, monkeypatch):
         for s in range(corpus_pipeline.SHARDS):
             mine = sorted((r.slot, order[r.doc_id]) for r in rows_out if r.shard == s)
             assert [x for x, _ in mine] == list(range(len(mine))) and [p for _, p in mine] == sorted(p for _, p in mine)
+
+
+def test_pipeline_rejects_what_the_query_predicts_toxic(spark, monkeypatch):
+    score = (F.col("doc_id") % 20) / 20.0
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels, **kw: None)
+    monkeypatch.setattr(toxicity, "scores", lambda docs, net, *a, **kw: docs.withColumn("tox_score", score))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    predicted = {r.doc_id: r.predicted for r in queries.op6_toxicity(spark, SF).collect()}
+    assert set(predicted.values()) == {0, 1}
+    assert {r.doc_id for r in corpus_pipeline.clean(spark, docs, SF).collect()} == {d for d, p in predicted.items() if not p}
