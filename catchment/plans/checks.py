@@ -795,19 +795,13 @@ def lasso_fit(spark, sf):
     return spark.createDataFrame(rows, "alpha double, optimal boolean")
 
 
-_fits: dict[tuple[str, str], tuple] = {}
-
-
 def _fitted(spark, sf):
-    """The boosted trees on all stores, fitted by the first query of a session that needs them."""
+    """The boosted trees on all stores: fitted and saved once for a state of the input files, then loaded."""
     from ..operators import model as M
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _fits:
-        L = Layers(spark, sf)
-        f, cols = _training(L)
-        f = L.land("training", lambda: f)
-        _fits[key] = (f, cols, M.fit(f, M.gbt(), cols, "monthly_revenue"))
-    return _fits[key]
+    L = Layers(spark, sf)
+    f, cols = _training(L)
+    f = L.land("training", lambda: f)
+    return f, cols, L.model("trees", lambda: M.fit(f, M.gbt(), cols, "monthly_revenue"))
 
 
 @query

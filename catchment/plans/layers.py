@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import features as feat
 from ..operators import spatial_join as sj
-from ..session import checkpoint
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import io
 
 BBOX = fx.BBOX
 # Traces of the driver data span January 2024 (the reference filters July 2020).
@@ -20,15 +23,14 @@ YEAR, MONTH = 2024, 1
 RADIUS = 1500.0
 
 
-_landed: dict[tuple[str, str, str], DataFrame] = {}
-
-
 class Layers:
     """All layers of one scale factor.
 
     Layers that joins read more than once (projected points, parsed polygons)
-    are landed in the checkpoint folder by the first query of a session that
-    needs them: coordinates are projected once and joins read stored columns.
+    are landed in the checkpoint folder under the state of the input files
+    (their paths, sizes and times of change), so that joins read stored
+    columns: a query finds what an earlier one landed, and lands anew once a
+    file has changed. Nothing is kept in the Python process.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -37,11 +39,23 @@ class Layers:
     def table(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def folder(self) -> str:
+        """The folder of what is landed from the present state of the input files."""
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/layers/{io.files_state(self.spark, self.sf_dir)}"
+
     def land(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _landed:
-            _landed[key] = checkpoint(build())[0]
-        return _landed[key]
+        return io.materialize(self.spark, build, f"{self.folder}/{name}")
+
+    def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
+        """A model fitted and saved once for the present state of the input files."""
+
+        def saved() -> DataFrame:
+            path = f"{self.folder}/models/{name}-{uuid.uuid4().hex}"
+            io.save_model(fit(), path)
+            return self.spark.createDataFrame([(path,)], "path string")
+
+        return io.load_model(self.land(name, saved).first()["path"])
 
     @cached_property
     def stores(self) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,14 +116,41 @@ def load_bbox(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("lng_min double, lat_min double, lng_max double, lat_max double").json(path)
 
 
-def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> DataFrame:
-    """A10: compute once: read the Parquet at ``path`` if it is complete, else build, write, read."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def files_state(spark: SparkSession, *paths: str) -> str:
+    """A name for the present state of all files under ``paths``: changes with any path, size or time of change.
+
+    One aggregate over the file listing; contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    h = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum(h), F.lit(0))).first()
+    return f"{n}-{int(total) % (1 << 64):016x}"
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table lies at ``path`` (Spark's readers fail on a missing folder instead)."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, inputs: Sequence[str] = ()) -> DataFrame:
+    """A10: compute once: read what was built at ``path``, else build, write, read.
+
+    Each build is written to a folder of its own below ``path`` and becomes
+    valid by a one-row table that names it, written last; a build that was cut
+    off is never read. With ``inputs`` (paths of the files that the build
+    reads) it is valid only while their paths, sizes and times of change stay
+    as they were.
+    """
+    state = files_state(spark, *inputs) if inputs else "any"
+    mark = f"{path}/valid-{state}"
+    if _complete(spark, mark):
+        part = spark.read.schema("part string").parquet(mark).first()["part"]
+    else:
+        part = f"{path}/{uuid.uuid4().hex}"
+        build().write.parquet(part)
+        spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("overwrite").parquet(mark)
+    return spark.read.parquet(part)
 
 
 def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
