@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import predicates as P
 from ..operators import spatial_join as sj
@@ -92,41 +95,110 @@ def repeated_values(df: DataFrame, col: str) -> DataFrame:
     return value_counts(df, col, df.agg(F.count_distinct(col)).scalar(), min_count=1)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float | None]:
-    """Exact quantiles of one column with linear interpolation between ranks.
+FETCH = 1 << 14  # values of one interval that are read instead of counted once more
+DIGIT = 16  # bits by which a pass narrows every interval
 
-    The values are range-sorted and landed with their place (partition and row),
-    rows are counted per partition, and only the neighbours of the wanted ranks
-    are read: no task and no buffer holds all values. NULLs don't count.
+
+def _sortable(v: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order (-0 as 0; NaN last)."""
+    v = np.where(np.isnan(v), np.nan, v + 0.0)
+    u = v.view(np.uint64)
+    return np.where(u >> np.uint64(63) == 1, ~u, u | np.uint64(1 << 63))
+
+
+def _double(u: int) -> float:
+    u = u ^ (1 << 63) if u >> 63 else ~u & ((1 << 64) - 1)
+    return float(np.array([u], np.uint64).view(float)[0])
+
+
+def exact_ranks(df: DataFrame, wanted: dict[str, Sequence[int]]) -> dict[tuple[str, int], float]:
+    """The values of the given ranks (from 0, in ascending order; NULLs don't count) of several columns, exactly.
+
+    Selection by counting, all columns and ranks in the same passes: a pass
+    counts the values of every interval still open by their next 16 bits (in
+    each task first, then added up), and every rank moves into the bin that
+    holds it. Four passes settle any double; an interval of few values is read
+    as it is. Nothing is sorted or landed, and no task holds a column.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
-    ranked, _ = checkpoint(v.orderBy("v").withColumn("m", F.monotonically_increasing_id()))
-    counts = sorted((r["p"], r["n"]) for r in ranked.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n")).collect())
-    n = sum(c for _, c in counts)
-    if not n:
-        return [None] * len(qs)
-
-    def place(rank: int) -> int:
-        for p, c in counts:
-            if rank < c:
-                return (p << 33) + rank
-            rank -= c
-        raise IndexError(rank)
-
-    at = [(q * (n - 1)) for q in qs]
-    wanted = {k: place(k) for x in at for k in (int(x), min(int(x) + 1, n - 1))}
-    value = {r["m"]: r["v"] for r in ranked.where(F.col("m").isin(list(wanted.values()))).collect()}
-    return [value[wanted[int(x)]] + (x - int(x)) * (value[wanted[min(int(x) + 1, n - 1)]] - value[wanted[int(x)]]) for x in at]
+    cols = list(wanted)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # rank -> (column, prefix of the sortable bits, rank within the interval)
+    open_ = {(c, k): (i, 0, k) for i, c in enumerate(cols) for k in wanted[c]}
+    found: dict[tuple[str, int], float] = {}
+    shift = 64
+    few: dict[tuple[int, int], bool] = {}
+    while open_:
+        shift -= DIGIT
+        spans = sorted({(i, prefix) for i, prefix, _ in open_.values()})
+        read = {s for s in spans if few.get(s)}
+
+        def run(batches, spans=spans, read=read, shift=shift):
+            hist = np.zeros((len(spans), 1 << DIGIT), np.int64)
+            top = np.uint64(shift + DIGIT)
+            for b in batches:
+                keys = {i: _sortable(b.column(i).drop_null().to_numpy(zero_copy_only=False)) for i in {i for i, _ in spans}}
+                for at, (i, prefix) in enumerate(spans):
+                    u = keys[i] if top == 64 else keys[i][keys[i] >> top == np.uint64(prefix)]
+                    if (i, prefix) in read:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), at), pa.int32()), pa.array(u.view(np.int64)), pa.array(np.ones(len(u), np.int64))], names=["span", "v", "n"])
+                    else:
+                        hist[at] += np.bincount(((u >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64), minlength=1 << DIGIT)
+            at, digit = np.nonzero(hist)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(digit, pa.int64()), pa.array(hist[at, digit])], names=["span", "v", "n"])
+
+        counted = rows.mapInArrow(run, "span int, v long, n long").groupBy("span", "v").agg(F.sum("n").alias("n"))
+        # unsigned order of whole keys: flip the sign bit
+        order = F.col("v").bitwiseXOR(F.lit(-(1 << 63)))
+        below = F.sum("n").over(Window.partitionBy("span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        ranked = counted.withColumn("below", F.coalesce(below, F.lit(0)))
+        ranks: dict[int, set[int]] = {}
+        for i, prefix, r in open_.values():
+            ranks.setdefault(spans.index((i, prefix)), set()).add(r)
+        hit = F.lit(False)
+        for at, some in ranks.items():
+            for r in some:
+                hit = hit | ((F.col("span") == at) & (F.col("below") <= r) & (F.col("below") + F.col("n") > r))
+        bins = ranked.where(hit).collect()
+        few = {}
+        for key, (i, prefix, r) in list(open_.items()):
+            at = spans.index((i, prefix))
+            b = next(b for b in bins if b["span"] == at and b["below"] <= r < b["below"] + b["n"])
+            if (i, prefix) in read:
+                found[key] = _double(b["v"] & ((1 << 64) - 1))
+            else:
+                value = (prefix << DIGIT) | b["v"]
+                if shift:
+                    open_[key] = (i, value, r - b["below"])
+                    few[i, value] = b["n"] <= FETCH
+                    continue
+                found[key] = _double(value)
+            del open_[key]
+    return found
+
+
+def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation between ranks; NULL for columns without values."""
+    counts = df.agg(*[F.count(F.col(c).cast("double")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    place = {c: [q * (counts[f"n{i}"] - 1) for q in qs] if counts[f"n{i}"] else [] for i, c in enumerate(cols)}
+    ranks = {c: sorted({k for x in at for k in (int(x), min(int(x) + 1, counts[f"n{i}"] - 1))}) for i, (c, at) in enumerate(place.items())}
+    value = exact_ranks(df, {c: r for c, r in ranks.items() if r})
+
+    def at(c: str, x: float, last: int) -> float:
+        low = value[c, int(x)]
+        return low + (x - int(x)) * (value[c, min(int(x) + 1, last)] - low) if x > int(x) else low
+
+    return {c: [at(c, x, counts[f"n{i}"] - 1) for x in place[c]] or [None] * len(qs) for i, c in enumerate(cols)}
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max per column."""
     aggs, rows = [], []
+    quartiles = quantiles(df, cols, [0.25, 0.5, 0.75])
     for c in cols:
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"),
                  F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
-        q = [F.lit(x).cast("double") for x in exact_quantiles(df, c, [0.25, 0.5, 0.75])]
+        q = [F.lit(x).cast("double") for x in quartiles[c]]
         rows.append(F.struct(
             F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"), F.col(f"{c}__mean").alias("mean"),
             F.col(f"{c}__std").alias("std"), F.col(f"{c}__min").alias("min"),
@@ -307,7 +379,7 @@ def compare_groups(a: DataFrame, b: DataFrame, cols: Sequence[str], names=("grou
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """Rows outside [Q1 - k*IQR, Q3 + k*IQR], with deviation (v - median) / IQR (2 dp)."""
-    q1, q2, q3 = (F.lit(q).cast("double") for q in exact_quantiles(df, col, [0.25, 0.5, 0.75]))
+    q1, q2, q3 = (F.lit(q).cast("double") for q in quantiles(df, [col], [0.25, 0.5, 0.75])[col])
     iqr = q3 - q1
     v = F.col(col)
     return df.where((v < q1 - F.lit(k) * iqr) | (v > q3 + F.lit(k) * iqr)).withColumn(

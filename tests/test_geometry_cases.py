@@ -133,9 +133,9 @@ def test_joins_project_once(spark):
 def test_quantiles_are_exact_without_a_single_buffer(spark):
     v = np.random.default_rng(5).normal(size=5001)
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(7)
-    got = prof.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0])
+    got = prof.quantiles(df, ["v"], [0.0, 0.25, 0.5, 0.9, 1.0])["v"]
     assert np.allclose(got, np.quantile(v, [0.0, 0.25, 0.5, 0.9, 1.0]), atol=1e-12)
-    assert prof.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert prof.quantiles(df.limit(0), ["v"], [0.5]) == {"v": [None]}
 
 
 def test_no_join_plans_as_nested_loops(spark):
