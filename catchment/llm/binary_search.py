@@ -57,20 +57,24 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         .groupBy("code").agg(F.collect_list(F.struct("id")).alias("ids"))  # structs: collect_list skips plain nulls
     )
     index = land(entries.select(F.posexplode("code").alias("seg", "val"), "code", "ids").repartition("seg", "val"))
+    values = land(index.select("seg", "val").distinct())
     asked = land(queries.select("id", "code").distinct())
     open_ = land(asked.select(F.col("code").alias("q")).distinct().withColumn("far", F.lit(None).cast("int")))
     best = None
     for r in range(SEGMENT_BITS + 1):
         # the values to flip a segment with, a literal list of C(16, r)
         flips = F.split(F.lit(",".join(str(x) for x in range(1 << SEGMENT_BITS) if x.bit_count() == r)), ",").cast("array<int>")
-        probes = (
-            open_.select("q", "far", F.posexplode("q").alias("seg", "own")).select("q", "far", "seg", "own", F.explode(flips).alias("flip"))
-            .select("q", "far", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
-        )
+        # queries that share a segment's value probe once; probes meet the table of values, sorted and merged:
+        # their number grows with the round, so neither side may be taken for small
+        own = open_.select("q", "far", F.posexplode("q").alias("seg", "own"))
+        probes = own.select("seg", "own").distinct().select("seg", "own", F.explode(flips).alias("flip"))
+        probes = probes.select("seg", "own", F.col("own").bitwiseXOR(F.col("flip")).alias("val"))
+        met = probes.join(values.hint("merge"), ["seg", "val"])
+        wanted = own.join(met.hint("merge"), ["seg", "own"])
         by_segment = F.zip_with("q", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         total = F.aggregate("d", F.lit(0), lambda a, x: a + x)
         hits = (
-            probes.join(index, ["seg", "val"])
+            wanted.join(index.hint("merge"), ["seg", "val"])
             .withColumn("d", by_segment)
             .filter(F.col("far").isNull() | (total <= F.col("far")))  # farther than k known ones: no answer
             .filter((F.array_min("d") == r) & (F.array_position("d", F.array_min("d")) == F.col("seg") + 1))
