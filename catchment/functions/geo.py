@@ -208,7 +208,8 @@ def _ring_edges(pts: Column) -> Column:
     return F.arrays_zip(F.slice(pts, 1, n - 1).alias("a"), F.slice(pts, 2, n - 1).alias("b"))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
+    """All edges of all rings, as structs of two vertices."""
     return F.flatten(F.transform(ring, lambda r: _ring_edges(r["pts"])))
 
 
@@ -237,7 +238,7 @@ def contains(ring, px, py, u="lng", v="lat") -> Column:
         x_at = F.try_divide((b[u] - a[u]) * (py - a[v]), b[v] - a[v]) + a[u]
         return straddles & (px < x_at)
 
-    flags = F.transform(_edges(ring), crosses)
+    flags = F.transform(edges(ring), crosses)
     return F.aggregate(flags, F.lit(False), lambda acc, f: acc != f)
 
 
@@ -252,7 +253,7 @@ def segment_distance_min(ring, px, py, u="x", v="y") -> Column:
         t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
         return F.sqrt((px - (a[u] + t * dx)) ** 2 + (py - (a[v] + t * dy)) ** 2)
 
-    return F.array_min(F.transform(_edges(ring), seg))
+    return F.array_min(F.transform(edges(ring), seg))
 
 
 def polygon_distance(ring_xy, px, py) -> Column:

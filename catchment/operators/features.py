@@ -191,20 +191,66 @@ def assemble(sites: DataFrame, *features: DataFrame, site_id: str = "location_id
     return out
 
 
+def point_features(sites, competitors=None, poi=None, addresses=None, r=RADIUS_M, categories=None, site_id="location_id", shape="circle") -> DataFrame:
+    """Competitor, POI and population features of one site set in one pass.
+
+    The layers are one table with a tag: sites are replicated to their cells
+    once, one radius join and one aggregate give all counts and sums, and one
+    search keyed by (layer, category) gives all distances. Columns and values are those of
+    ``competitor_features``, ``poi_features`` and ``population_features``.
+    """
+    rr = int(r)
+    sites_xy = sj.ensure_xy(sites, keep_nulls=True)
+    layers = {"competitor": competitors, "poi": poi, "address": addresses}
+    parts = []
+    for name, df in layers.items():
+        if df is not None:
+            xy = sj.ensure_xy(df)
+            parts.append(xy.select(
+                "x", "y", F.lit(name).alias("layer"), (F.col("category") if name == "poi" else F.lit(None)).cast("string").alias("category"),
+                (F.col("total") if name == "address" else F.lit(None)).cast("bigint").alias("total")))
+    pts = parts[0]
+    for p in parts[1:]:
+        pts = pts.unionByName(p)
+    if poi is not None and categories is None:
+        categories = sorted(x[0] for x in poi.select("category").where("category is not null").distinct().collect())
+    is_layer = {name: F.col("layer") == name for name in layers}
+    counts, near, order = [], [], [site_id]
+    if competitors is not None:
+        counts.append(F.count_if(is_layer["competitor"]).alias(f"competitor_count_{rr}m"))
+        near.append(F.min(F.when(is_layer["competitor"], F.col("d"))).alias("nearest_competitor_m"))
+        order += [f"competitor_count_{rr}m", "nearest_competitor_m"]
+    if poi is not None:
+        counts.append(F.count_if(is_layer["poi"]).alias(f"poi_count_{rr}m"))
+        near.append(F.min(F.when(is_layer["poi"], F.col("d"))).alias("nearest_poi_m"))
+        order += [f"poi_count_{rr}m", "nearest_poi_m"]
+        for c in categories:
+            mine = is_layer["poi"] & (F.col("category") == c)
+            counts.append(F.count_if(mine).alias(f"poi_{c}_count_{rr}m"))
+            near.append(F.min(F.when(mine, F.col("d"))).alias(f"nearest_poi_{c}_m"))
+            order += [f"poi_{c}_count_{rr}m", f"nearest_poi_{c}_m"]
+    if addresses is not None:
+        counts.append(F.sum(F.when(is_layer["address"], F.col("total"))).alias(f"population_{rr}m"))
+        order.append(f"population_{rr}m")
+    agg = sj.radius_join(sites_xy, pts, r, site_id, shape).groupBy(site_id).agg(*counts)
+    out = fill0(_ids(sites, site_id).join(agg, site_id, "left"), [c for c in agg.columns if c != site_id])
+    if near:
+        objects = pts.where(~is_layer["address"]).select("x", "y", "layer", "category", F.lit(0).alias("__id"))
+        found = sj.nearest_join(sites_xy, objects, site_id, "__id", ["layer", "category"], dist_col="d")
+        out = out.join(found.groupBy(site_id).agg(*near), site_id, "left")
+    return out.select(*order)
+
+
 def site_features(sites, competitors=None, poi=None, buildings=None, addresses=None, traces=None,
                   r=RADIUS_M, predicate: Column | None = None, categories=None, site_id="location_id",
                   shape="circle") -> DataFrame:
-    """The full catchment feature matrix for any site set (stores or grid cells)."""
+    """The full catchment feature matrix for any site set (stores or grid cells): point layers in one pass, then buildings, then traces."""
     sites_xy = sj.ensure_xy(sites, keep_nulls=True)
     parts = []
-    if competitors is not None:
-        parts.append(competitor_features(sites_xy, competitors, r, site_id, shape))
-    if poi is not None:
-        parts.append(poi_features(sites_xy, poi, r, categories, site_id, shape))
+    if competitors is not None or poi is not None or addresses is not None:
+        parts.append(point_features(sites_xy, competitors, poi, addresses, r, categories, site_id, shape))
     if buildings is not None:
         parts.append(building_features(sites_xy, buildings, r, site_id, shape))
-    if addresses is not None:
-        parts.append(population_features(sites_xy, addresses, r, site_id, shape))
     if traces is not None:
         parts.append(footfall_features(sites_xy, traces, r, predicate, site_id))
     return assemble(sites, *parts, site_id=site_id)

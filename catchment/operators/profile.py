@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import predicates as P
+from ..operators import overlay
 from ..operators import spatial_join as sj
 from ..session import checkpoint
 
@@ -338,28 +339,10 @@ def district_summary(polys: DataFrame, layers: dict[str, DataFrame], poly_id="di
     return out.fillna(0, list(layers))
 
 
-def coverage(polys: DataFrame, area: DataFrame, cell_deg: float = 0.005, ring="ring") -> DataFrame:
-    """Area of the polygons' union and the part outside ``area`` (deg^2), on a grid of cell centres.
-
-    A sampled estimate of the exact overlay: cell centres over the layer's
-    bbox are tested against both layers. The columns of the grid are dealt out
-    before its cells are made.
-    """
-    b = geo_bounds(polys, ring)
-    # Distributed grid: one row per cell, generated from the layer's extent.
-    steps = {v: F.greatest(F.ceil((F.col("max" + v) - F.col("min" + v)) / cell_deg).cast("int"), F.lit(1)) - 1 for v in "xy"}
-    grid = (b.select("*", F.explode(F.sequence(F.lit(0), steps["x"])).alias("i")).repartition("i")
-            .select("*", F.explode(F.sequence(F.lit(0), steps["y"])).alias("j"))
-            .select((F.col("minx") + (F.col("i") + 0.5) * cell_deg).alias("lng"),
-                    (F.col("miny") + (F.col("j") + 0.5) * cell_deg).alias("lat")))
-    in_polys = sj.inside(grid, polys.select(ring), ring=ring)
-    flagged = in_polys.join(sj.inside(in_polys, area.select(ring), ring=ring).withColumn("__in_area", F.lit(True)),
-                            ["lng", "lat"], "left")
-    cell_area = cell_deg * cell_deg
-    return flagged.agg(
-        (F.count("*") * cell_area).alias("union_area"),
-        (F.count_if(F.col("__in_area").isNull()) * cell_area).alias("outside_area"),
-    ).withColumn("outside_share", F.col("outside_area") / F.col("union_area"))
+def coverage(polys: DataFrame, area: DataFrame, ring="ring") -> DataFrame:
+    """Area of the polygons' union, the part of it outside ``area`` (deg^2), and that part's share, exactly."""
+    found = overlay.overlay_areas(polys.select(ring), area.select(ring), ring)
+    return found.withColumn("outside_share", F.try_divide("outside_area", "union_area"))
 
 
 def geo_bounds(polys: DataFrame, ring="ring") -> DataFrame:

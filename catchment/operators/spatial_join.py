@@ -275,15 +275,20 @@ def unassigned(points: DataFrame, polys: DataFrame, **kw) -> DataFrame:
 def boundary_distance(points: DataFrame, polys: DataFrame, ring: str = "ring") -> DataFrame:
     """C11: distance in metres from each point to the boundary of each named area.
 
-    The areas travel as one array value (a scalar subquery), so a point's
-    distances are computed where the point is. For a whole polygon layer the
+    The result has a row for every point and area, so points are replicated by
+    the number of areas and joined to the landed areas by number; Spark
+    broadcasts them if their bytes are few. For a whole polygon layer the
     nearest boundary is ``nearest_polygon``. Points need metric ``x, y``.
     """
     names = [c for c in polys.columns if c != ring]
-    areas = polys.select(*names, geo.ring_to_xy(F.col(ring)).alias("__rxy")).agg(F.collect_list(F.struct(*names, "__rxy"))).scalar()
-    pairs = points.select("*", F.explode(areas).alias("__a"))
-    return pairs.select(*points.columns, *[F.col(f"__a.{c}").alias(c) for c in names],
-                        geo.segment_distance_min(F.col("__a.__rxy"), F.col("x"), F.col("y")).alias("boundary_m"))
+    numbered = F.row_number().over(Window.orderBy(F.lit(0))).alias("__a")
+    areas, seen = checkpoint(polys.select(*names, geo.ring_to_xy(F.col(ring)).alias("__rxy"), numbered), observe={"n": F.count("*")})
+    if not seen["n"]:
+        return points.join(areas, F.lit(False)).select(*points.columns, *names, F.lit(None).cast("double").alias("boundary_m"))
+    areas = areas.select(*[F.col(c).alias(f"__n{i}") for i, c in enumerate(names)], "__rxy", "__a")
+    pairs = points.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(seen["n"])))).join(areas, F.col("__k") == F.col("__a"))
+    return pairs.select(*points.columns, *[F.col(f"__n{i}").alias(c) for i, c in enumerate(names)],
+                        geo.segment_distance_min(F.col("__rxy"), F.col("x"), F.col("y")).alias("boundary_m"))
 
 
 def parse_traces(traces: DataFrame) -> DataFrame:

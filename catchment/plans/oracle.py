@@ -497,17 +497,21 @@ O["district_summary"] = sql(
     f"(SELECT count(*) FROM competitors WHERE comp_id NOT IN (SELECT pid FROM ({_pip('competitors', 'comp_id', 'dedges')}))), "
     f"(SELECT count(*) FROM poi WHERE poi_id NOT IN (SELECT pid FROM ({_pip('poi', 'poi_id', 'dedges')})))",
     "districts", "stores", "competitors", "poi", "dedges")
+# Strips between all ends and crossings of edges; from bottom to top every second edge of a polygon closes it.
 O["coverage"] = sql(
-    "WITH b AS (SELECT min(lng) AS minx, min(lat) AS miny, max(lng) AS maxx, max(lat) AS maxy FROM dverts), "
-    "g AS (SELECT minx + (i + 0.5) * 0.01 AS lng, miny + (j + 0.5) * 0.01 AS lat FROM b, "
-    "range(0, CAST(ceil((maxx - minx) / 0.01) AS BIGINT)) r1(i), range(0, CAST(ceil((maxy - miny) / 0.01) AS BIGINT)) r2(j)), "
-    "gi AS (SELECT row_number() OVER () AS gid, lng, lat FROM g), "
-    f"ind AS (SELECT DISTINCT pid FROM ({_pip('gi', 'gid', 'dedges')})), "
-    f"ina AS (SELECT DISTINCT pid FROM ({_pip('gi', 'gid', 'aedges')})) "
-    "SELECT round(count(*) * 0.0001, 6) AS union_area, round(count(*) FILTER (WHERE ina.pid IS NULL) * 0.0001, 6) AS outside_area, "
-    "round(CAST(count(*) FILTER (WHERE ina.pid IS NULL) AS DOUBLE) / count(*), 6) AS outside_share "
-    "FROM ind LEFT JOIN ina ON ina.pid = ind.pid",
-    "dverts", "dedges", "aedges")
+    "WITH r AS (SELECT 0 AS layer, id, ax, ay, bx, by_ FROM dedges UNION ALL SELECT 1, id, ax, ay, bx, by_ FROM aedges), "
+    "e AS MATERIALIZED (SELECT row_number() OVER () AS n, layer, id, least(ax, bx) AS x1, CASE WHEN ax < bx THEN ay ELSE by_ END AS y1, greatest(ax, bx) AS x2, "
+    "CASE WHEN ax < bx THEN by_ ELSE ay END AS y2, (by_ - ay) / (bx - ax) AS m FROM r WHERE ax <> bx), "
+    "cr AS (SELECT ((f.y1 - f.m * f.x1) - (g.y1 - g.m * g.x1)) / (g.m - f.m) AS x, greatest(f.x1, g.x1) AS lo, least(f.x2, g.x2) AS hi FROM e f JOIN e g ON f.n < g.n AND f.m <> g.m "
+    "AND f.x1 < g.x2 AND g.x1 < f.x2), "
+    "xs AS (SELECT x1 AS x FROM e UNION SELECT x2 FROM e UNION SELECT x FROM cr WHERE x > lo AND x < hi), "
+    "st AS (SELECT x AS a, lead(x) OVER (ORDER BY x) AS b FROM xs), "
+    "se AS (SELECT a, b, layer, id, y1 + ((a + b) / 2 - x1) * m AS y FROM st JOIN e ON x1 <= a AND x2 >= b WHERE b > a), "
+    "t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY a, layer, id ORDER BY y) % 2 = 1 THEN 1 ELSE -1 END AS turn FROM se), "
+    "d AS (SELECT b - a AS w, lead(y) OVER o - y AS gap, sum(CASE WHEN layer = 0 THEN turn ELSE 0 END) OVER (PARTITION BY a ORDER BY y, layer, id ROWS UNBOUNDED PRECEDING) AS d0, "
+    "sum(CASE WHEN layer = 1 THEN turn ELSE 0 END) OVER (PARTITION BY a ORDER BY y, layer, id ROWS UNBOUNDED PRECEDING) AS d1 FROM t WINDOW o AS (PARTITION BY a ORDER BY y, layer, id)), "
+    "s AS (SELECT coalesce(sum(w * gap) FILTER (WHERE d0 > 0), 0) AS u, coalesce(sum(w * gap) FILTER (WHERE d0 > 0 AND d1 <= 0), 0) AS o FROM d) "
+    "SELECT round(u, 9) AS union_area, round(o, 9) AS outside_area, round(o / u, 9) AS outside_share FROM s", "dedges", "aedges")
 O["compare_groups"] = sql(
     "WITH f AS (" + _SF + "), t AS (SELECT * FROM f ORDER BY monthly_revenue DESC, location_id LIMIT 3), "
     "o AS (SELECT * FROM f WHERE location_id NOT IN (SELECT location_id FROM t)) " + " UNION ALL ".join(
@@ -627,7 +631,8 @@ O["histogram_edges"] = sql(
     "(SELECT count(*) FROM addresses WHERE total >= lo AND (total < hi OR (b = 3 AND total = hi))) AS count FROM e", "addresses")
 O["corr_strong"] = (
     "WITH r AS (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(l_extendedprice AS DOUBLE)) AS r FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax"))
+        f"SELECT '{n}' AS feature, corr(CAST({c} AS DOUBLE), CAST(l_extendedprice AS DOUBLE) * (1 - l_discount)) AS r FROM lineitem"
+        for n, c in (("l_extendedprice", "l_extendedprice"), ("rebate", "l_extendedprice * l_discount"), ("l_quantity", "l_quantity"), ("l_discount", "l_discount"), ("l_tax", "l_tax")))
     + ") SELECT feature, round(r, 6) AS r FROM r WHERE abs(r) > 0.3")
 O["wkt_multiring"] = sql(
     "SELECT district_id, CAST(3 AS INTEGER) AS rings, CAST(97.0 AS DOUBLE) AS area, CAST(district_id * 100 AS DOUBLE) AS min_lng, CAST(0 AS DOUBLE) AS min_lat, "
@@ -661,8 +666,12 @@ O["gbt_cv"] = sql("SELECT CAST(i AS INTEGER) AS repeat, CAST(5 AS BIGINT) AS fit
 O["gbt_grid"] = "SELECT CAST(648 AS BIGINT) AS settings, CAST(32400 AS BIGINT) AS fits, CAST(0 AS BIGINT) AS unscored, CAST(648 AS BIGINT) AS distinct_settings, true AS in_band"
 
 
-def _boosted_sql(features, label, table, trees, depth, rate, alpha, lam):
-    """Boosted trees by aggregates over distinct values: each level joins its best cuts back to the rows."""
+def _boosted_sql(features, label, table, trees, depth, rate, alpha, lam, held=None):
+    """Boosted trees by aggregates over distinct values: each level joins its best cuts back to the rows.
+
+    Gives the splits and leaves, or with ``held`` (a condition) the mean
+    predictions of those rows by the first feature, the others being trained on.
+    """
     def soft(g):
         return f"sign({g}) * greatest(abs({g}) - {alpha}, 0)"
 
@@ -671,10 +680,14 @@ def _boosted_sql(features, label, table, trees, depth, rate, alpha, lam):
 
     xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(features))
     names = ", ".join(f"x{i}" for i in range(len(features)))
-    out = [f"m0 AS (SELECT {xs}, CAST({label} AS DOUBLE) AS y, avg(CAST({label} AS DOUBLE)) OVER () AS m FROM {table})"]
+    out = [f"m0 AS (SELECT {xs}, CAST({label} AS DOUBLE) AS y, avg(CAST({label} AS DOUBLE)) OVER () AS m FROM {table}{f' WHERE NOT ({held})' if held else ''})"]
+    if held:
+        out.append(f"h0 AS (SELECT {xs}, (SELECT any_value(m) FROM m0) AS m FROM {table} WHERE {held})")
     parts = []
     for t in range(trees):
         out.append(f"r{t}_0 AS (SELECT {names}, y, m, m - y AS g, 0 AS node FROM m{t})")
+        if held:
+            out.append(f"p{t}_0 AS (SELECT {names}, m, 0 AS node FROM h{t})")
         for d in range(depth):
             long = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i} AS v, g FROM r{t}_{d}" for i in range(len(features)))
             out.append(f"c{t}_{d} AS (SELECT node, f, v, sum(g) AS g, count(*) AS h FROM ({long}) GROUP BY ALL)")
@@ -684,16 +697,27 @@ def _boosted_sql(features, label, table, trees, depth, rate, alpha, lam):
             out.append(f"b{t}_{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS rn FROM s{t}_{d}) WHERE rn = 1 AND gain > 1e-6)")
             value = "CASE b.f " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(features))) + " END"
             out.append(f"r{t}_{d + 1} AS (SELECT {names}, y, m, r.g, 2 * r.node + coalesce(CAST({value} > b.v AS INTEGER), 0) AS node FROM r{t}_{d} r LEFT JOIN b{t}_{d} b ON b.node = r.node)")
+            if held:
+                out.append(f"p{t}_{d + 1} AS (SELECT {names}, m, 2 * r.node + coalesce(CAST({value} > b.v AS INTEGER), 0) AS node FROM p{t}_{d} r LEFT JOIN b{t}_{d} b ON b.node = r.node)")
             name = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(features)) + " END"
             parts.append(f"SELECT {t} AS tree, {d} AS level, CAST(node AS INTEGER) AS node, {name} AS feature, round(v, 4) AS cut, "
                          f"round(gain / (SELECT var_pop(y) * count(*) FROM m0), 6) AS value FROM b{t}_{d}")
         out.append(f"l{t} AS (SELECT node, -({soft('sum(g)')}) / (count(*) + {lam}) * {rate} AS step FROM r{t}_{depth} GROUP BY node)")
         out.append(f"m{t + 1} AS (SELECT {names}, y, m + step AS m FROM r{t}_{depth} JOIN l{t} USING (node))")
+        if held:
+            out.append(f"h{t + 1} AS (SELECT {names}, m + coalesce(step, 0) AS m FROM p{t}_{depth} LEFT JOIN l{t} USING (node))")
         parts.append(f"SELECT {t}, {depth}, CAST(node AS INTEGER), NULL, NULL, round(step, 2) FROM l{t} WHERE step <> 0")
+    if held:
+        return "WITH " + ", ".join(out) + f" SELECT x0 AS quantity, count(*) AS n, round(avg(m), 2) AS prediction FROM h{trees} GROUP BY x0"
     return "WITH " + ", ".join(out) + " " + " UNION ALL ".join(parts)
 
 
 O["boosted_splits"] = _boosted_sql(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lineitem", 2, 2, 0.5, 1000.0, 2.0)
+O["predict_holdout"] = _boosted_sql(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lineitem", 2, 2, 0.5, 1000.0, 2.0, held="l_linenumber = 1")
 O["model_log"] = (
-    "SELECT CAST(i AS INTEGER) AS attempt, m AS model, 'full' AS features, c AS cv, t AS target, u AS rmse_unit, true AS has_r2, true AS has_rmse FROM (VALUES "
-    "(0, 'baseline', NULL, 'raw', 'PLN'), (1, 'ridge', 'RepeatedKFold-5x10', 'log', 'log(PLN)'), (2, 'lasso', 'RepeatedKFold-5x10', 'log', 'log(PLN)')) v(i, m, c, t, u)")
+    "SELECT CAST(i AS INTEGER) AS attempt, m AS model, f AS features, c AS cv, t AS target, u AS rmse_unit, CAST(n AS BIGINT) AS folds, true AS has_r2, true AS has_rmse FROM (VALUES "
+    "(0, 'baseline', 'full', NULL, 'raw', 'PLN', 0), " + ", ".join(
+        f"({i}, '{m}', '{f}', 'RepeatedKFold-5x10', '{t}', '{u}', 50)" for i, m, f, t, u in (
+            (1, "gbt_regularised", "full", "raw", "PLN"), (2, "gbt_tuned", "full", "raw", "PLN"), (3, "gbt_regularised", "correlated", "raw", "PLN"),
+            (4, "ridge", "full", "log", "log(PLN)"), (5, "lasso", "full", "log", "log(PLN)"), (7, "gbt_regularised", "with building", "raw", "PLN"),
+            (8, "gbt_regularised", "with signals per user", "raw", "PLN"))) + ") v(i, m, f, c, t, u, n)")
