@@ -71,7 +71,7 @@ def _box() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
-def build_tree(objects: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def build_tree(objects: DataFrame, total: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Node tables of every step, and the objects by the step of their leaf, keyed by ``__node``.
 
     ``objects`` have ``__g`` (group), ``__m`` (Morton key) and a box. Nodes are
@@ -82,13 +82,12 @@ def build_tree(objects: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         nodes, seen = checkpoint(nodes.withColumn("__up", F.shiftright("__node", 4)), observe={"heavy": F.count_if(F.col("n") > LEAF)})
         return nodes, seen["heavy"] or 0
 
-    total = objects.count()
     first = min(STEPS, max(1, math.ceil(math.log(max(total, 1) / LEAF, 16)))) if total > LEAF else 1
     tables, leaves = [], []
     nodes, heavy = count(objects, first)
     above = nodes
     for step in range(first - 1, 0, -1):
-        above, _ = checkpoint(above.groupBy("__g", F.col("__up").alias("__node")).agg(F.sum("n").alias("n"), *_box()).withColumn("__up", F.shiftright("__node", 4)))
+        above = above.groupBy("__g", F.col("__up").alias("__node")).agg(F.sum("n").alias("n"), *_box()).withColumn("__up", F.shiftright("__node", 4))
         tables.insert(0, above)
     tables.append(nodes)
     rest, step = objects.withColumn("__node", _node(first)), first
@@ -139,26 +138,33 @@ def search(
         # one entry a place: the lowest id there is all that ties can give
         same = obj.groupBy(*by, "x", "y").agg(F.min(F.struct(object_id, *attrs)).alias("__e"))
         obj = same.select(*by, "__e.*", "x", "y", *[F.col(c).alias(n) for c, n in zip(at, BOX)])
-    groups = obj.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 0")
-    if by and by_values is not None:
-        vals = [v if isinstance(v, tuple) else (v,) for v in by_values]
-        groups = objects.sparkSession.createDataFrame(vals, ", ".join(f"`{b}` {objects.schema[b].dataType.simpleString()}" for b in by))
-    # one row a group, numbered; objects and sites carry the number
-    groups, seen = checkpoint(groups.select(*by, F.row_number().over(Window.orderBy(*(by or [F.lit(0)]))).alias("__g")), observe={"n": F.count("*")})
-    same = F.lit(True)
-    named = groups.select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], "__g")
-    for i, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"__b{i}"))
-    obj = obj.join(named, same).drop(*by, *named.columns[:-1]) if by else obj.withColumn("__g", F.lit(1))
-    e = obj.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    x0, y0 = float(e[0] or 0.0), float(e[1] or 0.0)
-    span = max(float(e[2] or 0.0) - x0, float(e[3] or 0.0) - y0, 1e-6) * (1 + 1e-9)
-    obj, _ = checkpoint(obj.withColumn("__m", _morton(F.col("x"), F.col("y"), x0, y0, span)))
-    tables, leaves = build_tree(obj.select("__g", "__m", *BOX, object_id) if not planar else obj)
+    # landed once, with the extent and the number of objects from the same pass
+    obj, e = checkpoint(obj, observe={"n": F.count("*"), "x0": F.min("x"), "y0": F.min("y"), "x1": F.max("x"), "y1": F.max("y")})
+    if by:
+        if by_values is not None:
+            vals = [v if isinstance(v, tuple) else (v,) for v in by_values]
+            groups = objects.sparkSession.createDataFrame(vals, ", ".join(f"`{b}` {objects.schema[b].dataType.simpleString()}" for b in by))
+        else:
+            groups = obj.select(*by).distinct()
+        # one row a group, numbered; objects and sites carry the number
+        groups, seen = checkpoint(groups.select(*by, F.row_number().over(Window.orderBy(*by)).alias("__g")), observe={"n": F.count("*")})
+        n_groups = seen["n"]
+        same = F.lit(True)
+        named = groups.select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], "__g")
+        for i, b in enumerate(by):
+            same = same & F.col(b).eqNullSafe(F.col(f"__b{i}"))
+        obj = obj.join(named, same).drop(*by, *named.columns[:-1])
+    else:
+        n_groups = 1
+        obj = obj.withColumn("__g", F.lit(1))
+    x0, y0 = float(e["x0"] or 0.0), float(e["y0"] or 0.0)
+    span = max(float(e["x1"] or 0.0) - x0, float(e["y1"] or 0.0) - y0, 1e-6) * (1 + 1e-9)
+    obj = obj.withColumn("__m", _morton(F.col("x"), F.col("y"), x0, y0, span))
+    tables, leaves = build_tree(obj.select("__g", "__m", *BOX, object_id) if not planar else obj, e["n"] or 0)
 
     sx, sy = F.col("__sx"), F.col("__sy")
     everyone = sites.select(F.col(site_id), F.col("x").alias("__sx"), F.col("y").alias("__sy"))
-    rows = everyone.withColumn("__g", F.explode(F.sequence(F.lit(1), F.lit(seen["n"])))) if seen["n"] else everyone.withColumn("__g", F.lit(None).cast("int"))
+    rows = everyone.withColumn("__g", F.explode(F.sequence(F.lit(1), F.lit(n_groups)))) if n_groups else everyone.withColumn("__g", F.lit(None).cast("int"))
     front = rows.where(sx.isNotNull() & sy.isNotNull() & F.col("__g").isNotNull()).select(
         "*", F.lit(1).cast("long").alias("__node"), F.lit(float("inf")).alias("__far"))
     whole = Window.partitionBy(site_id, "__sx", "__sy", *([] if best_of_all else ["__g"]))

@@ -306,9 +306,16 @@ def tail_bins(df: DataFrame, col: str, cutoff: float, edges: Sequence[float]) ->
     ).orderBy("lower")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Pearson's r over the rows that have both values; NULL for a column without spread (where ``corr`` fails)."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def corr_with_target(df: DataFrame, target: str, cols: Sequence[str], threshold: float = 0.0) -> DataFrame:
-    """Pearson r of each feature with the target, |r| > threshold, strongest first."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
+    """Pearson r of each feature with the target, |r| > threshold, strongest first; features without spread are left out."""
+    wide = df.agg(*[pearson(c, target).alias(c) for c in cols])
     rows = _to_rows(wide, cols, "feature", "r")
     return rows.where(F.abs("r") > threshold).orderBy(F.desc(F.abs("r")), "feature")
 
@@ -316,7 +323,7 @@ def corr_with_target(df: DataFrame, target: str, cols: Sequence[str], threshold:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Lower triangle (i >= j) of the correlation matrix, one aggregate pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.agg(*[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"{a}__{b}").alias("r"))
                      for a, b in pairs])
     return wide.select(F.inline(rows))

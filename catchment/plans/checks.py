@@ -348,7 +348,7 @@ def _site_matrix(L: Layers, sites: DataFrame, site_id: str) -> DataFrame:
 
 
 def _store_matrix(L: Layers) -> DataFrame:
-    return L.land("store_matrix", lambda: _site_matrix(L, L.stores_xy, "location_id"))
+    return L.result("store_matrix", lambda: _site_matrix(L, L.stores_xy, "location_id"))
 
 
 @query
@@ -410,7 +410,7 @@ def footfall_rollup(spark, sf):
     """Ten days out of the daily rollup of users and signals, next to the exact distinct count over the same traces."""
     L = Layers(spark, sf)
     since, until = "2024-01-05", "2024-01-15"
-    rollup = L.land("footfall_rollup", lambda: feat.footfall_rollup(L.stores_xy, L.traces_xy, RADIUS, base_pred()))
+    rollup = L.result("footfall_rollup", lambda: feat.footfall_rollup(L.stores_xy, L.traces_xy, RADIUS, base_pred()))
     merged = feat.footfall_period(L.stores_xy, rollup, since, until, RADIUS)
     within = base_pred() & (F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp"))
     exact = feat.footfall_features(L.stores_xy, L.traces_xy, RADIUS, within).select("location_id", "unique_users_1500m")
@@ -657,7 +657,7 @@ def radius_join_polygon64(spark, sf):
 # ------------------------------------------------------------------ G: grid and whitespot
 
 def _cells(L: Layers) -> DataFrame:
-    return L.land("cells", lambda: G.hex_grid(L.districts.select("ring"), HEX_M))
+    return L.result("cells", lambda: G.hex_grid(L.districts.select("ring"), HEX_M))
 
 
 @query
@@ -667,7 +667,7 @@ def hex_grid(spark, sf):
 
 
 def _cell_matrix(L: Layers) -> DataFrame:
-    return L.land("cell_matrix", lambda: _site_matrix(L, geo.with_xy(_cells(L).select("cell_id", "lng", "lat")), "cell_id"))
+    return L.result("cell_matrix", lambda: _site_matrix(L, geo.with_xy(_cells(L).select("cell_id", "lng", "lat")), "cell_id"))
 
 
 @query
@@ -676,7 +676,7 @@ def site_features(spark, sf):
 
 
 def _flagged(L: Layers) -> DataFrame:
-    return L.land("cell_flags", lambda: ws.whitespot_filter(_cell_matrix(L), L.stores_xy, L.competitors_xy, 3000.0, RADIUS, 0))
+    return L.result("cell_flags", lambda: ws.whitespot_filter(_cell_matrix(L), L.stores_xy, L.competitors_xy, 3000.0, RADIUS, 0))
 
 
 @query
@@ -705,7 +705,7 @@ def _scored(L: Layers) -> DataFrame:
         cells = matrix(_flagged(L).where("whitespot"))
         return ws.score(M.predict(L.model("ridge_score", ridge), cells, cells.columns), "prediction")
 
-    return L.land("scored", build)
+    return L.result("scored", build)
 
 
 @query
@@ -830,7 +830,7 @@ def _fitted(spark, sf):
     from ..operators import model as M
     L = Layers(spark, sf)
     f, cols = _training(L)
-    f = L.land("training", lambda: f)
+    f = L.result("training", lambda: f)
     return f, cols, L.model("trees", lambda: M.fit(f, M.gbt(), cols, "monthly_revenue"))
 
 
@@ -894,7 +894,7 @@ def gbt_cv(spark, sf):
     f, cols = _training(Layers(spark, sf))
     folds = B.cross_validate(f, [B.Setting()], cols, "monthly_revenue", "location_id", 5, 10, 42)
     return folds.groupBy("repeat").agg(F.count("*").alias("fits"), F.sum("n").alias("rows"), F.count("r2").alias("scored"),
-                                       F.bool_and(F.col("r2").between(-5.0, 1.0) & (F.col("rmse") > 0)).alias("in_band"))
+                                       F.bool_and((F.col("r2") <= 1) & (F.col("rmse") > 0)).alias("in_band"))
 
 
 @query
@@ -935,7 +935,7 @@ def _tuned(L: Layers) -> DataFrame:
     """Scores of all settings of the tuning grid, landed."""
     from ..operators import boosting as B
     f, cols = _training(L)
-    return L.land("gbt_grid", lambda: B.grid_search(f, GBT_GRID, cols, "monthly_revenue", "location_id", 5, 10, 42))
+    return L.result("gbt_grid", lambda: B.grid_search(f, GBT_GRID, cols, "monthly_revenue", "location_id", 5, 10, 42))
 
 
 @query
@@ -948,7 +948,7 @@ def model_log(spark, sf):
     from ..operators import model as M
     L = Layers(spark, sf)
     f, cols = _training(L)
-    f = L.land("training", lambda: f)
+    f = L.result("training", lambda: f)
 
     def row(s: DataFrame, attempt: int, model: str, features: str, target: str, unit: str, folds: str | None = "RepeatedKFold-5x10") -> DataFrame:
         return s.select(F.lit(attempt).alias("attempt"), F.lit(model).alias("model"), F.lit(features).alias("features"), F.lit(folds).cast("string").alias("cv"),

@@ -47,6 +47,10 @@ class Layers:
     def land(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return io.materialize(self.spark, build, f"{self.folder}/{name}")
 
+    def result(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """As ``land``, for what queries compute from the layers; `catchment.run` keeps runs apart (bench.py)."""
+        return self.land(f"results-{self.spark.conf.get('catchment.run', 'all')}/{name}", build)
+
     def model(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
         """A model fitted and saved once for the present state of the input files."""
 
@@ -55,7 +59,7 @@ class Layers:
             io.save_model(fit(), path)
             return self.spark.createDataFrame([(path,)], "path string")
 
-        return io.load_model(self.land(name, saved).first()["path"])
+        return io.load_model(self.result(name, saved).first()["path"])
 
     @cached_property
     def stores(self) -> DataFrame:
