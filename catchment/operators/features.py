@@ -16,6 +16,7 @@ from ..functions import geo
 from ..sources.fixtures import RESIDENTIAL_CATEGORIES, RETAIL_CATEGORY
 from ..session import checkpoint
 from . import spatial_join as sj
+from .sums import polygon_sums, radius_sums
 
 RADIUS_M = 1500
 
@@ -40,7 +41,7 @@ def catchment_count(sites, points, r=RADIUS_M, name=None, site_id="location_id",
     """Number of points strictly inside each site's catchment, 0-filled."""
     name = name or f"count_{int(r)}m"
     sites_xy, pts = sj.ensure_xy(sites, keep_nulls=True), sj.ensure_xy(points)
-    agg = sj.radius_join(sites_xy, pts.select("x", "y"), r, site_id, shape).groupBy(site_id).agg(F.count("*").alias(name))
+    agg = radius_sums(sites_xy, pts.select("x", "y"), r, {name: F.lit(1)}, site_id, shape=shape)
     return fill0(_ids(sites, site_id).join(agg, site_id, "left"), [name])
 
 
@@ -48,8 +49,7 @@ def catchment_sum(sites, points, col, r=RADIUS_M, name=None, site_id="location_i
     """Sum of ``col`` over points in the catchment (population), 0-filled."""
     name = name or f"{col}_{int(r)}m"
     sites_xy, pts = sj.ensure_xy(sites, keep_nulls=True), sj.ensure_xy(points)
-    agg = sj.radius_join(sites_xy, pts.select("x", "y", col), r, site_id, shape).groupBy(site_id).agg(
-        F.sum(col).alias(name))
+    agg = radius_sums(sites_xy, pts.select("x", "y", col), r, {name: F.col(col)}, site_id, shape=shape)
     return fill0(_ids(sites, site_id).join(agg, site_id, "left"), [name])
 
 
@@ -80,10 +80,10 @@ def poi_features(sites, poi, r=RADIUS_M, categories: Sequence[str] | None = None
         categories = sorted(r[0] for r in pts.select("category").where("category is not null").distinct().collect())
     categories = list(categories)
     rr = int(r)
-    pairs = sj.radius_join(sites_xy, pts.select("x", "y", "category"), r, site_id, shape)
-    counts = pairs.groupBy(site_id).agg(
-        F.count("*").alias(f"poi_count_{rr}m"),
-        *[F.count_if(F.col("category") == c).alias(f"poi_{c}_count_{rr}m") for c in categories])
+    found = radius_sums(sites_xy, pts.select("x", "y", "category"), r, {"__n": F.lit(1)}, site_id, ["category"], shape)
+    counts = found.groupBy(site_id).agg(
+        F.sum("__n").alias(f"poi_count_{rr}m"),
+        *[F.sum(F.when(F.col("category") == c, F.col("__n"))).alias(f"poi_{c}_count_{rr}m") for c in categories])
     # one search keyed by category, NULL among them; the nearest of all is the least over the categories
     near = sj.nearest_join(sites_xy, pts.select(point_id, "x", "y", "category"), site_id, point_id, ["category"], dist_col="d")
     near = near.groupBy(site_id).agg(
@@ -101,8 +101,12 @@ def prepare_buildings(buildings: DataFrame, geometry: str = "geometry", land: bo
 
     With ``land`` the prepared layer is written once to the shared checkpoint
     folder, so joins and ring-search rounds read stored rings instead of
-    re-running the (interpreted) per-vertex projection.
+    re-running the (interpreted) per-vertex projection. That takes longer than
+    any read, so a layer that comes in few splits is dealt to all cores first.
     """
+    tasks = 2 * buildings.sparkSession.sparkContext.defaultParallelism
+    if buildings.rdd.getNumPartitions() < tasks:
+        buildings = buildings.repartition(tasks)
     out = buildings.withColumn("ring", geo.wkt_ring(F.col(geometry))).withColumn(
         "ring_xy", geo.ring_to_xy(F.col("ring")))
     return checkpoint(out)[0] if land else out
@@ -113,12 +117,10 @@ def building_features(sites, buildings, r=RADIUS_M, site_id="location_id", shape
     """Buildings wholly inside the catchment, and the residential share."""
     rr = int(r)
     b = buildings if "ring_xy" in buildings.columns else prepare_buildings(buildings)
-    b = b.select(category, "ring_xy")
-    pairs = sj.radius_join_polygons(sj.ensure_xy(sites, keep_nulls=True), b, r, site_id, shape=shape)
-    agg = pairs.groupBy(site_id).agg(
-        F.count("*").alias(f"building_count_{rr}m"),
-        F.count_if(F.col(category).isin(RESIDENTIAL_CATEGORIES)).alias(f"residential_count_{rr}m"),
-    )
+    agg = polygon_sums(sj.ensure_xy(sites, keep_nulls=True), b.select(category, "ring_xy"), r, {
+        f"building_count_{rr}m": F.lit(1),
+        f"residential_count_{rr}m": F.col(category).isin(RESIDENTIAL_CATEGORIES).cast("int"),
+    }, site_id, shape=shape)
     out = fill0(_ids(sites, site_id).join(agg, site_id, "left"),
                 [f"building_count_{rr}m", f"residential_count_{rr}m"])
     return out.select(
@@ -217,22 +219,23 @@ def point_features(sites, competitors=None, poi=None, addresses=None, r=RADIUS_M
     is_layer = {name: F.col("layer") == name for name in layers}
     counts, near, order = [], [], [site_id]
     if competitors is not None:
-        counts.append(F.count_if(is_layer["competitor"]).alias(f"competitor_count_{rr}m"))
+        counts.append(F.sum(F.when(is_layer["competitor"], F.col("__n"))).alias(f"competitor_count_{rr}m"))
         near.append(F.min(F.when(is_layer["competitor"], F.col("d"))).alias("nearest_competitor_m"))
         order += [f"competitor_count_{rr}m", "nearest_competitor_m"]
     if poi is not None:
-        counts.append(F.count_if(is_layer["poi"]).alias(f"poi_count_{rr}m"))
+        counts.append(F.sum(F.when(is_layer["poi"], F.col("__n"))).alias(f"poi_count_{rr}m"))
         near.append(F.min(F.when(is_layer["poi"], F.col("d"))).alias("nearest_poi_m"))
         order += [f"poi_count_{rr}m", "nearest_poi_m"]
         for c in categories:
             mine = is_layer["poi"] & (F.col("category") == c)
-            counts.append(F.count_if(mine).alias(f"poi_{c}_count_{rr}m"))
+            counts.append(F.sum(F.when(mine, F.col("__n"))).alias(f"poi_{c}_count_{rr}m"))
             near.append(F.min(F.when(mine, F.col("d"))).alias(f"nearest_poi_{c}_m"))
             order += [f"poi_{c}_count_{rr}m", f"nearest_poi_{c}_m"]
     if addresses is not None:
         counts.append(F.sum(F.when(is_layer["address"], F.col("total"))).alias(f"population_{rr}m"))
         order.append(f"population_{rr}m")
-    agg = sj.radius_join(sites_xy, pts, r, site_id, shape).groupBy(site_id).agg(*counts)
+    found = radius_sums(sites_xy, pts, r, {"__n": F.lit(1), "total": F.col("total")}, site_id, ["layer", "category"], shape)
+    agg = found.groupBy(site_id).agg(*counts)
     out = fill0(_ids(sites, site_id).join(agg, site_id, "left"), [c for c in agg.columns if c != site_id])
     if near:
         objects = pts.where(~is_layer["address"]).select("x", "y", "layer", "category", F.lit(0).alias("__id"))
