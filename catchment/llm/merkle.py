@@ -99,6 +99,8 @@ def _paths(levels: list[DataFrame], tops: DataFrame, carry: Sequence[str], leaf_
         step = F.concat(F.array(F.struct("left", "right")), "__up").cast(PATH)
         below = _siblings(nodes).join(up, ["g", "run"]).select("g", *cols, step.alias("path"), *carry)
         above = below.unionByName(alone.select(below.columns))
+        if level:  # landed like the levels, so that a task never holds the sorts and joins of all levels at once
+            above = land(above)
     return above
 
 

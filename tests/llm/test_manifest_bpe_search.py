@@ -224,3 +224,11 @@ def test_search_equals_brute_force(spark, monkeypatch):
 def test_search_of_nothing(spark):
     assert both(spark, [], [("a", "b")], 3) == [] and both(spark, [(1, "b")], [], 3) == []
     assert both(spark, [(1, None)], [("a", "b")], 3) == []
+
+
+def test_manifest_result_holds_one_level_of_siblings(spark):
+    """Paths above the leaves are landed, so the result's plan doesn't hold the windows of every level."""
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"),
+                                    F.col("id").cast("string").alias("text"))
+    plan = merkle.manifest(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4  # 7 with every level in it
