@@ -57,3 +57,14 @@ def test_inner_objects_are_not_tested_one_by_one(spark, monkeypatch):
 def test_layer_in_one_split_is_parsed_by_all_cores(spark):
     one = spark.createDataFrame([(i, f"POLYGON (({i % 5} 50, 19 50, 19 51, {i % 5} 50))") for i in range(100)], "id int, geometry string").coalesce(1)
     assert feat.prepare_buildings(one, land=False).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_polygon_is_parsed_once(spark):
+    """The parsed rings are used by several tests, but each text is split into rings in one place of the plan only."""
+    from catchment.functions import geo
+
+    texts = ["POLYGON ((1 2, 3 4, 5 6, 1 2))", None, "POINT (1 2)", " multipolygon  (((1 2,3 4,1 2),(0 0, 1 1,0 0)),((5 5,6 6,5 5)))", "POLYGON ((1 x, 2 3))", "POLYGON EMPTY"]
+    df = spark.createDataFrame([(t,) for t in texts], "g string").select(geo.wkt_ring("g").alias("ring"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [None if r.ring is None else [(x.hole, len(x.pts)) for x in r.ring] for r in df.collect()] == [
+        [(False, 4)], None, None, [(False, 3), (True, 3), (False, 3)], None, None]
