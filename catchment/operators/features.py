@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..sources.fixtures import RESIDENTIAL_CATEGORIES, RETAIL_CATEGORY
-from ..session import checkpoint
+from ..session import checkpoint, deal
 from . import spatial_join as sj
 from .sums import polygon_sums, radius_sums
 from .visits import site_visits
@@ -106,10 +106,7 @@ def prepare_buildings(buildings: DataFrame, geometry: str = "geometry", land: bo
     re-running the (interpreted) per-vertex projection. That takes longer than
     any read, so a layer that comes in few splits is dealt to all cores first.
     """
-    tasks = 2 * buildings.sparkSession.sparkContext.defaultParallelism
-    if buildings.rdd.getNumPartitions() < tasks:
-        buildings = buildings.repartition(tasks)
-    out = buildings.withColumn("ring", geo.wkt_ring(F.col(geometry))).withColumn(
+    out = deal(buildings).withColumn("ring", geo.wkt_ring(F.col(geometry))).withColumn(
         "ring_xy", geo.ring_to_xy(F.col("ring")))
     return checkpoint(out)[0] if land else out
 

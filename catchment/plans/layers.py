@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import features as feat
 from ..operators import spatial_join as sj
-from ..session import ensure_checkpoint_dir
+from ..session import deal, ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import io
 
@@ -30,7 +30,8 @@ class Layers:
     are landed in the checkpoint folder under the state of the input files
     (their paths, sizes and times of change), so that joins read stored
     columns: a query finds what an earlier one landed, and lands anew once a
-    file has changed. Nothing is kept in the Python process.
+    file has changed. They are dealt to all cores, since a join's tasks follow
+    the splits of the larger side. Nothing is kept in the Python process.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -75,7 +76,7 @@ class Layers:
 
     @cached_property
     def poi_xy(self) -> DataFrame:
-        return self.land("poi_xy", lambda: geo.with_xy(self.poi))
+        return self.land("poi_xy", lambda: geo.with_xy(deal(self.poi)))
 
     @cached_property
     def competitors(self) -> DataFrame:
@@ -83,7 +84,7 @@ class Layers:
 
     @cached_property
     def competitors_xy(self) -> DataFrame:
-        return self.land("competitors_xy", lambda: geo.with_xy(self.competitors))
+        return self.land("competitors_xy", lambda: geo.with_xy(deal(self.competitors)))
 
     @cached_property
     def addresses(self) -> DataFrame:
@@ -91,7 +92,7 @@ class Layers:
 
     @cached_property
     def addresses_xy(self) -> DataFrame:
-        return self.land("addresses_xy", lambda: geo.with_xy(self.addresses))
+        return self.land("addresses_xy", lambda: geo.with_xy(deal(self.addresses)))
 
     @cached_property
     def traces(self) -> DataFrame:
@@ -100,7 +101,7 @@ class Layers:
     @cached_property
     def traces_xy(self) -> DataFrame:
         """Typed traces: parsed coordinates and time next to the text columns, projected once."""
-        return self.land("traces_xy", lambda: geo.with_xy(sj.parse_traces(self.traces)))
+        return self.land("traces_xy", lambda: geo.with_xy(sj.parse_traces(deal(self.traces))))
 
     @cached_property
     def buildings(self) -> DataFrame:

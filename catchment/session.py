@@ -55,6 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it comes in few splits: what follows takes longer than the read."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def checkpoint(df: DataFrame, observe: dict | None = None) -> tuple[DataFrame, dict]:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
 

@@ -68,3 +68,14 @@ def test_a_polygon_is_parsed_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [None if r.ring is None else [(x.hole, len(x.pts)) for x in r.ring] for r in df.collect()] == [
         [(False, 4)], None, None, [(False, 3), (True, 3), (False, 3)], None, None]
+
+
+def test_points_of_one_split_are_landed_for_all_cores(spark, tmp_path):
+    """A radius join's tasks follow the splits of the points, so one split must not become one task."""
+    from catchment.plans.layers import Layers
+
+    parts = spark.range(400).select(F.col("id").alias("p_partkey"), F.lit("A").alias("p_type"), F.lit("b").alias("p_name"))
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    landed = Layers(spark, str(tmp_path)).poi_xy
+    assert len(landed.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in landed.select("poi_id").collect()) == list(range(400))
