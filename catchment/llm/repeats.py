@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import buffers, mix64, slices, text_batches
 from .suffix_array import suffix_array
@@ -173,8 +174,12 @@ def repeated_windows(segs: list[bytes], windows: np.ndarray, order: list[np.ndar
     sa = sa[eligible[sa] >= 0]
     same = np.ones(max(0, len(sa) - 1), bool)
     live = np.arange(len(same))
-    for j in range(length):  # most neighbours differ within a few bytes
-        live = live[spaced[sa[live] + j] == spaced[sa[live + 1] + j]]
+    width = 8 if length >= 8 else 1  # bytes compared at a time
+    raw = np.zeros(len(spaced) + 7, np.uint8)
+    raw[: len(spaced)] = np.maximum(spaced - 1, 0)
+    words = np.ndarray(len(spaced), f"u{width}", raw, strides=(1,)).copy()
+    for j in [*range(0, length - width, width), length - width]:  # most neighbours differ within a few bytes
+        live = live[words[sa[live] + j] == words[sa[live + 1] + j]]
         if not len(live):
             break
     same[:] = False
@@ -206,20 +211,12 @@ def _decide(length: int, bundle_bytes: int):
         _solve(segs, places, out)
 
     def _solve(segs: list[bytes], places: list[tuple], out: list[tuple]) -> None:
-        o, th, start, windows, k = (np.array([p[i] for p in places], np.int64) for i in range(5))
-        if sum(map(len, segs)) > 8 * bundle_bytes and windows.sum() > 1:
-            _in_parts(segs, o, th, start, windows, k, out)
-            return
-        for flags, s, key, t in zip(repeated_windows(segs, windows, [o, th, start], length), start, k, th):
-            if flags.any():
-                out.extend((int(key), int(t), a, b) for a, b in _spans(flags, int(s), length))
-
-    def _in_parts(segs, o, th, start, windows, k, out) -> None:
-        """A key with too many distinct stretches for one array: windows are dealt to parts by a hash of their bytes.
+        """Windows go to suffix arrays by a hash of their bytes, to several arrays where one would be too large.
 
         A window whose hash is the only one of its kind repeats nothing and
         stays out; neighbours of one part stay together.
         """
+        o, th, start, windows, k = (np.array([p[i] for p in places], np.int64) for i in range(5))
         data = np.frombuffer(b"".join(segs), np.uint8)
         begin = np.cumsum([0, *(len(s) for s in segs)])[:-1]
         seg = np.repeat(np.arange(len(segs)), windows)
@@ -228,7 +225,9 @@ def _decide(length: int, bundle_bytes: int):
         _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
         again = times[number] > 1
         seg, offset, hashes = seg[again], offset[again], hashes[again]
-        jump = np.concatenate([[True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(seg) else np.zeros(0, bool)
+        if not len(seg):
+            return
+        jump = np.concatenate([[True], (seg[1:] != seg[:-1]) | (offset[1:] != offset[:-1] + 1)])
         parts = np.uint64(max(1, -(-(len(seg) + length * int(jump.sum())) // (4 * bundle_bytes))))
         part = hashes % parts
         for p in range(int(parts)):
@@ -253,12 +252,15 @@ def _decide(length: int, bundle_bytes: int):
         held, last, needed = 0, None, False
         for batch in batches:
             out: list[tuple] = []
+            seg_at = batch.schema.get_field_index("seg")
+            done = batch.filter(batch.column(seg_at).is_null())
+            if done.num_rows:
+                k, th, start, windows = (done.column(done.schema.get_field_index(c)).to_numpy() for c in ("k", "th", "start", "windows"))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k, th, start, start + windows - 1 + length)], schema=SPANS)
+                batch = batch.filter(batch.column(seg_at).is_valid())
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "o", "th", "start", "windows", "k", "inner")]
-            key, o, th, start, windows, k, inner = (c.to_numpy(zero_copy_only=False) for c in cols)
-            for i, seg in enumerate(batch.column(batch.schema.get_field_index("seg")).to_pylist()):
-                if seg is None:
-                    out.append((int(k[i]), int(th[i]), int(start[i]), int(start[i] + windows[i] - 1 + length)))
-                    continue
+            key, o, th, start, windows, k, inner = (c.to_numpy(zero_copy_only=False).tolist() for c in cols)
+            for i, seg in enumerate(batch.column(seg_at).to_pylist()):
                 if key[i] != last:
                     if needed or len(own) > 1:  # else one stretch that repeats nothing but itself
                         bundle.update(own)
@@ -332,8 +334,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
        mostly share theirs, so a document has a key for every 39 bytes. Keys
        that occur at one place of the corpus alone can't hold a repeat.
     2. The stretches of text under the other keys meet by key, equal ones
-       merged before and after the shuffle. A suffix array over each bundle of
-       keys decides all their windows exactly. A key with one distinct stretch
+       merged before and after the shuffle. In each bundle of keys, the windows
+       whose hash occurs once in it stay out, and a suffix array over the rest
+       decides them exactly. A key with one distinct stretch
        that holds the key's gram once has no more to decide and stays out.
     3. The spans go back to their documents.
 
@@ -348,8 +351,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), th).alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("o"),
         th.alias("th"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
     prints = rows.select("k", "bytes").mapInArrow(_fingerprints(length, gram), "h long, k long, c int")
-    often = prints.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h")
-    listed = prints.select("h", "k").join(often, "h").groupBy("k").agg(F.collect_set("h").alias("repeated"))
+    # one shuffle of the fingerprints counts and lists them
+    often = prints.withColumn("c", F.sum("c").over(Window.partitionBy("h"))).filter("c > 1")
+    listed = often.groupBy("k").agg(F.collect_set("h").alias("repeated"))
     pieces = rows.join(listed, "k").mapInArrow(
         _segments(length, gram), "part long, key long, k long, o long, th long, start long, windows long, inner boolean, seg binary")
     spans = (

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,23 @@ def test_repeats_with_bundles_of_one_key_in_parts(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(dict(rows), 40)
 
 
+def test_only_windows_that_repeat_reach_the_suffix_array(monkeypatch):
+    rng = random.Random(5)
+    shared = prose(rng, 12)[:40]  # shorter than a window
+    segs = [f"{prose(rng, 30)[:80]}{shared}{prose(rng, 30)[:80]}".encode() for _ in range(50)]
+    segs.append(b"ab" + segs[7][20:160])  # one stretch of 140 bytes again
+    n = len(segs)
+    piece = pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in ([1] * n, [1] * n, range(n), range(n), [0] * n, [0] * n, [len(s) - 99 for s in segs], [False] * n)] + [pa.array(segs, pa.binary())],
+        schema=repeats.PIECES)
+    held = []
+    array = repeats.suffix_array
+    monkeypatch.setattr(repeats, "suffix_array", lambda data: held.append(len(data)) or array(data))
+    spans = [r for b in repeats._decide(100, 1 << 20)(iter([piece])) for r in b.to_pylist()]
+    assert spans == [{"k": 50, "th": 0, "start": 2, "end": 142}]
+    assert sum(held) == 2 * 141
+
+
 def test_repeats_rows_that_share_ids(spark):
     long = "x".join(str(i) for i in range(60))
     rows = [(1, long), (1, long), (None, long), (2, None), (None, None), (1, "other " + long)]
