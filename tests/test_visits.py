@@ -42,6 +42,26 @@ def test_no_shuffle_holds_the_pairs(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "__cx" not in plan
 
 
+def test_rollup_equals_that_of_pairs_and_no_shuffle_holds_them(spark, monkeypatch):
+    monkeypatch.setattr(visits, "PART", 300)
+    monkeypatch.setattr(visits, "PERIOD_SLICE", 7)
+    monkeypatch.setattr(visits, "PAIRS", 1000)
+    joins = []
+    pairs_of = sj.dwithin_join
+    monkeypatch.setattr(feat.sj, "dwithin_join", lambda s, *a, **k: joins.append(s.count()) or pairs_of(s, *a, **k))
+    day = F.when(F.col("trace_id") % 7 == 0, F.lit(None)).otherwise(F.timestamp_seconds(1704412800 + F.col("trace_id") % 5 * 40000))
+    traces = sj.parse_traces(_traces(spark, 4000)).withColumn("ts", day)
+    for extra, named in (([], 0), ([(1, 19.1, 50.1), (2, 19.1, 50.1), (2, 19.1, 50.1), (90, 19.1, 50.1), (90, 19.1, 50.1), (None, 19.1, 50.1), (91, None, 50.0), (92, 10.0, 40.0)], 6)):
+        sites = _sites(spark, extra)
+        rollup = feat.footfall_rollup(sites, traces, 1500)
+        assert joins.pop() == named  # rows of null ids and of ids with several places
+        got = rollup.select("location_id", "period", "signals", F.hll_sketch_estimate("users"))
+        pairs = pairs_of(sites, traces, 1500).where("ts is not null").groupBy("location_id", F.date_trunc("day", "ts").alias("period"))
+        want = pairs.agg(F.count("*"), F.count_distinct("proxi_user_id"))
+        key = lambda r: str(tuple(r))
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and want.count() > 20
+
+
 def test_empty_layers(spark):
     sites = _sites(spark).limit(3)
     assert {tuple(r)[1:] for r in feat.footfall_features(sites, _traces(spark, 50).limit(0), 1500).collect()} == {(0, 0)}
