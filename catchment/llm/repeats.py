@@ -20,6 +20,11 @@ GRAM = 24  # bytes under a fingerprint
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of distinct segments per suffix array.
 BUNDLE_BYTES = 1 << 20
+#: Bytes whose windows are keyed or hashed at a time.
+CHUNK_BYTES = 1 << 19
+#: Places of a key in the corpus from which its stretches are cut into pieces of at most STEP windows.
+HOT = 1 << 14
+STEP = 4
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -101,54 +106,110 @@ PIECES = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("k", pa.int64())
 SPANS = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(begin, windows, key) of every run of windows with one key, and (place, hash) of the grams that give the keys, some rows at a time."""
+    found, row = [], 0
+    while row < len(offsets) - 1:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
+        low = offsets[row]
+        starts, keys, hashes = window_keys(data[low : offsets[end]], offsets[row : end + 1] - low, length, gram)
+        if len(starts):
+            places = _places(starts, keys, hashes, length - gram + 1)
+            first, count = _runs(starts, keys)
+            found.append((starts[first] + low, count, keys[first], places + low, hashes[places]))
+        row = end
+    return tuple(map(np.concatenate, zip(*found))) if found else ()
+
+
+def _listed(column: pa.Array, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which (row, key) pairs are in the rows' lists."""
+    wanted, of = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False)
+    if not len(wanted):
+        return np.zeros(len(keys), bool)
+    golden = np.uint64(0x9E3779B97F4A7C15)
+    listed = np.unique(mix64(wanted + np.repeat(np.arange(len(of)), of).astype(np.uint64) * golden))
+    asked = mix64(keys + row.astype(np.uint64) * golden)
+    return listed[np.minimum(np.searchsorted(listed, asked), len(listed) - 1)] == asked
+
+
+def _fine(at: int, windows: int, grams: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, windows, step, core): a stretch of a key in pieces of at most STEP windows.
+
+    ``grams`` are the places of the key's gram. A window's step is the offset of the first of them in it over
+    STEP, and the windows of a step share the bytes from ``core`` (the window's length less STEP - 1 of them).
+    Equal windows have equal steps and cores.
+    """
+    s = np.arange(at, at + windows)
+    g = grams[np.searchsorted(grams, s)]
+    step = (g - s) // STEP
+    cut = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (step[1:] != step[:-1])]))
+    yield from zip(s[cut].tolist(), np.diff(np.append(cut, windows)).tolist(), step[cut].tolist(), (g - step * STEP)[cut].tolist())
+
+
 def _segments(length: int, gram: int):
     """The stretches of text under repeated keys. Of equal ones in a batch the earliest goes on with its bytes; the others
-    are decided (seg is null) and are dealt by document."""
+    are decided (seg is null) and are dealt by document. Stretches of hot keys go on in pieces, each under its step and core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 2 << 20):
             data, offsets = buffers(batch.column(batch.schema.get_field_index("bytes")))
             col = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("k", "o", "th")}
-            lists = batch.column(batch.schema.get_field_index("repeated"))
-            wanted, of = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False)
-            starts, keys, hashes = window_keys(data, offsets, length, gram)
-            if not len(starts):
+            found = _stretches(data, offsets, length, gram)
+            if not found:
                 continue
-            places = _places(starts, keys, hashes, length - gram + 1)
-            first, count = _runs(starts, keys)
-            row = np.searchsorted(offsets, starts[first], "right") - 1
-            # (row, key) pairs that are listed
-            listed = np.unique(mix64(wanted + np.repeat(np.arange(batch.num_rows), of).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            asked = mix64(keys[first] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            hit = listed[np.minimum(np.searchsorted(listed, asked), max(0, len(listed) - 1))] == asked if len(listed) else np.zeros(len(asked), bool)
-            first, count, row = first[hit], count[hit], row[hit]
+            begin, count, keys, places, hashes = found
+            row = np.searchsorted(offsets, begin, "right") - 1
+            repeated, hot = (batch.column(batch.schema.get_field_index(c)) for c in ("repeated", "hot"))
+            hit = _listed(repeated, row, keys)
+            begin, count, keys, row = begin[hit], count[hit], keys[hit], row[hit]
             # equal windows inside a stretch hold the key's gram at two places of it
-            names, number = np.unique(hashes[places], return_inverse=True)
-            place_codes = np.sort(number * len(data) + places)
-            own = np.minimum(np.searchsorted(names, keys[first]), max(0, len(names) - 1)) * len(data) + starts[first]
-            inner = np.searchsorted(place_codes, own + count + length - gram) - np.searchsorted(place_codes, own) > 1
-            begin, raw = starts[first], data.tobytes()
+            names, number = np.unique(hashes, return_inverse=True)
+            by = np.lexsort((places, number))
+            place_codes = (number * len(data) + places)[by]
+            own = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1)) * len(data) + begin
+            since, until = np.searchsorted(place_codes, own), np.searchsorted(place_codes, own + count + length - gram)
+            inner, fine = until - since > 1, _listed(hot, row, keys)
+            raw = data.tobytes()
             order = np.lexsort((begin, col["th"][row], col["o"][row]))
-            place = list(zip(col["o"][row].tolist(), col["th"][row].tolist(), (begin - offsets[row]).tolist()))
             seen: dict[bytes, tuple] = {}
-            segs: list[bytes | None] = [None] * len(order)
-            same: list[int] = []  # places of rows that repeat another row
-            for i in order:
-                seg = raw[begin[i] : begin[i] + count[i] + length - 1]
-                other = seen.setdefault(seg, place[i])
-                if other is place[i]:
-                    segs[i] = seg
-                elif other == place[i]:
-                    same.append(i)
-            key = keys[first].view(np.int64)
-            decided = np.array([s is None for s in segs], bool)
-            part = np.where(decided, mix64(col["k"][row].view(np.uint64)).view(np.int64), key)
-            columns = [part, key, col["k"][row], col["o"][row], col["th"][row], begin - offsets[row], count, inner, pa.array(segs, pa.binary())]
+            out: list[tuple] = []  # (row, key, begin, windows, inner, seg)
+
+            def place(i: int, at: int) -> tuple[int, int, int]:
+                return int(col["o"][row[i]]), int(col["th"][row[i]]), int(at - offsets[row[i]])
+
+            for i in order.tolist():
+                at, n, key = int(begin[i]), int(count[i]), int(keys[i])
+                seg, here = raw[at : at + n + length - 1], place(i, at)
+                other = seen.setdefault(seg, here)
+                if other is not here:
+                    if other != here:  # else a place of a row that repeats another row
+                        out.append((row[i], key, at, n, False, None))
+                elif not fine[i]:
+                    out.append((row[i], key, at, n, bool(inner[i]), seg))
+                else:
+                    decided = -1  # where the last piece ends if it is decided
+                    for a, m, step, core in _fine(at, n, places[by[since[i] : until[i]]]):
+                        seg, here = raw[a : a + m + length - 1], place(i, a)
+                        new = seen.setdefault((key, step, seg), here) is here
+                        if new:
+                            sub = hashlib.blake2b(b"%d %d " % (key, step) + raw[core : core + length - STEP + 1], digest_size=8).digest()
+                            out.append((row[i], int.from_bytes(sub), a, m, False, seg))
+                        elif decided == a:  # neighbours in one row
+                            last = out.pop()
+                            out.append((*last[:3], last[3] + m, False, None))
+                        else:
+                            out.append((row[i], key, a, m, False, None))
+                        decided = -1 if new else a + m
+            if not out:
+                continue
+            at_row, key, at, n, within, segs = zip(*out)
+            at_row, key = np.array(at_row, np.int64), np.array(key, np.uint64).view(np.int64)
+            part = np.where([s is None for s in segs], mix64(col["k"][at_row].view(np.uint64)).view(np.int64), key)
+            columns = [part, key, col["k"][at_row], col["o"][at_row], col["th"][at_row], np.array(at, np.int64) - offsets[at_row], np.array(n, np.int64),
+                       np.array(within, bool), pa.array(segs, pa.binary())]
             whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PIECES)
-            if same:
-                whole = whole.filter(pa.array(~np.isin(np.arange(whole.num_rows), same)))
-            for at in range(0, whole.num_rows, 20_000):
-                yield whole.slice(at, 20_000)
+            for start in range(0, whole.num_rows, 20_000):
+                yield whole.slice(start, 20_000)
 
     return run
 
@@ -217,11 +278,15 @@ def _decide(length: int, bundle_bytes: int):
         stays out; neighbours of one part stay together.
         """
         o, th, start, windows, k = (np.array([p[i] for p in places], np.int64) for i in range(5))
-        data = np.frombuffer(b"".join(segs), np.uint8)
-        begin = np.cumsum([0, *(len(s) for s in segs)])[:-1]
+        begin, first = np.cumsum([0, *map(len, segs)]), np.cumsum([0, *windows])
         seg = np.repeat(np.arange(len(segs)), windows)
-        offset = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hashes = gram_hashes(data, length)[begin[seg] + offset]
+        offset = np.arange(len(seg)) - np.repeat(first[:-1], windows)
+        hashes, at = np.empty(len(seg), np.uint64), 0
+        while at < len(segs):  # some segments at a time
+            end = max(at + 1, int(np.searchsorted(begin, begin[at] + CHUNK_BYTES, "right")) - 1)
+            mine = slice(first[at], first[end])
+            hashes[mine] = gram_hashes(np.frombuffer(b"".join(segs[at:end]), np.uint8), length)[begin[seg[mine]] - begin[at] + offset[mine]]
+            at = end
         _, number, times = np.unique(hashes, return_inverse=True, return_counts=True)
         again = times[number] > 1
         seg, offset, hashes = seg[again], offset[again], hashes[again]
@@ -320,7 +385,7 @@ def _cut(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True,
-                   bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+                   bundle_bytes: int = BUNDLE_BYTES, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, kept (bytes) and spans.
 
     A byte goes if some ``length``-byte string over it also starts earlier:
@@ -338,6 +403,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
        whose hash occurs once in it stay out, and a suffix array over the rest
        decides them exactly. A key with one distinct stretch
        that holds the key's gram once has no more to decide and stays out.
+       Keys of more than ``hot`` places (a passage of many documents ends there)
+       meet in pieces of STEP windows, by the bytes that these share, so that
+       no task holds all stretches of such a key.
     3. The spans go back to their documents.
 
     The three passes over the texts share one shuffle by id. Hot stretches
@@ -353,7 +421,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     prints = rows.select("k", "bytes").mapInArrow(_fingerprints(length, gram), "h long, k long, c int")
     # one shuffle of the fingerprints counts and lists them
     often = prints.withColumn("c", F.sum("c").over(Window.partitionBy("h"))).filter("c > 1")
-    listed = often.groupBy("k").agg(F.collect_set("h").alias("repeated"))
+    listed = often.groupBy("k").agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("c") > hot, F.col("h"))).alias("hot"))
     pieces = rows.join(listed, "k").mapInArrow(
         _segments(length, gram), "part long, key long, k long, o long, th long, start long, windows long, inner boolean, seg binary")
     spans = (

@@ -118,6 +118,39 @@ def test_repeats_with_bundles_of_one_key_in_parts(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(dict(rows), 40)
 
 
+@pytest.mark.parametrize("hot", [0, 4])
+@pytest.mark.parametrize("length", [12, 40, 100])
+def test_repeats_with_hot_keys_in_pieces(spark, length, hot):
+    rows = corpus(11)
+    got = repeats.remove_repeats(frame(spark, rows), length, bundle_bytes=500, hot=hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(dict(rows), length)
+
+
+def test_no_key_holds_all_stretches_around_a_common_passage():
+    rng = random.Random(13)
+    passage, n = prose(rng, 40).encode(), 400
+    texts = [prose(rng, 30).encode() + b" " + passage + b" " + prose(rng, 30).encode() for _ in range(n)]
+    _, keys, _ = repeats.window_keys(*repeats.buffers(pa.array(texts, pa.binary())))
+    counted = {}
+    for k in keys.tolist():
+        counted[k] = counted.get(k, 0) + 1
+    hot = [k - (1 << 64) if k >= 1 << 63 else k for k, c in counted.items() if c >= n]
+
+    def held(hot):
+        lists = {"repeated": pa.array([[*counted_signed]] * n, pa.list_(pa.int64())), "hot": pa.array([hot] * n, pa.list_(pa.int64()))}
+        batch = pa.RecordBatch.from_pydict({"k": pa.array(range(n)), "o": pa.array(range(n)), "th": pa.array([0] * n), "bytes": pa.array(texts, pa.binary()), **lists})
+        by_key = {}
+        for b in repeats._segments(100, repeats.GRAM)(iter([batch])):
+            for r in b.to_pylist():
+                if r["seg"] is not None:
+                    by_key.setdefault(r["key"], set()).add(r["seg"])
+        return max(sum(map(len, segs)) for segs in by_key.values())
+
+    counted_signed = [k - (1 << 64) if k >= 1 << 63 else k for k in counted]
+    whole, dealt = held([]), held(hot)
+    assert whole > n * 100 and dealt < whole / 8
+
+
 def test_only_windows_that_repeat_reach_the_suffix_array(monkeypatch):
     rng = random.Random(5)
     shared = prose(rng, 12)[:40]  # shorter than a window
