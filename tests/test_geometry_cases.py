@@ -142,3 +142,16 @@ def test_no_join_plans_as_nested_loops(spark):
     a = spark.createDataFrame([(float(i),) for i in range(40)], "total double")
     plan = prof.tail_bins(a, "total", 10, [15, 20, 30])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_polygons_of_catchments_by_box_and_by_vertex(spark):
+    """A box inside the catchment decides; others, and those with a vertex that isn't known, go by their vertices."""
+    pts = lambda *v: [([{"x": x, "y": y} for x, y in v],)]
+    rows = [(1, pts((0.0, 0.0), (10.0, 0.0), (10.0, 10.0))), (2, pts((0.0, 0.0), (99.0, 0.0), (0.0, 99.0))), (3, pts((0.0, 0.0), (101.0, 0.0))),
+            (4, pts((0.0, 0.0), (None, 1.0))), (5, pts((0.0, 0.0), (float("nan"), 1.0))), (6, None), (8, pts((70.7, 70.7)))]
+    polys = spark.createDataFrame(rows, "pid int, ring_xy array<struct<pts:array<struct<x:double,y:double>>>>")
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0)], "location_id int, x double, y double")
+    for shape in sj.SHAPES:
+        got = sj.radius_join_polygons(sites, polys, 100.0, shape=shape)
+        assert sorted(r.pid for r in got.collect()) == ([1, 2, 8] if shape == "circle" else [1, 2])
+    assert "array_min" in sj.radius_join_polygons(sites, polys, 100.0)._jdf.queryExecution().optimizedPlan().toString()
