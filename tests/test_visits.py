@@ -66,3 +66,11 @@ def test_empty_layers(spark):
     sites = _sites(spark).limit(3)
     assert {tuple(r)[1:] for r in feat.footfall_features(sites, _traces(spark, 50).limit(0), 1500).collect()} == {(0, 0)}
     assert feat.footfall_features(sites.limit(0), _traces(spark, 50), 1500).count() == 0
+
+
+def test_users_of_the_rollup_meet_no_join(spark):
+    """How often a site's signals count goes with the site, so the users of all sites and days aren't shuffled to look it up."""
+    import re
+
+    plan = feat.footfall_rollup(_sites(spark), sj.parse_traces(_traces(spark, 200)), 1500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"Join Inner, .*location_id", plan)
