@@ -7,7 +7,9 @@ a cell whose box lies in the catchment gives its sums as they are, one out of
 reach is dropped, and only the cells on the edge are replaced by their children
 or, at a leaf, by their objects, which take the exact test. So a site's work
 grows with the edge of its catchment, not with what lies within. Every level
-is an equi-join on the cell and is landed; only counts reach the driver.
+is an equi-join on the cell; its sums are landed, and its other tables are deleted
+once the next level stands, so the disk holds the objects of two levels at
+most. Only counts reach the driver.
 
 The box tests round as the exact test does, so that both agree on every object.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import checkpoint
+from ..session import checkpoint, discard
 from .spatial_join import BUFFER_SEGMENTS, SHAPES, in_catchment
 
 LEAF = 32
@@ -89,7 +91,8 @@ def radius_sums(
     front = front.withColumns({"__cx": F.col("__cx") + F.col("__o.i"), "__cy": F.col("__cy") + F.col("__o.j")}).drop("__o")
     state = F.when(_reach(KEYS, False) >= F.lit(outer), F.lit(0)).when(_reach(KEYS if point else BOX, True) < F.lit(inner), F.lit(1)).when(F.col("__deep"), 3).otherwise(2)
 
-    parts = []
+    parts, spent = [], []
+    total = lambda df: df.groupBy("__site", *by).agg(*[F.sum(n).alias(n) for n in names])
     for level in range(LEVELS + 1):
         rest = rest.withColumns(_cell(float(r) / 2**level))
         groups = rest.groupBy("__cx", "__cy", *by).agg(
@@ -103,26 +106,31 @@ def radius_sums(
         nodes, seen = checkpoint(nodes.withColumn("__deep", deep), observe={"deep": F.count_if("__deep")})
         met = front.join(nodes, ["__cx", "__cy"]).withColumn("__state", state).where("__state > 0")
         met, _ = checkpoint(met.select("__site", "__sx", "__sy", "__cx", "__cy", "__state", F.when(F.col("__state") == 1, F.col("__sums")).alias("__sums")))
-        parts.append(met.where("__state = 1").select("__site", F.explode("__sums").alias("__s")).select("__site", "__s.*"))
-        leaves = rest
+        whole = met.where("__state = 1").select("__site", F.explode("__sums").alias("__s")).select("__site", "__s.*")
+        leaves, held = rest, [met]
         if seen["deep"]:
             split = nodes.where("__deep").select("__cx", "__cy", F.lit(True).alias("__split"))
             rest, _ = checkpoint(rest.join(split, ["__cx", "__cy"], "left"))
+            held.append(rest)
             leaves, rest = rest.where("__split is null").drop("__split"), rest.where("__split").drop("__split")
         edge = met.where("__state = 2").select("__site", "__sx", "__sy", "__cx", "__cy").join(leaves, ["__cx", "__cy"])
         edge = edge.where(in_catchment(F.col("x") - F.col("__sx"), F.col("y") - F.col("__sy"), r, shape))
         if exact is not None:
             edge = edge.where((_reach(BOX, True) < F.lit(inner)) | exact(F.col("__sx"), F.col("__sy")))
-        parts.append(edge.select("__site", *by, *names))
+        parts.append(checkpoint(total(whole).unionByName(total(edge.select("__site", *by, *names))))[0])
+        for table in [*spent, nodes]:  # nothing reads the level before now
+            discard(table)
+        spent = held
         if not seen["deep"]:
             break
         front = met.where("__state = 3").select("__site", "__sx", "__sy", "__cx", "__cy", _offsets(0, 2).alias("__o"))
         front = front.withColumns({"__cx": F.col("__cx") * 2 + F.col("__o.i"), "__cy": F.col("__cy") * 2 + F.col("__o.j")}).drop("__o")
 
-    out = None
-    for p in parts:
-        p = p.groupBy("__site", *by).agg(*[F.sum(n).alias(n) for n in names])
-        out = p if out is None else out.unionByName(p)
+    for table in spent:
+        discard(table)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.groupBy(F.col("__site").alias(site_id), *by).agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -148,4 +156,6 @@ def polygon_sums(
     keyed = keyed.withColumns({c: F.when(F.col("__whole"), F.col(c)) for c in corners}).select("x", "y", *corners, "__pts", *[v.alias(n) for n, v in measures.items()])
     keyed, _ = checkpoint(keyed)
     inside = lambda sx, sy: F.forall(pts, lambda v: in_catchment(v["x"] - sx, v["y"] - sy, r, shape))
-    return radius_sums(sites, keyed, r, {n: F.col(n) for n in measures}, site_id, shape=shape, box=corners, exact=inside, carry=["__pts"])
+    sums = radius_sums(sites, keyed, r, {n: F.col(n) for n in measures}, site_id, shape=shape, box=corners, exact=inside, carry=["__pts"])
+    discard(keyed)
+    return sums

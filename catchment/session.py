@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,27 @@ def deal(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go once it is written; the session's setting comes back after it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from ``checkpoint`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._landed)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame, observe: dict | None = None) -> tuple[DataFrame, dict]:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
 
@@ -78,7 +101,10 @@ def checkpoint(df: DataFrame, observe: dict | None = None) -> tuple[DataFrame, d
     if observe:
         obs = Observation(f"ckpt_{uuid.uuid4().hex[:8]}")
         df = df.observe(obs, *[c.alias(k) for k, c in observe.items()])
-    df.write.mode("overwrite").parquet(path)
+    with own_shuffles(spark):
+        df.write.mode("overwrite").parquet(path)
     if observe:
         metrics = obs.get
-    return spark.read.parquet(path), metrics
+    out = spark.read.parquet(path)
+    out._landed = path  # for ``discard``
+    return out, metrics

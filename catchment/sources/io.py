@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geo
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, own_shuffles
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -181,7 +181,9 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
         part = spark.read.schema("part string").parquet(mark).first()["part"]
     else:
         part = f"{path}/{uuid.uuid4().hex}"
-        build().write.parquet(part)
+        table = build()
+        with own_shuffles(spark):
+            table.write.parquet(part)
         spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("overwrite").parquet(mark)
     return spark.read.parquet(part)
 

@@ -79,3 +79,20 @@ def test_points_of_one_split_are_landed_for_all_cores(spark, tmp_path):
     landed = Layers(spark, str(tmp_path)).poi_xy
     assert len(landed.inputFiles()) >= spark.sparkContext.defaultParallelism
     assert sorted(r[0] for r in landed.select("poi_id").collect()) == list(range(400))
+
+
+def test_only_sums_stay_on_disk(spark):
+    """Objects, cells and fronts of the levels are deleted once the next level stands."""
+    import os
+
+    from catchment.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:") + "/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    points = spark.range(900).select((F.col("id") % 30 * 20.0).alias("x"), (F.floor(F.col("id") / 30) * 20.0).alias("y"))
+    sites = spark.createDataFrame([(i, 40.0 * i, 300.0) for i in range(12)], "location_id int, x double, y double")
+    got = sums.radius_sums(sites, points, 250.0, {"n": F.lit(1)})
+    landed = [spark.read.parquet(f"{folder}/{d}").columns for d in set(os.listdir(folder)) - before]
+    assert len(landed) > 1 and all(c == ["__site", "n"] for c in landed)
+    want = {i: sum((20.0 * a - 40.0 * i) ** 2 + (20.0 * b - 300.0) ** 2 < 250.0**2 for a in range(30) for b in range(30)) for i in range(12)}
+    assert {r.location_id: r.n for r in got.collect()} == want
