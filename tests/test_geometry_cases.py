@@ -153,5 +153,5 @@ def test_polygons_of_catchments_by_box_and_by_vertex(spark):
     sites = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0)], "location_id int, x double, y double")
     for shape in sj.SHAPES:
         got = sj.radius_join_polygons(sites, polys, 100.0, shape=shape)
-        assert sorted(r.pid for r in got.collect()) == ([1, 2, 8] if shape == "circle" else [1, 2])
+        assert sorted(r.pid for r in got.collect()) == [1, 2, 8]
     assert "array_min" in sj.radius_join_polygons(sites, polys, 100.0)._jdf.queryExecution().optimizedPlan().toString()
